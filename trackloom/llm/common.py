@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without that
-    setting (tests) gets a temporary folder.
-    """
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it from there, which cuts its lineage."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="trackloom-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/trackloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def at_most(df: DataFrame, n: int) -> bool:
+    """Whether ``df`` has ``n`` rows or fewer, reading little more than that."""
+    return df.limit(n + 1).count() <= n
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -35,3 +48,44 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     gone = {n.lower() for n in names}
     keep = [c for c in df.columns if c.lower() not in gone]
     return df.select(*[F.col(f"`{c}`") for c in keep])
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """UTF-8 words of a text, A-Z lower-cased. Bytes split at exactly the ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+class Memo(dict):
+    """A dictionary that computes missing values and starts afresh when it holds ``size`` of them."""
+
+    def __init__(self, make, size: int = 300_000):
+        super().__init__()
+        self.make, self.size = make, size
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values (splitmix64's finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes() -> Memo:
+    return Memo(xxhash.xxh3_64_intdigest)
+
+
+def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n``-grams of hashed words, in order."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    out = words[:m]
+    for k in range(1, n):
+        out = mix(out) + words[k : k + m]
+    return mix(out)

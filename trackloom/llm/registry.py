@@ -7,23 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontamination, quality_rules, sharding
+from trackloom.llm import decontamination, near_duplicates, quality_rules, sharding
 from trackloom.llm.common import table
 
 _TEXT = F.coalesce(F.col("text"), F.lit(""))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
-    return shards.select(
+    light = table(spark, sf_dir, "documents").select(
         "doc_id",
         (F.octet_length(_TEXT) + 8).cast("long").alias("size"),
         F.crc32(_TEXT.cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
     )
+    shards = sharding.shuffle_into_shards(light)
+    return shards.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +32,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "n_lines")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group_near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op7_near_duplicates": op7_near_duplicates,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS.split()))
