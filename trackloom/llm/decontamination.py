@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import at_most, settle
+
 #: The masks. 1: the token is hashed.
 MASKS = ("111011", "1101011", "11001011")
 SPAN = max(map(len, MASKS))
@@ -31,28 +33,24 @@ BROADCAST_SEEDS = 500_000
 WINDOW, WINDOW_AGREE = 13, 11
 
 
-def _tokens(text: str) -> F.Column:
-    return F.expr(rf"transform(regexp_extract_all(lower(`{text}`), '[\\p{{L}}\\p{{N}}]+', 0), w -> xxhash64(w))")
+def _tokens(text: str) -> str:
+    return rf"transform(regexp_extract_all(lower(`{text}`), '[\\p{{L}}\\p{{N}}]+', 0), t -> xxhash64(t))"
 
 
-def _seed(tokens: str, at: str, which: str) -> F.Column:
-    cases = []
-    for m, mask in enumerate(MASKS):
-        marked = ", ".join(f"get({tokens}, {at} + {k})" for k, c in enumerate(mask) if c == "1")
-        cases.append(f"WHEN {m} THEN xxhash64({m}, {marked})")
-    return F.expr(f"CASE {which} {' '.join(cases)} END")
+def _seed_hash(mask: int) -> str:
+    marked = ", ".join(f"get(w, i + {k})" for k, c in enumerate(MASKS[mask]) if c == "1")
+    return f"xxhash64({mask}, {marked})"
 
 
-def _seeds(df: DataFrame, tokens: str, prefix: str) -> DataFrame:
-    """A row for each position and mask: ``<prefix>_at``, ``<prefix>_seed``, besides all columns."""
-    n = len(MASKS)
-    places = df.where(F.size(tokens) >= SPAN).select(
-        "*", F.explode(F.expr(f"sequence(0, {n} * (size({tokens}) - {SPAN} + 1) - 1)")).alias("__k")
-    )
-    at = F.expr(f"CAST(__k DIV {n} AS INT)")
-    return places.select(
-        *df.columns, at.alias(f"{prefix}_at"), _seed(tokens, f"CAST(__k DIV {n} AS INT)", f"__k % {n}").alias(f"{prefix}_seed")
-    )
+def _seeds(df: DataFrame, words: str, prefix: str) -> DataFrame:
+    """A row for each position and mask, without the words: ``<prefix>_at`` and ``<prefix>_seed``.
+
+    ``words``: SQL for the tokens, bound once for each text by the outer function."""
+    keys = [c for c in df.columns if c not in ("words", "text")]
+    hashes = ", ".join(f"named_struct('at', i, 'seed', {_seed_hash(m)})" for m in range(len(MASKS)))
+    each = f"transform(array({words}), w -> IF(size(w) < {SPAN}, array(), flatten(transform(sequence(0, size(w) - {SPAN}), i -> array({hashes})))))[0]"
+    places = df.select(*keys, F.explode_outer(F.expr(each)).alias("__p"))
+    return places.select(*keys, F.col("__p.at").alias(f"{prefix}_at"), F.col("__p.seed").alias(f"{prefix}_seed"))
 
 
 def find_overlaps(
@@ -68,30 +66,39 @@ def find_overlaps(
     ``agreeing`` (most tokens in agreement) and ``first_token`` (where the item starts in the
     document; the least among equals)."""
     items = (
-        benchmark.select(F.col(item_col).alias("item_id"), _tokens(item_text).alias("item_words"))
-        .where(F.size("item_words") >= SPAN)
+        benchmark.select(F.col(item_col).alias("item_id"), F.expr(_tokens(item_text)).alias("words"))
+        .where(F.size("words") >= SPAN)
         .dropDuplicates()
     )
-    seeds = _seeds(items, "item_words", "item")
-    few = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0] * len(MASKS) <= BROADCAST_SEEDS
-    words = docs.select(F.col(id_col).alias("doc_id"), _tokens(text).alias("words"))
-    places = _seeds(words, "words", "doc")
-    hits = places.join(F.broadcast(seeds) if few else seeds, F.col("doc_seed") == F.col("item_seed"))
-    laid = hits.select(
+    items = settle(items.withColumn("item_key", F.xxhash64("item_id", "words")))
+    seeds = _seeds(items.select("item_key", "words"), "words", "item")
+    few = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] * len(MASKS) <= BROADCAST_SEEDS
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    hits = _seeds(texts, _tokens("text"), "doc").join(F.broadcast(seeds) if few else seeds, F.col("doc_seed") == F.col("item_seed"))
+    # Several seeds of one item that lie alike make one alignment.
+    laid = hits.select("doc_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("first_token")).distinct()
+    laid = settle(laid)
+    ids = laid.select(F.col("doc_id").alias("__id")).distinct()
+    held = docs.join(F.broadcast(ids) if at_most(ids, BROADCAST_SEEDS) else ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    held = held.select(F.col(id_col).alias("__id"), F.expr(_tokens(text)).alias("words"))
+    whole = laid.join(held, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "item_key", "first_token", "words")
+    named = items.select("item_key", "item_id", F.col("words").alias("item_words"))
+    whole = whole.join(F.broadcast(named) if few else named, "item_key")
+    same = whole.select(
         "doc_id",
         "item_id",
         F.size("item_words").alias("item_tokens"),
-        (F.col("doc_at") - F.col("item_at")).alias("first_token"),
+        "first_token",
         F.expr(
-            "filter(sequence(0, size(item_words) - 1), k -> doc_at - item_at + k >= 0"
-            " AND get(words, doc_at - item_at + k) = item_words[k])"
+            "filter(sequence(0, size(item_words) - 1), k -> first_token + k >= 0"
+            " AND get(words, first_token + k) = item_words[k])"
         ).alias("same"),
     )
     in_window = F.expr(
         f"exists(same, k -> size(filter(same, j -> j >= k AND j < k + {WINDOW})) >= {WINDOW_AGREE})"
     )
     agreeing = F.size("same")
-    found = laid.where((agreeing >= F.lit(share) * F.col("item_tokens")) | ((agreeing >= WINDOW_AGREE) & in_window))
+    found = same.where((agreeing >= F.lit(share) * F.col("item_tokens")) | ((agreeing >= WINDOW_AGREE) & in_window))
     best = found.groupBy("doc_id", "item_id").agg(
         F.max(F.struct(agreeing.alias("n"), (-F.col("first_token")).alias("at"), F.col("item_tokens").alias("m"))).alias("b")
     )
@@ -102,3 +109,9 @@ def find_overlaps(
         F.col("b.n").alias("agreeing"),
         (-F.col("b.at")).alias("first_token"),
     )
+
+
+def remove_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in which no item is found; rows with a null id stay."""
+    found = settle(find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(F.broadcast(found) if at_most(found, BROADCAST_SEEDS) else found, F.col("doc_id") == F.col("__id"), "left_anti")

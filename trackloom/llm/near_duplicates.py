@@ -186,6 +186,17 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     )
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay: the least id of each group, once however often it is
+    repeated, and all rows with a null id."""
+    found = group_near_duplicates(docs, **options)
+    ids = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    stay = docs.join(ids.where("__kept"), F.col("doc_id") == F.col("__id"))
+    once = stay.where("__n = 1").select(*docs.columns)
+    repeated = stay.where("__n > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+
+
 def mark_duplicates(docs: DataFrame, **options) -> DataFrame:
     """All columns of ``docs`` with ``component_id`` and ``kept`` (joined by id; null ids stay kept)."""
     found = group_near_duplicates(docs, **options).where("doc_id IS NOT NULL")

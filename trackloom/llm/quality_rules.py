@@ -98,8 +98,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS.split()))
     length = lambda c: F.length(c).cast("long")
-    return windows.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    counts = F.struct(
         F.size("__words").cast("long").alias("n_words"),
         length(F.array_join("__words", "")).alias("word_chars"),
         length(F.regexp_replace(source, r"[^#*$%&|<>]+", "")).alias("n_symbols"),
@@ -109,6 +108,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr(f"size(filter(__words, w -> lower(w) IN ({stop})))").cast("long").alias("n_stop_words"),
         F.expr(_REPEATS).cast("long").alias("n_repeat_words"),
     )
+    # As rows of a generator the counts are taken once, wherever a filter on them ends up.
+    return windows.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline_outer(F.array(counts)))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

@@ -7,22 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontamination, near_duplicates, quality_rules, sharding
+from trackloom.llm import decontamination, importance, language_model, near_duplicates, packing, quality_rules, repeats, secrets, sharding, token_counts
 from trackloom.llm.common import table
 
-_TEXT = F.coalesce(F.col("text"), F.lit(""))
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
     light = table(spark, sf_dir, "documents").select(
         "doc_id",
-        (F.octet_length(_TEXT) + 8).cast("long").alias("size"),
-        F.crc32(_TEXT.cast("binary")).alias("text_crc32"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     shards = sharding.shuffle_into_shards(light)
     return shards.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,15 +46,41 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text", "n_lines")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    return language_model.score(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_sharding": op2_sharding,
-    "op4_decontamination": op4_decontamination,
-    "op5_quality_rules": op5_quality_rules,
-    "op7_near_duplicates": op7_near_duplicates,
+    f.__name__: f
+    for f in (
+        op1_repeats,
+        op2_sharding,
+        op3_importance,
+        op4_decontamination,
+        op5_quality_rules,
+        op6_secrets,
+        op7_near_duplicates,
+        op8_token_counts,
+        op9_packing,
+        op10_language_model,
+    )
 }
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS.split()))

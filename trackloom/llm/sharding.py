@@ -79,7 +79,7 @@ def communication_matrix(block_sizes: list[int], n_shards: int, seed: int = 0) -
     return matrix
 
 
-def _ranked(df: DataFrame, group: str, key: str, pieces: int, rank: str) -> DataFrame:
+def ranked(df: DataFrame, group: str, key: str, pieces: int, rank: str) -> DataFrame:
     """Adds ``rank``: 0, 1, ... within ``group`` in a random order given by the hash ``key``."""
     cut = df.withColumn("__piece", F.pmod(F.shiftright(key, 24), F.lit(pieces)).cast("int"))
     sizes = cut.groupBy(group, "__piece").agg(F.count(F.lit(1)).alias("__n"))
@@ -118,11 +118,11 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, blo
         bounds.append((b, ends))
     cuts = F.broadcast(spark.createDataFrame(bounds, "__b int, __ends array<bigint>"))  # blocks rows
     total = sum(sizes)
-    ranked = _ranked(keyed, "__block", "__key", max(1, math.ceil(total / blocks / PIECE_ROWS)), "__rank")
-    dealt = ranked.join(cuts, F.col("__block") == F.col("__b")).select(
+    numbered = ranked(keyed, "__block", "__key", max(1, math.ceil(total / blocks / PIECE_ROWS)), "__rank")
+    dealt = numbered.join(cuts, F.col("__block") == F.col("__b")).select(
         *names,
         F.xxhash64(F.lit(seed + 1), "__key").alias("__key"),
         F.expr("size(filter(__ends, e -> e <= __rank))").cast("int").alias("shard"),
     )
-    again = _ranked(dealt, "shard", "__key", max(1, math.ceil(total / n_shards / PIECE_ROWS)), "slot")
+    again = ranked(dealt, "shard", "__key", max(1, math.ceil(total / n_shards / PIECE_ROWS)), "slot")
     return again.select(*names, "shard", "slot")
