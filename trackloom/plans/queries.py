@@ -186,7 +186,7 @@ def q_pairs(spark, sf_dir):
 
 @query
 def q_top_pairs(spark, sf_dir):
-    pairs = association.pair_table(Case(spark, sf_dir).vectors(), 0.2).select("track_a", "track_b", "cosine_similarity")
+    pairs = association.pair_table(Case(spark, sf_dir).vectors()).select("track_a", "track_b", "cosine_similarity")
     return pairs.orderBy(F.desc("cosine_similarity"), "track_a", "track_b").limit(20)
 
 
