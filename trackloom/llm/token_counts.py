@@ -105,7 +105,7 @@ class BytePairTransducer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
-        shown = _byte_letters()
+        shown = byte_letters()
         hidden = {c: b for b, c in enumerate(shown)}
         special = {t["content"] for t in spec["added_tokens"]}
         self.vocab = {bytes(hidden[c] for c in token): token for token in spec["model"]["vocab"] if token not in special}
@@ -168,7 +168,7 @@ class BytePairTransducer:
         return C_LETTER if parts(f"a{c}a") == 1 else C_NUMBER if parts(f"1{c}1") == 1 else C_OTHER if parts(f"!{c}!") == 1 else C_BLANK
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable stand-ins of byte-level vocabularies: a byte's own Latin-1 character where it
     can be printed, else the next one from U+0100 on."""
     plain = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
