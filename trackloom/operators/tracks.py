@@ -6,9 +6,9 @@ crop_path``; ``det_id`` fixes the order wherever values tie.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import crop_quality, mean
@@ -41,12 +41,20 @@ def summarize(detections: DataFrame) -> DataFrame:
 
 def judge(summary: DataFrame, limits: Limits) -> DataFrame:
     """Adds a boolean for each limit, ``is_valid``, ``status`` and ``filter_reason``."""
-    tests = {
-        "min_frames": F.col("num_frames") >= limits.min_frames,
-        "min_crops": F.col("num_crops") >= limits.min_crops,
-        "min_avg_conf": F.col("avg_conf") >= limits.min_avg_conf,
-        "min_avg_area": F.col("avg_area") >= limits.min_avg_area,
-    }
+    return _judge(summary, {name: F.lit(least) for name, least in asdict(limits).items()})
+
+
+def judge_by_camera(summary: DataFrame, profiles: DataFrame, otherwise: Limits = Limits()) -> DataFrame:
+    """As ``judge``, by the limits of each track's camera. ``profiles`` has a row for a camera and any
+    of the limits as columns; ``otherwise`` stands in for missing cameras, columns and nulls."""
+    named = {name: f"{name}_limit" for name in asdict(otherwise) if name in profiles.columns}
+    known = summary.join(profiles.select("camera", *[F.col(n).alias(a) for n, a in named.items()]), "camera", "left")
+    limits = {n: F.coalesce(F.col(named[n]), F.lit(least)) if n in named else F.lit(least) for n, least in asdict(otherwise).items()}
+    return _judge(known, limits).drop(*named.values())
+
+
+def _judge(summary: DataFrame, limits: dict[str, Column]) -> DataFrame:
+    tests = {name: F.col(name.replace("min_", "num_") if name in ("min_frames", "min_crops") else name[4:]) >= least for name, least in limits.items()}
     valid = F.lit(True)
     for test in tests.values():
         valid = valid & test

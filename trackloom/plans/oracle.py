@@ -214,6 +214,28 @@ _I = {
     "q_hints_reid": _hints("reid", {k.replace("{t}", "0.3"): v for k, v in identities.REID_HINTS.items()}, "SELECT * FROM dg"),
 }
 
+_JUDGED = "j.track_key, j.camera, j.track_id, j.num_frames, j.num_crops, j.avg_conf, j.avg_area"
+_info = lambda n, t: f"(SELECT count(*) FROM {t}) AS {n}_rows, (SELECT min(source_frame) FROM {t}) AS {n}_min_frame, (SELECT max(source_frame) FROM {t}) AS {n}_max_frame, (SELECT string_agg(DISTINCT camera, ', ' ORDER BY camera) FROM {t}) AS {n}_cameras"
+_box = "camera, source_frame, gt_id, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS gt_area FROM gt WHERE x2 > x1 AND y2 > y1"
+_T |= {
+    "q_track_overview": f"SELECT {_JUDGED}, is_valid, CASE WHEN is_valid THEN 'valid' ELSE 'filtered' END AS status, dominant_gt_id, track_gt_purity AS track_purity FROM judged j LEFT JOIN tt ON j.track_key = tt.track_key",
+    "q_local_gallery": f"SELECT {_JUDGED}, representative_crop AS image_path, dominant_gt_id, track_gt_purity AS track_purity FROM judged j JOIN rep r ON j.track_key = r.track_key LEFT JOIN tt ON j.track_key = tt.track_key WHERE is_valid AND representative_crop <> ''",
+    "q_case_overview": "SELECT string_agg(DISTINCT camera, ', ' ORDER BY camera) AS cameras, min(source_frame) AS first_source_frame, max(source_frame) AS last_source_frame, count(DISTINCT track_key) AS num_tracks, (SELECT count(DISTINCT gt_id) FROM gt) AS num_gt_ids, (SELECT count(*) FROM gt) AS gt_rows FROM det",
+    "q_gt_info": f"SELECT {_info('pred', 'det')}, {_info('gt', 'gt')}, (SELECT count(*) FROM m WHERE gt_id > 0) AS matched_rows",
+    "q_camera_status": "SELECT c.camera, coalesce(n, 0) AS num_detections, coalesce(num_valid_tracks, 0) AS num_valid_tracks, round(tracking_score, 9) AS tracking_score, CASE WHEN n IS NULL THEN 'not_run' ELSE 'done' END AS status FROM (SELECT concat('camera_', i) AS camera FROM range(1, 6) t(i)) c LEFT JOIN (SELECT camera, count(*) AS n FROM det GROUP BY 1) d ON c.camera = d.camera LEFT JOIN sc ON c.camera = sc.scope",
+    "q_score_table": "SELECT scope, round(tracking_score, 9) AS tracking_score, round(1 - (gt_rows - covered_rows + raw_detections - matched_rows + id_switch_count) / gt_rows, 9) AS raw_mota_simple, mean_gt_iou AS motp_iou FROM sc JOIN ev USING (scope) WHERE scope <> 'all'",
+    "q_score_rollup": "SELECT round(avg(round(tracking_score, 9)), 7) AS mean_tracking_score, min(round(tracking_score, 9)) AS min_tracking_score, count(*) AS num_cameras_scored FROM sc WHERE scope <> 'all'",
+    "q_expected_ids": "SELECT count(DISTINCT gt_id) AS expected_global_ids FROM m WHERE gt_id > 0",
+    "q_overlay_truth": "SELECT d.det_id, f.gt_id, round(f.gt_iou, 9) AS gt_iou FROM det d JOIN (SELECT *, row_number() OVER (PARTITION BY camera, frame, track_key ORDER BY det_id) AS k FROM m) f ON d.camera = f.camera AND d.frame = f.frame AND d.track_key = f.track_key AND f.k = 1",
+    "q_camera_limits": "SELECT track_key, num_frames >= f AND num_crops >= c AS is_valid, concat_ws(', ', CASE WHEN num_frames < f THEN 'min_frames' END, CASE WHEN num_crops < c THEN 'min_crops' END) AS filter_reason FROM (SELECT *, CASE camera WHEN 'camera_1' THEN 10 WHEN 'camera_2' THEN 60 ELSE 30 END AS f, CASE camera WHEN 'camera_1' THEN 5 ELSE 24 END AS c FROM summ)",
+    "q_annotation_rows": f"SELECT DISTINCT {_box}",
+    "q_annotation_nested": f"SELECT DISTINCT {_box}",
+}
+_I |= {
+    "q_reid_summary": "SELECT num_local_tracks, num_global_ids, num_merged_pairs, (num_local_tracks - num_global_ids) / num_local_tracks AS fragment_reduction_rate, mean_global_id_purity, mixed_gid_count FROM rs0",
+    "q_gid_truth": "SELECT DISTINCT CAST(global_id AS INT) AS global_id, track_key, camera, gt_id FROM ge0",
+}
+
 ORACLE_SQL = {k: f"WITH {_BASE} {v}" for k, v in _T.items()}
 ORACLE_SQL |= {k: f"WITH {_BASE}, {_VECTORS} {v}" for k, v in _V.items()}
 ORACLE_SQL |= {k: f"WITH RECURSIVE {_BASE}, {_VECTORS}, {_MERGE} {v}" for k, v in _M.items()}

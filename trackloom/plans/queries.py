@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry
-from trackloom.operators import association, identities, matching, tracks
+from trackloom.operators import association, identities, matching, overviews, tracks
 from trackloom.plans import adapters
 from trackloom.sources import ground_truth as annotations
 from trackloom.sources.stages import settle
@@ -380,3 +380,98 @@ def q_closed_tracks(spark, sf_dir):
     rows = Case(spark, sf_dir).det.join(events, "det_id")
     found = closed_tracks(rows, "12 hours", "1 day").groupBy("track_key").agg(F.count(F.lit(1)).alias("sessions"), F.sum("num_rows").alias("num_rows"))
     return found
+
+
+@query
+def q_track_overview(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    return overviews.track_overview(case.judged(), matching.track_truth(case.matched()))
+
+
+@query
+def q_local_gallery(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    return overviews.local_gallery(case.judged(), matching.track_truth(case.matched()))
+
+
+@query
+def q_case_overview(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    return overviews.case_overview(case.det, case.gt())
+
+
+@query
+def q_gt_info(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    return overviews.truth_info(case.det, case.gt(), case.matched())
+
+
+@query
+def q_camera_status(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    cameras = spark.range(1, 6).select(F.concat(F.lit("camera_"), "id").alias("camera"))
+    return overviews.camera_status(cameras, case.det, case.judged(), _score(case, True))
+
+
+@query
+def q_score_table(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    metrics = matching.standard_metrics(matching.evaluate(case.matched(), case.gt(), by_camera=True))
+    found = overviews.score_table(_score(case, True), metrics)
+    return found.select("scope", "tracking_score", F.round("raw_mota_simple", 9).alias("raw_mota_simple"), "motp_iou")
+
+
+@query
+def q_score_rollup(spark, sf_dir):
+    found = overviews.score_rollup(_score(Case(spark, sf_dir), True))
+    return found.withColumn("mean_tracking_score", F.round("mean_tracking_score", 7))
+
+
+@query
+def q_expected_ids(spark, sf_dir):
+    matched = Case(spark, sf_dir).matched()
+    return overviews.expected_identities(matched, matching.track_truth(matched))
+
+
+@query
+def q_reid_summary(spark, sf_dir):
+    _, pairs, ids, _, found = _gids(Case(spark, sf_dir))
+    return overviews.identity_overview(ids, pairs, identities.identity_totals(found))
+
+
+@query
+def q_gid_truth(spark, sf_dir):
+    _, _, ids, matched, _ = _gids(Case(spark, sf_dir))
+    return overviews.identity_truth(ids, matched)
+
+
+@query
+def q_overlay_truth(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    return overviews.overlay_truth(case.det, case.matched()).select("det_id", "gt_id", F.round("gt_iou", 9).alias("gt_iou"))
+
+
+@query
+def q_camera_limits(spark, sf_dir):
+    profiles = spark.createDataFrame([("camera_1", 10, 5), ("camera_2", 60, None)], "camera string, min_frames int, min_crops int")
+    judged = tracks.judge_by_camera(tracks.summarize(Case(spark, sf_dir).det), profiles, LIMITS)
+    return judged.select("track_key", "is_valid", "filter_reason")
+
+
+def _annotations(case: Case, record) -> DataFrame:
+    """Ground truth as annotation texts, one for each frame of a camera."""
+    return case.gt().groupBy("camera", "source_frame").agg(F.collect_list(record).alias("records"))
+
+
+@query
+def q_annotation_rows(spark, sf_dir):
+    frames = _annotations(Case(spark, sf_dir), F.struct(F.col("gt_id").alias("id"), F.array("x1", "y1", "x2", "y2").alias("BboxP")))
+    return annotations.parse(frames.select("camera", F.to_json(F.create_map(F.col("source_frame").cast("string"), "records")).alias("value")))
+
+
+@query
+def q_annotation_nested(spark, sf_dir):
+    size = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    frames = _annotations(Case(spark, sf_dir), F.struct(F.col("gt_id").alias("person_id"), size.alias("rect")))
+    image = F.struct(F.col("source_frame").alias("frame_id"), F.col("records").alias("objects"))
+    return annotations.parse_nested(frames.select("camera", F.to_json(F.struct(F.array(image).alias("frames"))).alias("value")))

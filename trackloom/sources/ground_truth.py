@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names under which a box and an identity may be found, first one first.
 BOX_NAMES = ("BboxP", "bboxP", "bbox", "box")
 ID_NAMES = ("id", "gt_id", "person_id", "track_id")
+#: The same, and a frame's, in annotations of other shapes.
+NESTED_FRAME_NAMES = ("source_frame", "frame", "frame_id", "frame_index", "frame_number", "frameNumber", "image_id")
+NESTED_ID_NAMES = ("person_id", "identity_id", "identity", "gt_id", "track_id", "subject_id", "object_id", "id")
+NESTED_BOX_NAMES = ("BboxP", "bboxP", "bbox", "box", "bounding_box", "rect")
 _NUMBER = r"^[+-]?[0-9]+(\.[0-9]*)?$"
 
 
@@ -32,17 +39,60 @@ def valid_rows(rows: DataFrame) -> DataFrame:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """``camera, source_frame, gt_id, x1, y1, x2, y2, gt_area`` from rows ``camera, value`` (JSON)."""
+    """``camera, source_frame, gt_id, x1, y1, x2, y2, gt_area`` from rows ``camera, value`` (JSON);
+    repeated rows stay once."""
     frames = files.select("camera", F.explode(F.from_json("value", "map<string,array<string>>")).alias("frame", "items"))
     items = frames.where(F.col("frame").rlike(_NUMBER)).select("camera", F.col("frame").cast("int").alias("source_frame"), F.explode("items").alias("item"))
     found = lambda names: F.coalesce(*[F.get_json_object("item", f"$.{n}") for n in names])
     raw = items.select("camera", "source_frame", found(ID_NAMES).alias("id"), box_corners(found(BOX_NAMES)).alias("b"))
-    return valid_rows(raw.select("camera", "source_frame", F.expr("try_cast(try_cast(id AS double) AS int)").alias("gt_id"), "b.*"))
+    return valid_rows(raw.select("camera", "source_frame", F.expr("try_cast(try_cast(id AS double) AS int)").alias("gt_id"), "b.*")).distinct()
+
+
+def _records(text: str):
+    """``frame, id, box`` (the last two as JSON) of every record at any depth of a JSON text. A record
+    without a frame takes that of the nearest one around it, or else its nearest numeric key."""
+    try:
+        todo = [(json.loads(text), None)]
+    except (TypeError, ValueError):
+        return
+    while todo:
+        node, frame = todo.pop()
+        if isinstance(node, list):
+            todo += [(child, frame) for child in node]
+        elif isinstance(node, dict):
+            frame, who, box = (
+                next((node[n] for n in names if node.get(n) is not None), default)
+                for names, default in ((NESTED_FRAME_NAMES, frame), (NESTED_ID_NAMES, None), (NESTED_BOX_NAMES, None))
+            )
+            if frame is not None and who is not None and box is not None:
+                yield str(frame), str(who), json.dumps(box)
+            todo += [(child, key if frame is None and key.replace(".", "", 1).isdigit() else frame) for key, child in node.items()]
+
+
+def parse_nested(files: DataFrame, list_format: str = "xyxy") -> DataFrame:
+    """As ``parse``, from JSON of any shape; repeated rows stay once. A file is read by one task, as
+    JSON can't be split; what it holds is judged by Spark afterwards."""
+
+    def run(batches):
+        for batch in batches:
+            for camera, text in zip(batch["camera"], batch["value"], strict=True):
+                yield pd.DataFrame([(camera, *r) for r in _records(text)], columns=["camera", "frame", "id", "box"])
+
+    raw = files.select("camera", "value").mapInPandas(run, "camera string, frame string, id string, box string")
+    whole = lambda c: F.expr(f"try_cast(try_cast({c} AS double) AS int)")
+    return valid_rows(raw.select("camera", whole("frame").alias("source_frame"), whole("id").alias("gt_id"), box_corners(F.col("box"), list_format).alias("b")).select("camera", "source_frame", "gt_id", "b.*")).distinct()
+
+
+def parse_any(files: DataFrame, list_format: str = "xyxy") -> DataFrame:
+    """``parse``, and ``parse_nested`` for the cameras in which it finds nothing."""
+    plain = parse(files)
+    other = files.join(plain.select("camera").distinct(), "camera", "left_anti")
+    return plain.unionByName(parse_nested(other, list_format))
 
 
 def read(spark: SparkSession, path: str, first_frame: int | None = None, last_frame: int | None = None, annotation_start: int = 1) -> DataFrame:
     """All annotation files under ``path``. The camera is the part ``camera_<number>`` of a file's
     name; frames counted from 0 are moved by one; both limits are inclusive."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(camera_\d+)", 1).alias("camera"), "value")
-    gt = parse(files).withColumn("source_frame", F.col("source_frame") + (1 if annotation_start == 0 else 0))
+    gt = parse_any(files).withColumn("source_frame", F.col("source_frame") + (1 if annotation_start == 0 else 0))
     return gt.where(F.lit(True) if first_frame is None else F.col("source_frame").between(first_frame, last_frame))
