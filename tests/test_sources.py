@@ -21,3 +21,21 @@ def test_sql_functions(spark):
     geometry.register(spark)
     row = spark.sql("SELECT round(iou(0, 0, 10, 10, 5, 0, 15, 10), 6) AS a, iou(0, 0, 0, 0, 0, 0, 0, 0) AS b, temporal_gap(1, 10, 11, 20) AS c, temporal_overlap(1, 10, 10, 20) AS d").first()
     assert tuple(row) == (0.333333, 0.0, 0, 1)
+
+
+def test_annotations_of_other_shapes(spark):
+    from trackloom.sources.ground_truth import parse_any
+
+    texts = [
+        ("camera_1", '{"7": [{"id": 1, "BboxP": [0, 0, 2, 2]}, {"id": 1, "BboxP": [0, 0, 2, 2]}]}'),
+        ("camera_2", '{"frames": [{"frame_id": 3, "objects": [{"person_id": 4, "rect": {"x": 1, "y": 1, "w": 2, "h": 3}}]}]}'),
+        ("camera_3", '{"seen": {"5": {"people": [{"identity": "6", "bbox": [0, 0, 1, 1]}, {"identity": -1, "bbox": [0, 0, 1, 1]}]}}}'),
+        ("camera_4", "no JSON"),
+        ("camera_5", None),
+    ]
+    rows = parse_any(spark.createDataFrame(texts, "camera string, value string")).orderBy("camera").collect()
+    assert [tuple(r) for r in rows] == [
+        ("camera_1", 7, 1, 0.0, 0.0, 2.0, 2.0, 4.0),
+        ("camera_2", 3, 4, 1.0, 1.0, 3.0, 4.0, 6.0),
+        ("camera_3", 5, 6, 0.0, 0.0, 1.0, 1.0, 1.0),
+    ]
