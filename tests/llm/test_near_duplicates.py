@@ -73,3 +73,15 @@ def test_nulls_ties_and_clashing_columns(spark):
     assert group_near_duplicates(df.limit(0)).count() == 0
     kept = keep_one(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["7", "None", "None", "None"]
+
+
+def test_large_regions_lose_no_link(spark, monkeypatch):
+    """Pairs of copies inside regions with far more nodes than are met as neighbours, over many blocks."""
+    from trackloom.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 7)
+    common = [f"c{k}" for k in range(150)]
+    rows = [(2 * k + half, " ".join(common + [f"u{k}x{j}" for j in range(60)] + ["end"] * half)) for k in range(60) for half in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in group_near_duplicates(docs, n=4, neighbours=1).collect()}
+    assert found == {k: k - k % 2 for k in range(120)}

@@ -14,6 +14,10 @@ out. The rest is confirmed on full sets in two steps: first each node with its b
 then every candidate that still lies between two components. So a group of n copies costs about n
 comparisons of sets, and the links that are skipped join nodes that are connected already.
 
+The neighbours met are no cap: in regions with more nodes than that, all pairs of nodes which still
+lie in different components have their sketches compared, in blocks of about ``BLOCK_ROWS`` nodes,
+and those that agree are confirmed too. Regions of one component, the usual case, have none.
+
 Defined results: texts without words (null, empty) have empty sets and are linked with nothing;
 fewer words than n are one shingle; rows with equal ids count as one document; rows with a null id
 are members of their text's group (component null if no member has an id); repeated rows come out
@@ -38,6 +42,8 @@ VALUES, TREES, ROOT = 64, 21, 3
 MIN_AGREEING = 38
 #: Ids up to which the nodes to be compared are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Nodes in a block of a large region; a task compares two blocks at a time.
+BLOCK_ROWS = 4000
 
 _A = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(_A)
@@ -110,6 +116,38 @@ def _neighbours(width: int):
     return run
 
 
+def _across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of nodes of two blocks (or of one) in different components whose sketches agree."""
+    left, right = (rows[rows["block"] == block] for block in key[2:])
+    ids, of = right["id"].to_numpy(), right["of"].to_numpy()
+    sketch = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(-1, VALUES)
+    found = []
+    for one, mine, values in zip(left["id"], left["of"], left["sketch"], strict=True):
+        other = np.flatnonzero((of != mine) & (ids > one if key[2] == key[3] else ids != one))
+        agree = (sketch[other] == np.frombuffer(values, np.uint8)).sum(axis=1)
+        found += [(min(one, b), max(one, b)) for b in ids[other[agree >= MIN_AGREEING]]]
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _remaining(groups: DataFrame, known: DataFrame, pairs: DataFrame, neighbours: int) -> DataFrame:
+    """Pairs that the neighbours left out: both in one large region, but in different components."""
+    at = ["tree", "region"]
+    rows = groups.where("rep IS NOT NULL").select(F.col("rep").alias("id"), F.posexplode("regions").alias(*at))
+    large = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > neighbours + 1)
+    placed = rows.join(large, at).join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("of", F.coalesce("component", "id"))
+    placed = settle(placed.select("id", *at, "n", "of"))
+    sizes = placed.groupBy(*at, "of").agg(F.count(F.lit(1)).alias("size")).groupBy(*at)
+    mixed = sizes.agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.max("size").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # the largest component's blocks come first and meet the other ones only
+    rows = placed.join(mixed, at).withColumns({"mains": F.ceil(F.col("most") / BLOCK_ROWS), "others": F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS)})
+    own = F.when(F.col("of") == F.col("main"), F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "others"))
+    first = F.when(F.col("of") == F.col("main"), F.col("mains")).otherwise(F.lit(0).cast("long"))
+    met = rows.withColumns({"block": own, "other": F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1))})
+    met = met.join(groups.select(F.col("rep").alias("id"), "sketch"), "id")
+    met = met.select("id", "of", "sketch", "block", *at, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return met.groupBy(*at, "i", "j").applyInPandas(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+
+
 def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = word_hashes()
@@ -145,6 +183,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_compare(percent), "a long, b long").distinct()
 
 
+def _sets_of(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Full sets of the nodes in ``pairs``."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = texts.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "id", "left_semi")
+    return settle(wanted.mapInPandas(_sets(n), "id long, shingles binary").dropDuplicates())
+
+
 def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighbours: int = 8) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``.
 
@@ -164,9 +209,7 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     met = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(neighbours), "a long, b long, agree int")
     pairs = settle(met.where("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = texts.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "id", "left_semi")
-    sets = settle(wanted.mapInPandas(_sets(n), "id long, shingles binary").dropDuplicates())
+    sets = _sets_of(texts, pairs, n)
     best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
     first = settle(_confirm(pairs.withColumn("k", F.row_number().over(best)).where("k = 1"), sets, percent))
     known = components(first)
@@ -174,6 +217,10 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
     links = settle(first.unionByName(_confirm(apart, sets, percent)))
     known = components(links)
+    rest = settle(_remaining(groups, known, pairs, neighbours))
+    if not rest.isEmpty():
+        links = settle(links.unionByName(_confirm(rest, _sets_of(texts, rest, n), percent)))
+        known = components(links)
 
     merged = groups.join(known, F.col("rep") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "rep").alias("root"))
     placed = nodes.join(merged, ["key_a", "key_b"], "left")
