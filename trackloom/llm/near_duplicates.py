@@ -15,8 +15,9 @@ then every candidate that still lies between two components. So a group of n cop
 comparisons of sets, and the links that are skipped join nodes that are connected already.
 
 The neighbours met are no cap: in regions with more nodes than that, all pairs of nodes which still
-lie in different components have their sketches compared, in blocks of about ``BLOCK_ROWS`` nodes,
-and those that agree are confirmed too. Regions of one component, the usual case, have none.
+lie in different components have their sketches compared, in blocks of about ``BLOCK_ROWS`` nodes
+or ``BLOCK_SHINGLES`` shingles, and those that agree are confirmed on full sets in the same task,
+which returns links only. Regions of one component, the usual case, have none.
 
 Defined results: texts without words (null, empty) have empty sets and are linked with nothing;
 fewer words than n are one shingle; rows with equal ids count as one document; rows with a null id
@@ -42,8 +43,8 @@ VALUES, TREES, ROOT = 64, 21, 3
 MIN_AGREEING = 38
 #: Ids up to which the nodes to be compared are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Nodes in a block of a large region; a task compares two blocks at a time.
-BLOCK_ROWS = 4000
+#: Nodes and shingles in a block of a large region, about; a task compares two blocks at a time.
+BLOCK_ROWS, BLOCK_SHINGLES = 2000, 1_000_000
 
 _A = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(_A)
@@ -116,36 +117,65 @@ def _neighbours(width: int):
     return run
 
 
-def _across(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of two blocks (or of one) in different components whose sketches agree."""
-    left, right = (rows[rows["block"] == block] for block in key[2:])
-    ids, of = right["id"].to_numpy(), right["of"].to_numpy()
-    sketch = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(-1, VALUES)
-    found = []
-    for one, mine, values in zip(left["id"], left["of"], left["sketch"], strict=True):
-        other = np.flatnonzero((of != mine) & (ids > one if key[2] == key[3] else ids != one))
-        agree = (sketch[other] == np.frombuffer(values, np.uint8)).sum(axis=1)
-        found += [(min(one, b), max(one, b)) for b in ids[other[agree >= MIN_AGREEING]]]
-    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+def _across(percent: int):
+    """Links between nodes of two blocks (or of one) in different components, confirmed on full sets.
+
+    A pair is left to the first tree in which it shares a region, and to the links found before
+    it, so a task returns fewer links than it has nodes."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tree, _, i, j = key
+        ids, block, of = rows["id"].to_numpy(), rows["block"].to_numpy(), rows["of"].to_numpy().copy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        sets = [flat[end - size : end] for end, size in zip(ends, sizes, strict=True)]
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, VALUES)
+        earlier = np.stack(rows["regions"])[:, :tree]
+        mark, right, found = np.zeros(len(distinct), bool), np.flatnonzero(block == j), []
+        for one in np.flatnonzero(block == i):
+            other = right[of[right] != of[one]]
+            if i == j:
+                other = other[other > one]
+            other = other[100 * np.minimum(sizes[other], sizes[one]) >= percent * np.maximum(sizes[other], sizes[one])]
+            other = other[(sketch[other] == sketch[one]).sum(axis=1) >= MIN_AGREEING]
+            other = other[~(earlier[other] == earlier[one]).any(axis=1)]
+            if not len(other):
+                continue
+            mark[sets[one]] = True
+            starts = np.cumsum(sizes[other]) - sizes[other]
+            both = np.add.reduceat(mark[np.concatenate([sets[k] for k in other])], starts, dtype=np.int64)
+            mark[sets[one]] = False
+            for k in other[100 * both >= percent * (sizes[other] + sizes[one] - both)]:
+                if of[k] != of[one]:
+                    found.append((ids[one], ids[k]))
+                    of[of == of[k]] = of[one]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return run
 
 
-def _remaining(groups: DataFrame, known: DataFrame, pairs: DataFrame, neighbours: int) -> DataFrame:
-    """Pairs that the neighbours left out: both in one large region, but in different components."""
+def _remaining(groups: DataFrame, known: DataFrame, texts: DataFrame, n: int, percent: int, neighbours: int) -> DataFrame:
+    """Links that the neighbours left out: both ends in one large region, but in different components."""
     at = ["tree", "region"]
-    rows = groups.where("rep IS NOT NULL").select(F.col("rep").alias("id"), F.posexplode("regions").alias(*at))
-    large = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > neighbours + 1)
+    rows = groups.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "n_shingles", F.posexplode("regions").alias(*at))
+    large = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where(F.col("n") > neighbours + 1)
     placed = rows.join(large, at).join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("of", F.coalesce("component", "id"))
-    placed = settle(placed.select("id", *at, "n", "of"))
-    sizes = placed.groupBy(*at, "of").agg(F.count(F.lit(1)).alias("size")).groupBy(*at)
-    mixed = sizes.agg(F.max_by("of", F.struct("size", "of")).alias("main"), F.max("size").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    placed = settle(placed.select("id", "n_shingles", *at, "n", "weight", "of"))
+    sizes = placed.groupBy(*at, "of").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), "of").alias("size"))
+    mixed = sizes.groupBy(*at).agg(F.max("size").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    rows = settle(placed.join(mixed, at))
     # the largest component's blocks come first and meet the other ones only
-    rows = placed.join(mixed, at).withColumns({"mains": F.ceil(F.col("most") / BLOCK_ROWS), "others": F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS)})
-    own = F.when(F.col("of") == F.col("main"), F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "others"))
-    first = F.when(F.col("of") == F.col("main"), F.col("mains")).otherwise(F.lit(0).cast("long"))
+    blocks = lambda nodes, weight: F.ceil(F.greatest(nodes / BLOCK_ROWS, weight / BLOCK_SHINGLES))
+    rows = rows.withColumns({"mains": blocks(F.col("main.n"), F.col("main.weight")), "others": blocks(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight"))})
+    is_main = F.col("of") == F.col("main.of")
+    own = F.when(is_main, F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "others"))
+    first = F.when(is_main, F.col("mains")).otherwise(F.lit(0).cast("long"))
     met = rows.withColumns({"block": own, "other": F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1))})
-    met = met.join(groups.select(F.col("rep").alias("id"), "sketch"), "id")
-    met = met.select("id", "of", "sketch", "block", *at, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return met.groupBy(*at, "i", "j").applyInPandas(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    whole = groups.select(F.col("rep").alias("id"), "sketch", "regions").join(_sets_of(texts, rows.select("id").distinct(), n), "id")
+    met = met.select("id", "of", "block", *at, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(whole, "id")
+    return met.groupBy(*at, "i", "j").applyInPandas(_across(percent), "a long, b long")
 
 
 def _sets(n: int):
@@ -183,9 +213,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_compare(percent), "a long, b long").distinct()
 
 
-def _sets_of(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Full sets of the nodes in ``pairs``."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _sets_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Full sets of the nodes in ``ids``."""
     wanted = texts.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "id", "left_semi")
     return settle(wanted.mapInPandas(_sets(n), "id long, shingles binary").dropDuplicates())
 
@@ -201,7 +230,7 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     nodes = settle(texts.mapInPandas(_measure(n), _NODES))
     groups = settle(
-        nodes.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.first("regions").alias("regions"), F.first("sketch").alias("sketch"))
+        nodes.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "regions", "sketch")])
     )
     rows = groups.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "sketch", F.posexplode("regions").alias("tree", "region"))
     turned = F.expr(f"concat(substring(sketch, 1 + {ROOT} * (tree + 1)), substring(sketch, 1, {ROOT} * (tree + 1)))")
@@ -209,7 +238,7 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     met = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(neighbours), "a long, b long, agree int")
     pairs = settle(met.where("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")))
 
-    sets = _sets_of(texts, pairs, n)
+    sets = _sets_of(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), n)
     best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
     first = settle(_confirm(pairs.withColumn("k", F.row_number().over(best)).where("k = 1"), sets, percent))
     known = components(first)
@@ -217,10 +246,9 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
     links = settle(first.unionByName(_confirm(apart, sets, percent)))
     known = components(links)
-    rest = settle(_remaining(groups, known, pairs, neighbours))
+    rest = settle(_remaining(groups, known, texts, n, percent, neighbours))
     if not rest.isEmpty():
-        links = settle(links.unionByName(_confirm(rest, _sets_of(texts, rest, n), percent)))
-        known = components(links)
+        known = components(links.unionByName(rest))
 
     merged = groups.join(known, F.col("rep") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "rep").alias("root"))
     placed = nodes.join(merged, ["key_a", "key_b"], "left")
