@@ -85,3 +85,19 @@ def test_large_regions_lose_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in group_near_duplicates(docs, n=4, neighbours=1).collect()}
     assert found == {k: k - k % 2 for k in range(120)}
+
+
+def test_blocks_by_shingles_match_brute_force(spark, monkeypatch):
+    """A large region with many pairs just below the threshold; blocks of few shingles, some of one long text."""
+    from trackloom.llm import near_duplicates
+
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 2000)
+    rng, base, rows = random.Random(8), [f"c{k}" for k in range(300)], []
+    for k in range(90):
+        own = list(base) + [f"l{k}x{j}" for j in range(rng.randrange(60))]
+        for _ in range(rng.randrange(14)):
+            own[rng.randrange(len(own))] = f"y{k}"
+        rows.append((k, " ".join(own), None))
+    rows.append((900, " ".join(f"z{k}" for k in range(20_000)), None))
+    got = group_near_duplicates(spark.createDataFrame(rows, SCHEMA), n=4, neighbours=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 80)
