@@ -85,3 +85,48 @@ def test_packed_keys_come_back():
     assert (language_model._unpack(language_model._pack(keys)) == keys).all()
     counts = np.array([0, 127, 128, 2**40])
     assert (language_model._wide(language_model._slim(counts)) == counts).all()
+
+
+def katz(n):
+    """Factors from a least-squares line through log n_r, in plain Python."""
+    k = CUTOFF
+    xs, ys = [math.log(r) for r in range(1, k + 2)], [math.log(x) for x in n]
+    mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+    b = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / sum((x - mx) ** 2 for x in xs)
+    smooth = [None, *(math.exp(my + b * (x - mx)) for x in xs)]
+    top = (k + 1) * smooth[k + 1] / smooth[1]
+    return [1.0, *(((r + 1) * smooth[r + 1] / (r * smooth[r]) - top) / (1 - top) for r in range(1, k + 1))]
+
+
+@pytest.mark.parametrize(
+    "n",
+    [
+        [200420, 57120, 23804, 13644, 12859, 6775],  # words of sf0.1: the raw formula gives 1.223 for r = 4
+        [1482341, 227973, 46941, 19718, 17404, 6993],  # its pairs: 1.106
+        [3600, 900, 400, 225, 144, 100],  # on a power law already: fitted and raw counts agree
+    ],
+)
+def test_discounts_are_good_turing(n):
+    got = list(discounts(n))
+    assert got == pytest.approx(katz(n)) and all(0 < x < 1 for x in got[1:]) and got[1:] == sorted(got[1:])
+    assert got != pytest.approx([1.0, *((r - 0.5) / r for r in range(1, CUTOFF + 1))])
+    if n[0] == 3600:
+        top = 6 * n[5] / n[0]
+        assert got[1:] == pytest.approx([((r + 1) * n[r] / (r * n[r - 1]) - top) / (1 - top) for r in range(1, CUTOFF + 1)])
+
+
+@pytest.mark.parametrize("n", [[0] * 6, [9, 0, 0, 0, 0, 0], [1, 1, 1, 1, 1, 1], [1, 0, 0, 7, 0, 3], [0, 0, 0, 0, 5, 900], [10**12, 1, 0, 0, 0, 0]])
+def test_discounts_hold_for_any_counts(n):
+    got = discounts(n)[1:]
+    assert all(0 < x < 1 for x in got) and list(got) == sorted(got)
+    steeper = [discounts([10**6, 10**6 // 2 - d, *(10**6 // r for r in range(3, 7))])[1:] for d in (0, 10)]
+    assert steeper[0] == pytest.approx(steeper[1], abs=1e-4)  # no jump where the power passes -1
+
+
+def test_scores_take_the_good_turing_factors(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(1.0))}" for _ in range(30)), None) for i in range(80)]
+    monkeypatch.setitem(brute.__globals__, "discounts", katz)
+    want, _ = brute(rows)
+    got = score(spark.createDataFrame(rows, SCHEMA), held()).collect()
+    assert [r.score for r in got] == pytest.approx([want[r.doc_id][5] for r in got], rel=1e-9)

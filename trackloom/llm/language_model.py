@@ -16,8 +16,10 @@ off. A frequent word is one entry for each chunk, so no key is hot. The number o
 the tokens, up to 32,768; beyond (some terabytes of text) ranges grow instead, and larger chunks
 are called for.
 
-Discounts fall back to an absolute one of a half where counts of counts are too few for the
-Good-Turing formula. Defined results: a null or empty text is its end token; a null id hashes as
+Counts of counts are smoothed first, by a power law fitted to their logarithms as in Simple
+Good-Turing, and Katz's formula takes the fitted values; so one law holds at every size, and its
+factors always lie between 0 and 1. Where the fit falls no faster than 1/r, Katz's factors have
+their limit at 1/r; with fewer than two counts to fit, the power is -2 (Zipf). Defined results: a null or empty text is its end token; a null id hashes as
 empty text and so counts as training; repeated rows count each time; an empty table gives no rows;
 without training documents every token is unknown, with probability 1; other columns are ignored.
 """
@@ -172,16 +174,21 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
-    """Factor for each count up to ``CUTOFF`` (place 0 unused)."""
+    """Katz's Good-Turing factor for each count up to ``CUTOFF`` (place 0 unused).
+
+    Of n_r fitted by C r^b, (r + 1) n_(r+1) / (r n_r) is (1 + 1/r)^(b+1), and (k + 1) n_(k+1) / n_1
+    is (k + 1)^(b+1)."""
     n, k = [0, *counts_of_counts], CUTOFF
+    at = [r for r in range(1, len(n)) if n[r]]
+    power = -2.0
+    if len(at) > 1:
+        # A count next to empty places stands for them too; the last one reaches as far up as down.
+        wide = np.diff([0, *at, 2 * at[-1] - at[-2]])
+        power = float(np.polyfit(np.log(at), np.log([2 * n[r] / w for r, w in zip(at, wide[:-1] + wide[1:], strict=True)]), 1)[0])
     found = np.ones(k + 1)
-    if all(n[1 : k + 2]):
-        top = (k + 1) * n[k + 1] / n[1]
-        if top < 1:
-            found[1:] = [((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) for r in range(1, k + 1)]
-            if ((found[1:] > 0) & (found[1:] <= 1)).all():
-                return found
-    found[1:] = [(r - 0.5) / r for r in range(1, k + 1)]
+    rise, up = np.log1p(1 / np.arange(1, k + 1)), min(power + 1, 0.0)
+    top = np.log(k + 1)
+    found[1:] = 1 - (np.expm1(up * rise) / np.expm1(up * top) if up < -1e-9 else rise / top)
     return found
 
 
