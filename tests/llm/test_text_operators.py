@@ -198,6 +198,29 @@ def test_secrets(spark):
     assert secrets.redact(frame(spark, rows).limit(0)).count() == 0 == secrets.scan(frame(spark, rows).limit(0)).count()
 
 
+def test_secrets_in_assignments_without_blanks(spark):
+    key, other = "Zx8Qp2LmN7vB4kT9sW3eR6yU1iO5aHdF", "k2J8fQw9Rz4Tn7Xc1Vb6"
+    forms = [
+        ("private_key={}", [key]),
+        ("AUTH={}", [key]),
+        ("export AWS_ACCESS_KEY={};", [key]),
+        ("credential=={}", [key]),
+        ("GET https://example.com/cb?id=7&auth={}&next=1", [key]),
+        ("auth={}", [key + "=="]),
+        ("private_key={}=signature={}", [key, other]),
+        ("name_of_a_long_setting=auth-{}", []),
+        ("private_key=application_context_application_context_1{}", []),
+        ("colour={}", []),
+    ]
+    rows = [(i, form.format(*(values or [key if "colour" in form else ""]))) for i, (form, values) in enumerate(forms)]
+    got = {r.doc_id: r.spans for r in secrets.scan(frame(spark, rows)).collect()}
+    for i, text in rows:
+        spans = [x.split(":") for x in got[i].split(",") if x]
+        assert [(k, text[int(s) : int(e)]) for k, s, e in spans] == [("novel", v) for v in forms[i][1]], text
+    masked = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert all(masked[i] == form.format(*["[secret]"] * len(values)) for i, (form, values) in enumerate(forms) if values)
+
+
 # -- token counts ----------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 The patterns find assignments to telling names, access key ids and long hexadecimal runs. Beyond
 them, a candidate is a run of 20 or more key characters with letters and digits that follows a
-sensitive word within 48 characters of the same line. Its novelty is the number of bytes by which
+sensitive word within 48 characters of the same line. ``=`` belongs to a run as padding at its end;
+within it, it ends a name, so every value of ``private_key=VALUE`` is a candidate whose sensitive
+word may stand in the run before it (the whole run is tried if no value is a secret). Its novelty is the number of bytes by which
 it lengthens the zstandard frame of its surroundings (128 characters before, 64 after) under a
 dictionary of common identifiers: text that repeats its surroundings or is built from known names
 costs little, random keys cost what their alphabet demands. From ``min_novelty`` bytes per
@@ -35,6 +37,7 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make their surroundings sensitive.
 SENSITIVE = re.compile(r"key|token|secret|passw|credential|auth|private|bearer|signature|pwd", re.ASCII | re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+VALUE = re.compile(r"[^=]+(?:=+\Z)?")
 
 #: Identifiers that source code is full of; callers may pass their own.
 IDENTIFIERS = (
@@ -62,6 +65,12 @@ class Scanner:
         before, after = text[max(0, start - 128) : start], text[end : end + 64]
         return (self.size(before + text[start:end] + after) - self.size(before + after)) / (end - start)
 
+    def novel(self, text: str, start: int, end: int, taken: list[tuple[int, int]]) -> bool:
+        run = text[start:end]
+        if len(run) < 20 or run.isalpha() or run.isdigit() or any(s < end and start < e for s, e in taken):
+            return False
+        return self.novelty(text, start, end) >= self.min_novelty
+
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, kind, end), sorted; kind is a place in ``KINDS``."""
         if not text:
@@ -74,12 +83,15 @@ class Scanner:
         taken = sorted((s, e) for s, _, e in found)
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
-            run = m.group()
-            if run.isalpha() or run.isdigit() or any(s < end and start < e for s, e in taken):
+            near = max(0, start - 48)
+            word = SENSITIVE.search(text, max(near, text.rfind("\n", near, start) + 1), end)
+            if not word:
                 continue
-            line = text.rfind("\n", 0, start) + 1
-            if SENSITIVE.search(text, max(line, start - 48), start) and self.novelty(text, start, end) >= self.min_novelty:
-                found.append((start, 3, end))
+            values = [(start + v.start(), start + v.end()) for v in VALUE.finditer(m.group())]
+            novel = [(s, 3, e) for s, e in values if word.end() <= s and self.novel(text, s, e, taken)]
+            if not novel and values != [(start, end)] and word.end() <= start and self.novel(text, start, end, taken):
+                novel = [(start, 3, end)]
+            found += novel
         return sorted(found)
 
 
