@@ -90,6 +90,16 @@ def test_importance_finds_the_target_on_held_out_documents(spark):
     assert all(r.n_features == 0 and r.log_weight == 0 for r in got if r.doc_id in (900, 901, 902))
 
 
+def test_importance_leaves_no_place_for_toxic_documents(spark):
+    rng = random.Random(15)
+    kinds = [("w", 1, 0)] * 240 + [("vile", 1, 1)] * 90 + [("junk", 0, 0)] * 50 + [("foul", 0, 1)] * 20
+    rows = [(i, " ".join(f"{stem}{rng.randrange(60)}" for _ in range(40))) for i, (stem, *_) in enumerate(kinds)]
+    labels = [(i, quality, toxic) for i, (_, quality, toxic) in enumerate(kinds)]
+    got = importance.resample(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert sum(r.kept for r in got) == 240
+    assert all(r.kept == (r.doc_id < 240) for r in got)
+
+
 def test_importance_edges(spark):
     docs, none = frame(spark, [(1, "a b c")] * 3), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = importance.resample(docs, none).collect()

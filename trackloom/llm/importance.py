@@ -53,12 +53,11 @@ def _count(buckets: int):
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labels: int = MAX_LABELS) -> tuple[np.ndarray, float]:
-    """log p(bucket | target) - log p(bucket | all), add-one smoothed; the share of labels of good quality."""
+    """log p(bucket | target) - log p(bucket | all), add-one smoothed; the share of labels that are target."""
     good = F.expr("coalesce(quality = 1 AND toxic = 0, false)")
     sample = labels.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    sample = sample.select("doc_id", good.alias("good"), F.expr("coalesce(quality = 1, false)").alias("fair"))
-    sample = settle(sample)
-    share = sample.agg(F.avg(F.col("fair").cast("double"))).first()[0]
+    sample = settle(sample.select("doc_id", good.alias("good")))
+    share = sample.agg(F.avg(F.col("good").cast("double"))).first()[0]
     ids = sample.where("good").select(F.col("doc_id").alias("__id")).distinct().withColumn("good", F.lit(True))
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left")
     parts = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInPandas(_count(buckets), "bucket long, raw long, target long")
@@ -99,7 +98,7 @@ def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> int | None
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11, buckets: int = BUCKETS, max_labels: int = MAX_LABELS) -> DataFrame:
     """``doc_id``, ``n_features``, ``log_weight``, ``key`` and ``kept`` for each row of ``docs``.
 
-    ``share``: of the rows to keep; by default that of the labels with quality 1."""
+    ``share``: of the rows to keep; by default that of the labels that make the target (quality 1, not toxic)."""
     ratios, good = log_ratios(docs, labels, buckets, max_labels)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_score(ratios), "doc_id long, n_features long, log_weight double")
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
