@@ -63,6 +63,28 @@ def test_repeats_match_brute_force(spark):
     assert all(left[i] == len(t) - sum(e - s for d, s, e, *_ in want if d == i) for i, t in rows)
 
 
+def test_repeats_miss_no_line_and_no_passage(spark, tmp_path):
+    from trackloom.llm.registry import op1_repeats
+
+    rng = random.Random(13)
+    passage, line = words(rng, 50, 9**9), "All rights reserved by us"
+    rows = [(i, f"{words(rng, 30, 9**9)} {passage.upper() if i % 2 else passage} {words(rng, 30, 9**9)}") for i in range(8)]
+    rows += [(i, f"{words(rng, 9, 9**9)}\n{line}\n{words(rng, 9, 9**9)}") for i in range(8, 12)]
+    rows += [(20, " ".join(["over", "and", "then"] * 60)), (21, None)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op1_repeats(spark, str(tmp_path)).collect()
+    texts = dict(rows)
+    for r in got:
+        span = texts[r.doc_id][r.span_start : r.span_end].lower()
+        assert r.n_words == len(span.split()) and r.kept_doc_id <= r.doc_id
+        assert " ".join(span.split()) in " ".join(texts[r.kept_doc_id].lower().split())
+    assert sorted({r.doc_id for r in got}) == [*range(1, 8), 9, 10, 11, 20]
+    assert all(r.n_words >= 25 for r in got if r.doc_id < 8)
+    assert [texts[r.doc_id][r.span_start : r.span_end].strip() for r in got if 8 <= r.doc_id < 12] == [line] * 3
+    left = repeats.remove_repeats(frame(spark, rows), min_words=1, passage_words=50).where("doc_id = 20").first().text
+    assert len(left.split()) >= 25  # the place that stays isn't cut by runs that overlap it
+
+
 def test_repeats_edges(spark):
     text = sentences(random.Random(1), 12)
     rows = [*EDGES, (5, text), (5, text), (None, text), (8, text.upper().replace(" ", "\t"))]

@@ -19,7 +19,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.find_repeats(table(spark, sf_dir, "documents")).drop("row")
+    return repeats.find_repeats(table(spark, sf_dir, "documents"), min_words=1, passage_words=50).drop("row")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

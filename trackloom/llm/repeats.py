@@ -8,6 +8,11 @@ are grouped over the whole corpus; the occurrence of the least (doc_id, row, off
 others go. Neighbouring units that go are joined, and a run is reported from ``min_words`` words
 on, with its code point offsets in the original text.
 
+Passages that hold no whole unit are found with ``passage_words``: of the runs of half as many words
+that begin in a stretch of the other half, the one of least hash is a unit too (winnowing), so two
+texts that share ``passage_words`` words share at least one. These units may overlap; one that
+overlaps the place that stays goes only behind it.
+
 Digests that hold a thousandth of all units or more are looked up by a broadcast (at most 1000
 rows by that definition), the rest by a shuffle, in which no key is then hot.
 
@@ -27,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import settle
+from trackloom.llm.common import mix, settle, word_hashes
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
-_UNITS = "doc_id long, row long, unit int, start int, end int, words int, hash_a long, hash_b long"
+_WORD = re.compile(r"\S+")
+_UNITS = "doc_id long, row long, start int, end int, word_from int, word_to int, hash_a long, hash_b long"
 
 
 def cut(text: str, unit_words: int) -> Iterator[tuple[int, int, list[str]]]:
@@ -47,29 +53,57 @@ def cut(text: str, unit_words: int) -> Iterator[tuple[int, int, list[str]]]:
         sentence = end
 
 
-def _units(unit_words: int):
+def winnow(text: str, passage_words: int, hashes) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Digests and places (start, end, first word, word behind) of the chosen runs of words."""
+    size = passage_words // 2
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    if len(words) < passage_words:
+        return np.empty((0, 2), np.uint64), []
+    low = text.lower() if len(text.lower()) == len(text) else None
+    one = [(low[a:b] if low else text[a:b].lower()).encode("utf-8", "surrogatepass") for a, b in words]
+    hashed = np.fromiter(map(hashes.__getitem__, one), np.uint64, len(one))
+    n = len(hashed) - size + 1
+    both = np.zeros((n, 2), np.uint64)
+    for k in range(size):
+        both = both * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + hashed[k : k + n, None]
+    both = mix(both)
+    stretch = np.lib.stride_tricks.sliding_window_view(both[:, 0], passage_words - size + 1)
+    at = np.unique(stretch.argmin(axis=1) + np.arange(len(stretch)))
+    return both[at], [(words[p][0], words[p + size - 1][1], p, p + size) for p in at.tolist()]
+
+
+def _units(unit_words: int, passage_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = word_hashes()
         for batch in batches:
             for k in range(0, len(batch), 1000):
-                rows, digests = [], []
+                rows, digests, others = [], [], []
                 for doc_id, row, text in batch.iloc[k : k + 1000].itertuples(index=False):
-                    for unit, (start, end, words) in enumerate(cut(text or "", unit_words)):
-                        rows.append((doc_id, row, unit, start, end, len(words)))
+                    at = 0
+                    for start, end, words in cut(text or "", unit_words):
+                        rows.append((doc_id, row, start, end, at, at + len(words)))
                         digests.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass")))
-                out = pd.DataFrame(rows, columns=["doc_id", "row", "unit", "start", "end", "words"])
+                        at += len(words)
+                    if passage_words:
+                        others.append((doc_id, row, *winnow(text or "", passage_words, hashes)))
+                more = [(doc_id, row, *place) for doc_id, row, _, places in others for place in places]
+                out = pd.DataFrame(rows + more, columns=["doc_id", "row", "start", "end", "word_from", "word_to"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
-                hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield out.assign(hash_a=hashes[:, 0], hash_b=hashes[:, 1])
+                found = np.concatenate([np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), *(h.view(np.int64) for _, _, h, _ in others)])
+                yield out.assign(hash_a=found[:, 0], hash_b=found[:, 1])
 
     return run
 
 
-def find_repeats(docs: DataFrame, unit_words: int = 5, min_words: int = 25, parts: int = 1000) -> DataFrame:
+def find_repeats(docs: DataFrame, unit_words: int = 5, min_words: int = 25, parts: int = 1000, passage_words: int = 0) -> DataFrame:
     """A row for each run of repeated units: ``doc_id``, ``row`` (of the scan), ``span_start``,
-    ``span_end`` (end exclusive), ``n_words`` and ``kept_doc_id``, where its first unit stays."""
+    ``span_end`` (end exclusive), ``n_words`` and ``kept_doc_id``, where its first unit stays.
+
+    ``min_words``: 1 for every repeated unit. ``passage_words``: 0, or the length (2 or more) from
+    which no shared passage is missed."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    units = settle(texts.mapInPandas(_units(unit_words), _UNITS))
-    place = F.struct("doc_id", "row", "start")
+    units = settle(texts.mapInPandas(_units(unit_words, passage_words), _UNITS))
+    place = F.struct("doc_id", "row", "start", "end", "word_to")
     groups = units.groupBy("hash_a", "hash_b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     groups = settle(groups.where("n > 1"))
     hot = groups.where(F.col("n") * parts >= units.count())
@@ -77,14 +111,18 @@ def find_repeats(docs: DataFrame, unit_words: int = 5, min_words: int = 25, part
         units.join(F.broadcast(hot), ["hash_a", "hash_b"], "left_anti").join(groups.join(F.broadcast(hot), ["hash_a", "hash_b"], "left_anti"), ["hash_a", "hash_b"])
     )
     gone = found.where("row <> first.row OR start <> first.start")
-    run = F.col("unit") - F.row_number().over(Window.partitionBy("row").orderBy("unit"))
-    runs = gone.withColumn("run", run).groupBy("row", "run")
+    for c, at in (("start", "first.end"), ("word_from", "first.word_to")):
+        gone = gone.withColumn(c, F.when(F.col("row") == F.col("first.row"), F.greatest(c, at)).otherwise(F.col(c)))
+    by = Window.partitionBy("row").orderBy("word_from", "word_to")
+    before = F.max("word_to").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    gone = gone.where("word_from < word_to").withColumn("new", F.coalesce((F.col("word_from") > before).cast("int"), F.lit(1)))
+    runs = gone.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "run")
     spans = runs.agg(
         F.first("doc_id").alias("doc_id"),
         F.min("start").alias("span_start"),
         F.max("end").alias("span_end"),
-        F.sum("words").alias("n_words"),
-        F.min_by("first.doc_id", "unit").alias("kept_doc_id"),
+        (F.max("word_to") - F.min("word_from")).cast("long").alias("n_words"),
+        F.min_by("first.doc_id", F.struct("word_from", "word_to")).alias("kept_doc_id"),
     )
     return spans.where(F.col("n_words") >= min_words).select("doc_id", "row", "span_start", "span_end", "n_words", "kept_doc_id")
 
