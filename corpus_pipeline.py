@@ -45,7 +45,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Compression, MinHash and tokenizers have no SQL; tests hold run() against a brute-force version.
+#: Compression, MinHash and tokenizers have no SQL. Tests check that run() chains STAGES and that counts, ids and
+#: masks fit together; no brute-force version of the whole is held against it.
 ORACLE_SQL = None
 
 
