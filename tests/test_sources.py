@@ -39,3 +39,30 @@ def test_annotations_of_other_shapes(spark):
         ("camera_2", 3, 4, 1.0, 1.0, 3.0, 4.0, 6.0),
         ("camera_3", 5, 6, 0.0, 0.0, 1.0, 1.0, 1.0),
     ]
+
+
+def test_malformed_annotations_lose_their_own_rows_only(spark):
+    from trackloom.sources.ground_truth import parse, parse_any, parse_nested
+
+    text = json.dumps(
+        {
+            "12.0": [{"id": 1, "person_id": 77, "BboxP": [0, 0, 2, 2]}, {"id": 2, "BboxP": ["abc", 0, 2, 2]}, {"id": 3, "BboxP": [1, 2]}, "text", None, 5],
+            "meta": {"frame": 9, "id": 4, "bbox": [0, 0, 3, 3]},
+            "13": {"id": 5, "BboxP": [0, 0, 1, 1]},
+            "14": "none",
+            "x": [{"id": 6, "BboxP": [0, 0, 1, 1]}],
+            "15": [{"id": "nan", "BboxP": [0, 0, 1, 1]}, {"id": "7.9", "BboxP": ["0", "0", "1.5", "1"]}],
+        }
+    )
+    files = spark.createDataFrame([("camera_1", text)], "camera string, value string")
+    want = [("camera_1", 12, 1, 0.0, 0.0, 2.0, 2.0, 4.0), ("camera_1", 15, 7, 0.0, 0.0, 1.5, 1.0, 1.5)]
+    assert sorted(map(tuple, parse(files).collect())) == sorted(map(tuple, parse_any(files).collect())) == want
+    wrong = spark.createDataFrame([("camera_2", '{"a": {"frame": "x", "id": 1, "box": [0, 0, 1, 1]}, "b": {"frame": 1, "id": 1, "box": {"x": "q", "y": 0, "w": 1, "h": 1}}}')], "camera string, value string")
+    assert parse_nested(wrong).count() == 0
+
+
+def test_lists_by_size(spark):
+    from trackloom.sources.ground_truth import parse_nested
+
+    files = spark.createDataFrame([("camera_1", '{"frames": [{"frame": 3, "id": 4, "bbox": [1, 1, 2, 3]}]}')], "camera string, value string")
+    assert [tuple(r) for r in parse_nested(files, "xywh").collect()] == [("camera_1", 3, 4, 1.0, 1.0, 3.0, 4.0, 6.0)]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import gap, overlap
 from trackloom.operators.graph import components
+from trackloom.sources.stages import settle
 
 
 @dataclass(frozen=True)
@@ -32,14 +33,18 @@ class Rules:
 
 
 def _multiply(floor: float):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        left, right = (rows[rows["block"] == b] for b in key)
         if not len(left) or not len(right):
-            return pd.DataFrame({"track_a": [], "track_b": [], "cosine_similarity": []})
-        a, b = (np.stack(x.to_numpy()).astype(float) for x in (left["vector"], right["other"]))
+            return pd.DataFrame(columns=["track_a", "track_b", "cosine_similarity"], dtype=object)
+        a, b = (np.stack(side["vector"].to_numpy()).astype(float) for side in (left, right))
         similar = np.round(a @ b.T, 6)
-        x, y = left["track_key"].to_numpy()[:, None], right["other_key"].to_numpy()[None, :]
-        i, j = np.nonzero((similar >= floor) & (x < y))
-        return pd.DataFrame({"track_a": x[i, 0], "track_b": y[0, j], "cosine_similarity": similar[i, j]})
+        x, y = left["track_key"].to_numpy(), right["track_key"].to_numpy()
+        wanted = similar >= floor
+        at, to = np.nonzero(wanted & (x[:, None] < y[None, :]) if i == j else wanted)
+        first = x[at] < y[to]
+        return pd.DataFrame({"track_a": np.where(first, x[at], y[to]), "track_b": np.where(first, y[to], x[at]), "cosine_similarity": similar[at, to]})
 
     return run
 
@@ -47,18 +52,16 @@ def _multiply(floor: float):
 def similar_pairs(vectors: DataFrame, floor: float = -1.0, block_rows: int = 2000) -> DataFrame:
     """Every pair of tracks with at least ``floor`` similarity, as blocks of a matrix product.
 
-    Tracks fall into blocks by a hash of their key; a task multiplies two blocks, and what it emits
-    is bounded by the floor. All pairs is what the operator is for: the product is quadratic in the
+    Tracks fall into blocks by a hash of their key; a task multiplies two blocks i <= j, each two of
+    them once, and what it emits is bounded by the floor. All pairs is what the operator is for: the product is quadratic in the
     tracks of a case, and the floor (a merge threshold) keeps its output small."""
     n = vectors.count()
     blocks = max(1, -(-n // block_rows))
     keyed = vectors.select("track_key", "vector", F.pmod(F.xxhash64("track_key"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = keyed.select("track_key", "vector", F.col("block").alias("i"), F.explode(every).alias("j"))
-    right = keyed.select(F.explode(every).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(c) for c in ("track_key", "vector")])
-    right = right.withColumnsRenamed({"track_key": "other_key", "vector": "other"})
-    joined = left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
-    return joined.applyInPandas(_multiply(floor), "track_a string, track_b string, cosine_similarity double")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    met = keyed.select("track_key", "vector", "block", other)
+    met = met.select("track_key", "vector", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return met.groupBy("i", "j").applyInPandas(_multiply(floor), "track_a string, track_b string, cosine_similarity double")
 
 
 def pair_table(vectors: DataFrame, floor: float = -1.0) -> DataFrame:
@@ -88,11 +91,11 @@ def classify(pairs: DataFrame, rules: Rules) -> DataFrame:
     """Adds ``merge_reason``: why a pair may merge, or why not."""
     mutual = mutual_neighbours(pairs, rules.cross_threshold).withColumn("is_mutual", F.lit(True))
     same, sim = F.col("same_camera"), F.col("cosine_similarity")
-    fragment = F.lit(rules.strict_intra) & (sim >= rules.intra_threshold) & (F.col("temporal_gap") <= rules.max_gap) & (F.col("temporal_overlap") <= rules.max_overlap)
+    fragment = F.lit(rules.strict_intra) & same & (sim >= rules.intra_threshold) & (F.col("temporal_gap") <= rules.max_gap)
     across = F.lit(rules.cross_camera) & ~same & (sim >= rules.cross_threshold)
     reason = (
-        F.when(same & fragment, "intra_fragment_recovery")
-        .when(same & (F.col("temporal_overlap") > rules.max_overlap), "rejected_temporal_overlap")
+        F.when(fragment & (F.col("temporal_overlap") <= rules.max_overlap), "intra_fragment_recovery")
+        .when(fragment, "rejected_temporal_overlap")
         .when(across & F.lit(rules.mutual) & F.col("is_mutual"), "cross_camera_mnn")
         .when(across & F.lit(not rules.mutual), "cross_camera_threshold")
         .otherwise("not_merged")
@@ -159,9 +162,21 @@ def number_identities(tracks: DataFrame, merges: DataFrame) -> DataFrame:
     """Adds ``global_id``: 1, 2, ... in the order of each identity's least track key."""
     roots = merges.select(F.col("track_a").alias("track_key"), F.col("root_a").alias("root")).union(merges.select("track_b", "root_b")).distinct()
     rooted = tracks.join(roots, "track_key", "left").withColumn("root", F.coalesce("root", "track_key"))
-    ids = rooted.select("root").distinct().withColumn("global_id", F.row_number().over(Window.orderBy("root")))
+    ids = numbered(rooted.select("root").distinct(), "root", "global_id")
     return rooted.join(ids, "root").drop("root")
 
 
+def numbered(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """Adds ``number``: 1, 2, ... in the order of the distinct values of ``key``. Rows are dealt into
+    ranges of the key and numbered inside each; the ranges' sizes (a row each) give the offsets."""
+    ranged = settle(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__range", before.alias("__before")))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    placed = ranged.withColumn("__inside", inside).join(offsets, "__range")
+    return placed.withColumn(number, (F.col("__before") + F.col("__inside")).cast("int")).drop("__range", "__inside", "__before")
+
+
 def label_rows(detections: DataFrame, identities: DataFrame) -> DataFrame:
     return detections.join(identities.select("track_key", "global_id"), "track_key", "left")

@@ -32,8 +32,8 @@ BY_BOX, BY_USER = "1 + (det_id % 40)", "1 + user_id % 40"
 VECTORS = """
 SELECT v.vec_id, d.track_key, v.embedding AS vector
 FROM {embeddings} AS v
-JOIN (SELECT DISTINCT track_id, track_key FROM {detections} AS x) AS d
- ON d.track_id = v.vec_id % (SELECT 2 * count(DISTINCT user_id) FROM {detections} AS y)"""
+CROSS JOIN (SELECT 2 * count(DISTINCT user_id) AS n FROM {detections} AS y) AS one_row
+JOIN (SELECT DISTINCT track_id, track_key FROM {detections} AS x) AS d ON d.track_id = v.vec_id % one_row.n"""
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ dir AS (SELECT track_a AS src, track_b AS dst, cosine_similarity AS s FROM pr WH
 top AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS k FROM dir) WHERE k = 1),
 mnn AS (SELECT a.src AS track_a, a.dst AS track_b FROM top a JOIN top b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst),
 vd AS (SELECT pr.*, CASE WHEN same_camera AND cosine_similarity >= 0.25 AND temporal_gap <= 60 AND temporal_overlap <= 0 THEN 'intra_fragment_recovery'
-  WHEN same_camera AND temporal_overlap > 0 THEN 'rejected_temporal_overlap' WHEN NOT same_camera AND cosine_similarity >= 0.3 AND mnn.track_a IS NOT NULL THEN 'cross_camera_mnn' ELSE 'not_merged' END AS merge_reason
+  WHEN same_camera AND cosine_similarity >= 0.25 AND temporal_gap <= 60 AND temporal_overlap > 0 THEN 'rejected_temporal_overlap' WHEN NOT same_camera AND cosine_similarity >= 0.3 AND mnn.track_a IS NOT NULL THEN 'cross_camera_mnn' ELSE 'not_merged' END AS merge_reason
   FROM pr LEFT JOIN mnn ON pr.track_a = mnn.track_a AND pr.track_b = mnn.track_b)"""
 
 _MERGE = """
@@ -188,10 +188,10 @@ _T = {
 _V = {
     "q_track_vectors": "SELECT track_key, CAST(place AS INT) AS place, round(x, 6) AS x FROM (SELECT track_key, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS place FROM vec)",
     "q_full_span": "SELECT track_key, camera, f0 AS first_frame, f1 AS last_frame, num_frames, avg_conf, avg_area FROM trk",
-    "q_pairs": "SELECT * EXCLUDE (ia, ib) FROM pr WHERE cosine_similarity >= 0.2",
+    "q_pairs": "SELECT * EXCLUDE (ia, ib) FROM pr",
     "q_top_pairs": "SELECT track_a, track_b, cosine_similarity FROM pr ORDER BY cosine_similarity DESC, track_a, track_b LIMIT 20",
     "q_mnn": "SELECT * FROM mnn",
-    "q_pair_verdict": "SELECT track_a, track_b, same_camera, temporal_gap, temporal_overlap, merge_reason FROM vd WHERE cosine_similarity >= 0.2",
+    "q_pair_verdict": "SELECT track_a, track_b, same_camera, temporal_gap, temporal_overlap, merge_reason FROM vd",
 }
 _M = {
     "q_greedy_merge": "SELECT track_a, track_b, merge_status, merge_reason FROM fin WHERE merge_status OR merge_reason LIKE 'blocked_%'",
@@ -204,7 +204,7 @@ _M = {
 _I = {
     "q_gid_eval": "SELECT * EXCLUDE (least_gt_id) REPLACE (CAST(global_id AS INT) AS global_id) FROM ge",
     "q_gid_summary": "SELECT * REPLACE (CAST(global_id AS INT) AS global_id) FROM gs",
-    "q_gallery_filters": "SELECT CAST(global_id AS INT) AS global_id, num_cameras > 1 AS multi_camera, num_cameras <= 1 AS single_camera, is_mixed_gid FROM gs WHERE num_cameras > 1 OR is_mixed_gid",
+    "q_gallery_filters": "SELECT CAST(global_id AS INT) AS global_id, num_cameras > 1 AS multi_camera, num_cameras <= 1 AS single_camera, is_mixed_gid FROM gs",
     "q_pairwise_detail": "SELECT * FROM pd",
     "q_pairwise_summary": "SELECT * FROM ps",
     "q_confusion": "SELECT 'same_gt' AS actual, tp_pair AS same_global_id, fn_pair AS different_global_id FROM ps UNION ALL SELECT 'different_gt', fp_pair, tn_pair FROM ps",

@@ -181,7 +181,7 @@ def q_full_span(spark, sf_dir):
 
 @query
 def q_pairs(spark, sf_dir):
-    return association.pair_table(Case(spark, sf_dir).vectors(), 0.2)
+    return association.pair_table(Case(spark, sf_dir).vectors())
 
 
 @query
@@ -192,12 +192,12 @@ def q_top_pairs(spark, sf_dir):
 
 @query
 def q_mnn(spark, sf_dir):
-    return association.mutual_neighbours(association.pair_table(Case(spark, sf_dir).vectors(), 0.25), 0.30)
+    return association.mutual_neighbours(association.pair_table(Case(spark, sf_dir).vectors()), 0.30)
 
 
 @query
 def q_pair_verdict(spark, sf_dir):
-    pairs = association.classify(association.pair_table(Case(spark, sf_dir).vectors(), 0.2), RULES)
+    pairs = association.classify(association.pair_table(Case(spark, sf_dir).vectors()), RULES)
     return pairs.select("track_a", "track_b", "same_camera", "temporal_gap", "temporal_overlap", "merge_reason")
 
 
@@ -245,7 +245,7 @@ def q_gid_summary(spark, sf_dir):
 def q_gallery_filters(spark, sf_dir):
     _, _, ids, _, found = _gids(Case(spark, sf_dir))
     table = identities.summarize_identities(ids, found)
-    return table.select("global_id", (F.col("num_cameras") > 1).alias("multi_camera"), (F.col("num_cameras") <= 1).alias("single_camera"), "is_mixed_gid").where("multi_camera OR is_mixed_gid")
+    return table.select("global_id", (F.col("num_cameras") > 1).alias("multi_camera"), (F.col("num_cameras") <= 1).alias("single_camera"), "is_mixed_gid")
 
 
 @query

@@ -15,12 +15,18 @@ ID_NAMES = ("id", "gt_id", "person_id", "track_id")
 NESTED_FRAME_NAMES = ("source_frame", "frame", "frame_id", "frame_index", "frame_number", "frameNumber", "image_id")
 NESTED_ID_NAMES = ("person_id", "identity_id", "identity", "gt_id", "track_id", "subject_id", "object_id", "id")
 NESTED_BOX_NAMES = ("BboxP", "bboxP", "bbox", "box", "bounding_box", "rect")
-_NUMBER = r"^[+-]?[0-9]+(\.[0-9]*)?$"
+_NUMBER = r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"
+
+
+def _whole(column: str) -> Column:
+    """A number in text, cut to a whole one; null for anything else."""
+    return F.expr(f"try_cast(try_cast({column} AS double) AS int)")
 
 
 def box_corners(box: Column, list_format: str = "xyxy") -> Column:
-    """``struct<x1,y1,x2,y2>`` from a box in JSON: a list, or a record by corner or by size."""
-    at = lambda path: F.get_json_object(box, path).cast("double")
+    """``struct<x1,y1,x2,y2>`` from a box in JSON: a list, or a record by corner or by size; a part
+    that is no number is null."""
+    at = lambda path: F.get_json_object(box, path).try_cast("double")
     listed = [at(f"$[{k}]") for k in range(4)]
     x, y = F.coalesce(at("$.x1"), at("$.left"), at("$.x")), F.coalesce(at("$.y1"), at("$.top"), at("$.y"))
     width, height = F.coalesce(at("$.w"), at("$.width")), F.coalesce(at("$.h"), at("$.height"))
@@ -40,12 +46,14 @@ def valid_rows(rows: DataFrame) -> DataFrame:
 
 def parse(files: DataFrame) -> DataFrame:
     """``camera, source_frame, gt_id, x1, y1, x2, y2, gt_area`` from rows ``camera, value`` (JSON);
-    repeated rows stay once."""
-    frames = files.select("camera", F.explode(F.from_json("value", "map<string,array<string>>")).alias("frame", "items"))
-    items = frames.where(F.col("frame").rlike(_NUMBER)).select("camera", F.col("frame").cast("int").alias("source_frame"), F.explode("items").alias("item"))
+    repeated rows stay once. Keys that are no numbers, values that are no lists and members that are
+    no records are passed over; the others of the same file stay."""
+    frames = files.select("camera", F.explode(F.from_json("value", "map<string,string>")).alias("frame", "items"))
+    listed = frames.where(F.col("frame").rlike(_NUMBER)).select("camera", _whole("frame").alias("source_frame"), F.from_json("items", "array<string>").alias("items"))
+    items = listed.select("camera", "source_frame", F.explode("items").alias("item"))
     found = lambda names: F.coalesce(*[F.get_json_object("item", f"$.{n}") for n in names])
     raw = items.select("camera", "source_frame", found(ID_NAMES).alias("id"), box_corners(found(BOX_NAMES)).alias("b"))
-    return valid_rows(raw.select("camera", "source_frame", F.expr("try_cast(try_cast(id AS double) AS int)").alias("gt_id"), "b.*")).distinct()
+    return valid_rows(raw.select("camera", "source_frame", _whole("id").alias("gt_id"), "b.*")).distinct()
 
 
 def _records(text: str):
@@ -79,8 +87,7 @@ def parse_nested(files: DataFrame, list_format: str = "xyxy") -> DataFrame:
                 yield pd.DataFrame([(camera, *r) for r in _records(text)], columns=["camera", "frame", "id", "box"])
 
     raw = files.select("camera", "value").mapInPandas(run, "camera string, frame string, id string, box string")
-    whole = lambda c: F.expr(f"try_cast(try_cast({c} AS double) AS int)")
-    return valid_rows(raw.select("camera", whole("frame").alias("source_frame"), whole("id").alias("gt_id"), box_corners(F.col("box"), list_format).alias("b")).select("camera", "source_frame", "gt_id", "b.*")).distinct()
+    return valid_rows(raw.select("camera", _whole("frame").alias("source_frame"), _whole("id").alias("gt_id"), box_corners(F.col("box"), list_format).alias("b")).select("camera", "source_frame", "gt_id", "b.*")).distinct()
 
 
 def parse_any(files: DataFrame, list_format: str = "xyxy") -> DataFrame:
