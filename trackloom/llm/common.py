@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +38,47 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: Bytes of text that are worked on at once, whatever the number of rows in an Arrow batch.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes in ``column`` (a longer text is a run by itself)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, and where each begins (one more than texts); null: empty."""
+    texts = pc.fill_null(texts, "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+    offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of each text begin and end, and the number of each text's first word (one more than texts)."""
+    inside = ~_BLANK[data]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    begin[edges], end[edges - 1] = inside[edges], inside[edges - 1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+
+
 class Memo(dict):
     """A dictionary that computes missing values and starts afresh when it holds ``size`` of them."""
 
@@ -68,3 +113,68 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out) + words[k : k + m]
     return mix(out)
+
+
+#: What bytes count for in hashes of words; in the second one A-Z count as a-z.
+PLAIN = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+LOWER = PLAIN.copy()
+LOWER[65:91] = PLAIN[97:123]
+BASE = 0x9E3779B97F4A7C15
+_WINDOW = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The powers of the base from the 0th to the ``n``-th at least, and of its inverse."""
+    if not _powers or len(_powers[0]) <= n:
+        wide = np.ones((2, max(n, _WINDOW) + 1), np.uint64)
+        wide[:, 1:] = np.array([[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
+        _powers[:] = np.cumprod(wide, axis=1, dtype=np.uint64)
+    return _powers
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``data[start:end]``, segments in order and apart: differences of running sums of
+    ``worth[value] * base**place``, divided by the power of the place. Sums run over windows."""
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        a = starts[first]
+        last = int(np.searchsorted(starts, a + _WINDOW))
+        n = int(ends[last - 1] - a)
+        up, down = powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(worth[data[a : a + n]] * up[:n], out=sums[1:])
+        at = starts[first:last] - a
+        out[first:last] = (sums[ends[first:last] - a] - sums[at]) * down[at]
+        first = last
+    return mix(out)
+
+
+def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row (A-Z as a-z), and each text's first one (one more than texts)."""
+    data, offsets = text_bytes(texts)
+    starts, ends, firsts = word_places(data, offsets)
+    return segment_hashes(data, starts, ends, LOWER if lower else PLAIN), firsts
+
+
+class Known:
+    """Numbers of hashed strings, in a table of ``1 << bits`` places where a newer string replaces an older one."""
+
+    def __init__(self, bits: int = 20):
+        self.mask, self.keys, self.values = np.uint64((1 << bits) - 1), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys[:] = 0
+        self.keys[0] = 1  # no hash has place 0 and is 1
+
+    def look_up(self, hashes: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """A number for each hash; ``make`` gives those of the places where an unknown one stands first."""
+        at = hashes & self.mask
+        found, missing = self.values[at], np.flatnonzero(self.keys[at] != hashes)
+        if len(missing):
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            made = make(missing[first])
+            found[missing] = made[which]
+            self.keys[new & self.mask], self.values[new & self.mask] = new, made
+        return found

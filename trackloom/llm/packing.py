@@ -18,75 +18,138 @@ equal are interchangeable; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Memo, settle
+from trackloom.llm.byte_pairs import BytePairs
+from trackloom.llm.common import PLAIN, Known, mix, segment_hashes, settle, slices, text_bytes, word_places
 from trackloom.llm.sharding import ranked
-from trackloom.llm.token_counts import byte_letters
 
 #: Pieces that one number range of a length holds on average.
 PIECE_ROWS = 4096
 
 
-#: Marks that often end a word; after a letter, a run of them is a pre-token of its own.
-_MARKS = ".,;:!?"
+#: Classes of bytes: white space, marks, letters, all others.
+_BLANK, _MARK, _LETTER, _REST = range(4)
+_KINDS = np.full(256, _REST, np.uint8)
+_KINDS[[*b" \t\n\r\x0b\x0c"]], _KINDS[[*b".,;:!?()\"-"]] = _BLANK, _MARK
+_KINDS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = _LETTER
 
 
-class WordIds(Memo):
-    """Little-endian ids of a word. The tokenizer drops white space and joins nothing across it.
+def _plain_letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte's class and the bytes in lower case, for ASCII and the letters of Latin-1 (lead byte C3)."""
+    kinds, low = _KINDS[data], data + (((data >= 65) & (data <= 90)) << 5).astype(np.uint8)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs for times and divided by
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    low[lead[data[lead + 1] <= 0x9E] + 1] += 0x20
+    return kinds, low
 
-    A word of Latin letters is one pre-token that the normaliser only lower-cases, so the model
-    alone gives its ids at a third of the cost; any other word goes through the whole library."""
+
+#: What bytes of words that aren't plain count for in hashes, apart from plain ones.
+_WHOLE = mix(PLAIN)
+
+
+class WordIds:
+    """Ids of texts. The tokenizer drops white space, joins nothing across it and lower-cases.
+
+    In words of Latin letters and plain marks, runs of either are pre-tokens, whose tokens the
+    transducer of ``byte_pairs`` finds; other words go through the library, a batch's new ones in one
+    text, where each id belongs to the word that its offset lies in. Either are looked up by 64-bit
+    hashes first; what is kept is a pool of ids and each unit's place in it."""
+
+    MAX_IDS, MAX_UNITS = 8_000_000, 2_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(self._ids, 250_000)
-        self.library = Tokenizer.from_file(path)
-        self.model, self.shown = self.library.model, byte_letters()
-
-    def _ids(self, word: bytes) -> bytes:
-        text = word.decode()
-        low = text.lower()
-        stem = low.rstrip(_MARKS)
-        if stem.isalpha() and max(stem) < "\u0250":
-            if len(stem) < len(low):
-                return self[stem.encode()] + self[low[len(stem) :].encode()]
-            ids = [t.id for t in self.model.tokenize("".join(map(self.shown.__getitem__, stem.encode())))]
-        else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as file:
+            self.pairs = BytePairs(json.load(file))
+        self.library, self.known = Tokenizer.from_file(path), Known(20)
+        self._restart()
+
+    def _restart(self) -> None:
+        self.known.clear()
+        self.pool, self.edges = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _add(self, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of new units."""
+        first = len(self.edges) - 1
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(counts)])
+        self.pool = np.concatenate([self.pool, ids])
+        return first + np.arange(len(counts), dtype=np.int32)
+
+    def _by_library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library.encode(b" ".join(words).decode(), add_special_tokens=False)
+        ends = np.cumsum([len(w.decode()) + 1 for w in words])
+        word = np.searchsorted(ends, np.fromiter((a for a, _ in found.offsets), np.int64, len(found)), "right")
+        return np.bincount(word, minlength=len(words)), np.array(found.ids, np.uint32)
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where units begin and end, and whether each is a plain run: runs of letters or marks, or else whole words."""
+        starts, ends, _ = word_places(data, offsets)
+        rest = np.concatenate([[0], np.cumsum(kinds == _REST)])
+        plain = rest[ends] == rest[starts]
+        change = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+        word = np.searchsorted(starts, change, "right") - 1
+        begin = np.zeros(len(data), bool)
+        begin[change[(word >= 0) & plain[word] & (change < ends[word])]] = True
+        begin[starts] = True
+        begins = np.flatnonzero(begin)
+        word = np.cumsum(np.bincount(np.searchsorted(begins, starts), minlength=len(begins))) - 1
+        return begins, np.minimum(np.append(begins[1:], len(data)), ends[word]), plain[word]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by ``end_id``, and where each begins (one more than texts)."""
+        if len(self.pool) > self.MAX_IDS or len(self.edges) > self.MAX_UNITS:
+            self._restart()
+        data, offsets = text_bytes(texts)
+        if not len(data):
+            return np.full(len(texts), end_id, np.uint32), np.arange(len(texts) + 1)
+        kinds, low = _plain_letters(data)
+        starts, ends, plain = self._units(data, offsets, kinds)
+        number = np.zeros(len(starts), np.int64)
+        for kind, find, text in ((plain, self.pairs.encode, low), (~plain, self._by_library, data)):
+            a, b, held = starts[kind], ends[kind], text.tobytes()
+            spelled = lambda at: [held[s:e] for s, e in zip(a[at].tolist(), b[at].tolist(), strict=True)]  # noqa: B023, E731
+            hashes = segment_hashes(text, a, b, PLAIN if kind is plain else _WHOLE)
+            number[kind] = self.known.look_up(hashes, lambda at: self._add(*find(spelled(at))))  # noqa: B023
+        sizes = self.edges[number + 1] - self.edges[number]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.arange(before[-1]) + np.repeat(self.edges[number] - before[:-1], sizes)]
+        firsts = before[np.searchsorted(starts, offsets)]
+        return np.insert(ids, firsts[1:], end_id), firsts + np.arange(len(firsts))
 
 
 @lru_cache(maxsize=2)
 def _words(path: str) -> WordIds:
-    """One memo for each worker process, kept between tasks."""
+    """One for each worker process, kept between tasks."""
     return WordIds(path)
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
-    end = np.array([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
-        for batch in batches:
-            for k in range(0, len(batch), 1000):
-                rows = []
-                for doc_id, text in batch.iloc[k : k + 1000].itertuples(index=False):
-                    ids = b"".join(map(words.__getitem__, (text or "").encode().split())) + end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-                yield out.astype({"doc_id": "Int64"})
+        for rows in slices(batches):
+            ids, begins = words.encode(rows["text"], end_id)
+            pieces = -(-np.diff(begins) // capacity)
+            row = np.repeat(np.arange(len(pieces)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, np.diff(begins)[row] - start)
+            held, at = ids.astype("<u4").tobytes(), 4 * (begins[row] + start)
+            parts = [held[a : a + 4 * n] for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            columns = [rows["doc_id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+            columns.append(pa.array(parts if with_ids else [None] * len(parts), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return run
 
@@ -200,7 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     ``tokenizer``: path of a tokenizers file that drops white space, the same on every executor."""
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = settle(texts.mapInPandas(_cut(tokenizer, capacity, end_id, with_ids), kinds))
+    pieces = settle(texts.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids), kinds))
     pieces = pieces if with_ids else pieces.drop("ids")
     found = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan(found, capacity, groups)

@@ -2,23 +2,23 @@
 
 Byte-level BPE is two transducers in a row. The first one cuts text into pre-tokens. It is a table
 over nine states and eleven classes of characters whose transitions say where a cut falls: before
-the character read or before the one preceding it. A batch of texts is one array of classes, cut
-into chunks; each chunk's map from entering state to leaving state is computed for all chunks at
-once, the maps are composed by a parallel prefix scan, and a second sweep, with the entering states
-known, reads off the cuts.
-
-The second transducer reads the bytes of a pre-token, and its transitions carry the change in the
-number of tokens. Its states come from a property of merge lists: a series of tokens is an encoding
-if and only if each neighbouring pair is, so the last token of every prefix is determined. A state
-is the longest suffix that begins some token, with the last token and the relative count at each of
-its places. States and transitions are compiled when first met and kept, as are the emissions of
-whole pre-tokens (both up to a bound, beyond which they are compiled again).
+the character read or before the one preceding it. A cut emits the tokens of the pre-token that
+begins there. A batch of texts is one array of classes, cut into chunks; a chunk's map says, for
+each state it may be entered in, the state it is left in and the tokens it emits. All nine states
+run side by side until they agree, which takes a few characters, and one runs on from there. The
+maps are composed by a parallel prefix scan, which gives the state that every chunk is entered in
+(so its cuts and emissions) and then the tokens emitted before each chunk; a text's count is the
+difference of that number between its two ends.
+
+The second transducer reads the bytes of a pre-token and counts its tokens (see ``byte_pairs``). A
+batch's new pre-tokens step through it side by side; their emissions are kept in a table of fixed
+size under 64-bit hashes and compiled again when they have been replaced.
 
 Special strings in a text are one token each, as the library takes them by default.
 
 Defined results: a null or empty text has no bytes and no tokens; texts of any length are counted
-whole, batches being cut at ``BATCH_CHARS`` characters between texts; repeated rows, ties and null
-ids are counted like others; an empty table gives none; other columns are ignored.
+whole; repeated rows, ties and null ids are counted like others; an empty table gives none; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Memo
+from trackloom.llm.byte_pairs import BytePairs
+from trackloom.llm.common import Known, mix, segment_hashes, slices, text_bytes
 
-CHUNK, BATCH_CHARS = 512, 4_000_000
+CHUNK = 512
 
 # States and classes of the cutter.
 FRESH, LETTERS, NUMBERS, OTHERS, SPACE, BLANK, QUOTE, QUOTE_RV, QUOTE_L = range(9)
@@ -68,36 +69,59 @@ def _compile_cutter() -> tuple[np.ndarray, np.ndarray]:
     return to, cut
 
 
-TO, CUT = _compile_cutter()
+def _compile_steps() -> np.ndarray:
+    """One byte for each state and class (places ``16 * state + class``): the next state times 16, and the cut."""
+    to, cut = _compile_cutter()
+    steps = np.zeros((16, 16), np.uint8)
+    steps[:9, :11] = to << 4 | cut
+    return steps.reshape(-1)
 
 
-def cuts(classes: np.ndarray) -> np.ndarray:
-    """Where pre-tokens begin, for classes that end with ``C_END``."""
-    n = len(classes)
-    chunks = np.pad(classes, (0, -n % CHUNK), constant_values=C_END).reshape(-1, CHUNK).T.copy()
-    maps = np.tile(np.arange(9, dtype=np.uint8), (chunks.shape[1], 1))
-    for row in chunks:
-        maps = TO[maps, row[:, None]]
+STEPS = _compile_steps()
+
+
+def compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Maps (state left in, tokens emitted) by state entered in, one after the other."""
+    left, emitted = first
+    at = left.astype(np.intp)
+    return np.take_along_axis(then[0], at, 1), emitted + np.take_along_axis(then[1], at, 1)
+
+
+def scan(left: np.ndarray, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The composed map of all chunks up to and with each one."""
     step = 1
-    while step < len(maps):  # prefix scan: maps[i] becomes the map of all chunks up to i
-        later = np.take_along_axis(maps[step:], maps[:-step].astype(np.intp), axis=1)
-        maps = np.concatenate([maps[:step], later])
+    while step < len(left):
+        later = compose((left[:-step], emitted[:-step]), (left[step:], emitted[step:]))
+        left, emitted = (np.concatenate([old[:step], new]) for old, new in zip((left, emitted), later, strict=True))
         step *= 2
-    state = np.concatenate([[FRESH], maps[:-1, FRESH]]).astype(np.uint8)
-    said = np.empty_like(chunks)
-    for k, row in enumerate(chunks):
-        said[k] = CUT[state, row]
-        state = TO[state, row]
+    return left, emitted
+
+
+def chunk_maps(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pre-tokens begin, for classes that end with ``C_END``; for each chunk, the states it may be left
+    in and the one it is entered in."""
+    n = len(classes)
+    chunks = np.pad(classes, (0, -n % CHUNK), constant_values=C_END).reshape(-1, CHUNK).T.copy()
+    lanes, said, apart = np.tile(np.arange(9, dtype=np.uint8) << 4, (chunks.shape[1], 1)), np.empty_like(chunks), 0
+    while apart < CHUNK and (lanes != lanes[:, :1]).any():
+        lanes = STEPS[(lanes & 0xF0) | chunks[apart][:, None]] & 0xF0
+        apart += 1
+    state = lanes[:, 0]
+    for k in range(apart, CHUNK):
+        state = said[k] = STEPS[(state & 0xF0) | chunks[k]]
+    left = lanes >> 4 if apart == CHUNK else np.repeat(state[:, None] >> 4, 9, axis=1)
+    entered = np.concatenate([[FRESH], scan(left, np.zeros(left.shape, np.int64))[0][:-1, FRESH]]).astype(np.uint8)
+    state = entered << 4
+    for k in range(apart):
+        state = said[k] = STEPS[(state & 0xF0) | chunks[k]]
     said = said.T.reshape(-1)[: n + 1]
     begins = (said & HERE).astype(bool)
     begins[: len(said) - 1] |= (said[1:] & BACK).astype(bool)
-    return np.flatnonzero(begins[:n])
+    return np.flatnonzero(begins[:n]), left, entered
 
 
-class BytePairTransducer:
-    """Counts the tokens of byte-level BPE for one pre-token."""
-
-    MAX_STATES = 100_000
+class Counter:
+    """Tokens of whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -105,60 +129,13 @@ class BytePairTransducer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
-        shown = byte_letters()
-        hidden = {c: b for b, c in enumerate(shown)}
-        special = {t["content"] for t in spec["added_tokens"]}
-        self.vocab = {bytes(hidden[c] for c in token): token for token in spec["model"]["vocab"] if token not in special}
-        self.begun = {token[:k] for token in self.vocab for k in range(len(token) + 1)}
-        self.specials = sorted(special, key=len, reverse=True)
-        self.pairs = Memo(self._is_encoding, 500_000)
-        self._restart()
-
-    def _restart(self):
-        self.states, self.ids, self.moves = [], {}, {}
-        self._state(b"", (None,), (0,))
-
-    def _is_encoding(self, pair: tuple[str, str]) -> bool:
-        return [t.value for t in self.library.model.tokenize(pair[0] + pair[1])] == list(pair)
-
-    def _state(self, suffix: bytes, lasts: tuple, counts: tuple) -> int:
-        key = suffix, lasts, counts
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append(key)
-        return self.ids[key]
-
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """Next state and emitted tokens (below 0 where merges reach back)."""
-        suffix, lasts, counts = self.states[state]
-        read = suffix + bytes([byte])
-        for k in range(len(read)):
-            token = self.vocab.get(read[k:])
-            if token and (lasts[k] is None or (lasts[k] and self.pairs[lasts[k], token])):
-                break
-        else:
-            raise ValueError("no encoding ends here")
-        n = counts[k] + 1
-        lasts, counts = (*lasts, token), (*counts, n)
-        k = next(k for k in range(len(read) + 1) if read[k:] in self.begun)
-        # Places where no token can have begun don't tell states apart.
-        live = [read[j:] in self.begun for j in range(k, len(read) + 1)]
-        lasts = tuple(t if x else "" for t, x in zip(lasts[k:], live, strict=True))
-        counts = tuple(c - n if x else 0 for c, x in zip(counts[k:], live, strict=True))
-        return self._state(read[k:], lasts, counts), n
-
-    def count(self, text: str) -> int:
-        if len(self.states) > self.MAX_STATES:
-            self._restart()
-        state = total = 0
-        for byte in text.encode("utf-8", "replace"):
-            if (state, byte) not in self.moves:
-                self.moves[state, byte] = self._move(state, byte)
-            state, n = self.moves[state, byte]
-            total += n
-        return total
-
-    def class_of(self, code: int) -> int:
+        self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.transducer, self.emitted = BytePairs(spec), Known(21)
+        self.classes = np.full(0x110000, 255, np.uint8)
+        self.classes[0xD800] = C_END
+        self.worth = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _class_of(self, code: int) -> int:
         """A character's class, by how the library's own pre-tokenizer takes it."""
         c = chr(code)
         named = {"'": C_QUOTE, " ": C_SPACE, "e": C_E, "l": C_L} | dict.fromkeys("stmd", C_STMD) | dict.fromkeys("rv", C_RV)
@@ -167,51 +144,59 @@ class BytePairTransducer:
         parts = lambda text: len(self.library.pre_tokenizer.pre_tokenize_str(text))
         return C_LETTER if parts(f"a{c}a") == 1 else C_NUMBER if parts(f"1{c}1") == 1 else C_OTHER if parts(f"!{c}!") == 1 else C_BLANK
 
-
-def byte_letters() -> list[str]:
-    """The printable stand-ins of byte-level vocabularies: a byte's own Latin-1 character where it
-    can be printed, else the next one from U+0100 on."""
-    plain = [33 <= b <= 126 or 161 <= b <= 172 or 174 <= b for b in range(256)]
-    return [chr(b) if plain[b] else chr(256 + sum(not p for p in plain[:b])) for b in range(256)]
-
-
-class Counter:
-    """Tokens of whole texts."""
-
-    def __init__(self, path: str):
-        self.transducer = BytePairTransducer(path)
-        self.emitted = Memo(self.transducer.count, 400_000)
-        self.classes = np.full(0x110000, 255, np.uint8)
-        self.classes[0xD800] = C_END
-
     def _classes(self, codes: np.ndarray) -> np.ndarray:
         found = self.classes[codes]
         if (found == 255).any():
             for code in np.unique(codes[found == 255]):
-                self.classes[code] = self.transducer.class_of(int(code))
+                self.classes[code] = self._class_of(int(code))
             found = self.classes[codes]
         return found
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text. A stretch between specials ends with a lone surrogate, no text's own."""
-        totals, stretches, owners = np.zeros(len(texts), np.int64), [], []
-        for k, text in enumerate(texts):
-            parts = [text]
-            for special in self.transducer.specials:
-                if special in text:
-                    parts = [x for p in parts for x in p.split(special)]
-            totals[k] = len(parts) - 1
-            stretches += parts
-            owners += [k] * len(parts)
-        whole = "\ud800".join(stretches) + "\ud800"
-        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        begins = cuts(self._classes(codes))
-        edges = [*begins.tolist(), len(codes)]
-        emitted = self.emitted
-        counts = np.fromiter((0 if whole[a] == "\ud800" else emitted[whole[a:b]] for a, b in zip(edges, edges[1:], strict=False)), np.int64, len(begins))
-        stretch = np.cumsum(codes == 0xD800)[begins] - (codes[begins] == 0xD800)
-        np.add.at(totals, np.asarray(owners)[stretch], counts)
-        return totals
+    def _blank_specials(self, whole: str, edges: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The number of specials in each text; in ``codes`` they become ends."""
+        n = np.zeros(len(edges) - 1, np.int64)
+        for k, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
+            at = a
+            while at < b:
+                found = min(((p, -len(s)) for s in self.specials if (p := whole.find(s, at, b)) >= 0), default=None)
+                if found is None:
+                    break
+                at = found[0] - found[1]
+                codes[found[0] : at], n[k] = 0xD800, n[k] + 1
+        return n
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text. A lone surrogate, which no text holds, stands at its end."""
+        data, offsets = text_bytes(texts)
+        whole = data.tobytes().decode()
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32).copy()
+        edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        totals = np.zeros(len(texts), np.int64)
+        if any(s in whole for s in self.specials):
+            totals += self._blank_specials(whole, edges, codes)
+        codes = np.insert(codes, edges[1:], 0xD800)
+        ends = edges[1:] + np.arange(len(texts))
+        starts, left, entered = chunk_maps(self._classes(codes))
+        counts = self._emissions(codes, starts)
+        # Tokens emitted before each chunk, by the composed maps, and before each pre-token.
+        chunk = starts // CHUNK
+        emitted = np.zeros(left.shape, np.int64)
+        emitted[np.arange(len(left)), entered] = np.bincount(chunk, counts, len(left)).astype(np.int64)
+        before = np.concatenate([[0], scan(left, emitted)[1][:-1, FRESH]])
+        running = np.concatenate([[0], np.cumsum(counts)])
+        at_chunk = running[np.searchsorted(starts, np.arange(len(left)) * CHUNK)]
+        at_end = np.searchsorted(starts, ends)  # ends are pre-tokens of their own
+        told = before[chunk[at_end]] + running[at_end] - at_chunk[chunk[at_end]]
+        return totals + np.diff(told, prepend=0)
+
+    def _emissions(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        ends = np.append(starts[1:], len(codes))
+        some = np.flatnonzero(codes[starts] != 0xD800)
+        a, b = starts[some], ends[some]
+        spelled = lambda at: [codes[s:e].tobytes().decode("utf-32-le").encode() for s, e in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+        counts = np.zeros(len(starts), np.int64)
+        counts[some] = self.emitted.look_up(segment_hashes(codes, a, b, self.worth), lambda at: self.transducer.count(spelled(at)))
+        return counts
 
 
 @lru_cache(maxsize=2)
@@ -221,17 +206,11 @@ def counter(path: str) -> Counter:
 
 
 def _count(path: str, limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
-        for batch in batches:
-            texts, totals, first, chars = batch["text"].fillna("").tolist(), [], 0, 0
-            for k, text in enumerate(texts):
-                chars += len(text)
-                if chars >= BATCH_CHARS or k == len(texts) - 1:
-                    totals.append(own.count(texts[first : k + 1]))
-                    first, chars = k + 1, 0
-            n = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit})
+        for rows in slices(batches):
+            n = own.count(rows["text"])
+            yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["n_bytes"], pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
 
@@ -241,6 +220,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
 
     ``tokenizer``: path of a byte-level BPE file of the tokenizers library that cuts by the usual
     pattern, the same on every executor."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n_bytes"), "text").mapInArrow(
         _count(tokenizer, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
