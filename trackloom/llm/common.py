@@ -26,6 +26,16 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def join_spread(rows: DataFrame, other: DataFrame, on: list[str], parts: int = 1000) -> DataFrame:
+    """``rows`` joined with ``other``, which has each key once. Keys with a share of ``1 / parts`` of the rows or
+    more, ``parts`` of them at most, are broadcast; the rest is shuffled, in which no key is hot then.
+    Both are read several times, so they should be settled."""
+    least = rows.count() / parts
+    hot = F.broadcast(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(*on))
+    near = rows.join(F.broadcast(other.join(hot, on, "left_semi")), on)
+    return near.unionByName(rows.join(hot, on, "left_anti").join(other.join(hot, on, "left_anti"), on))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns an operator is about to add (names compare without case)."""
     gone = {n.lower() for n in names}

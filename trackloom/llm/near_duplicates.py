@@ -1,7 +1,7 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, confirmed on full sets.
 
 A document's set holds the distinct n-word shingles. Documents with equal sets are one node from
-the start. A node's signature has 64 MinHash values. Each of the forest's 21 trees is a sorted
+the start, and so are the texts of one id. A node's signature has 64 MinHash values. Each of the forest's 21 trees is a sorted
 order over the signatures that begins with three values of its own (the root region) and goes on
 through the others. The rows of all trees are range-partitioned by that order, so a region of any
 size spreads over tasks, and each node meets the nodes that follow it in its region: all of them
@@ -32,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import at_most, lower_words, mix, ngram_hashes, settle, without, word_hashes
+from trackloom.llm.common import at_most, hashed_words, join_spread, mix, ngram_hashes, settle, slices, without
 from trackloom.operators.graph import components
 
 VALUES, TREES, ROOT = 64, 21, 3
@@ -52,13 +53,12 @@ _B = mix(_A)
 _NODES = "id long, n_shingles long, key_a long, key_b long, regions array<long>, sketch binary"
 
 
-def shingle_set(text: str | None, n: int, hashes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = lower_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(ngram_hashes(hashed, min(n, len(hashed))))
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text."""
+    words, firsts = hashed_words(texts)
+    grams = ngram_hashes(words, n)
+    for a, b in zip(firsts.tolist(), firsts[1:].tolist(), strict=False):
+        yield np.unique(grams[a : b - n + 1]) if b - a >= n else ngram_hashes(words[a:b], b - a)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -69,54 +69,87 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _measure(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = word_hashes()
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found = shingle_set(text, n, hashes)
-                digest = xxhash.xxh3_128_digest(found.tobytes())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            sizes, digests, regions, sketches = [], [], [], []
+            for found in shingle_sets(rows["text"], n):
+                sizes.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 if not len(found):
-                    rows.append((0, 0, 0, [], b""))
+                    regions.append(np.zeros(0, np.int64))
+                    sketches.append(b"")
                     continue
                 values = signature(found)
                 roots = values[: TREES * ROOT].reshape(TREES, ROOT)
-                regions = mix(mix(mix(roots[:, 0]) + roots[:, 1]) + roots[:, 2]).view(np.int64)
-                sketch = ((values >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes()
-                a, b = np.frombuffer(digest, np.int64)
-                rows.append((len(found), int(a), int(b), regions, sketch))
-            out = pd.DataFrame(rows, columns=["n_shingles", "key_a", "key_b", "regions", "sketch"])
-            out.insert(0, "id", batch["id"].to_numpy())
-            yield out
+                regions.append(mix(mix(mix(roots[:, 0]) + roots[:, 1]) + roots[:, 2]).view(np.int64))
+                sketches.append(((values >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes())
+            keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, regions)]), pa.int32()), pa.array(np.concatenate(regions)))
+            columns = [rows["id"], pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), listed, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _NODES.split(", ")])
 
     return run
 
 
+def _pairs(rows: pd.DataFrame, width: int, old: int = 0) -> pd.DataFrame:
+    """Nodes within ``width`` rows of each other in one region whose sketches agree; pairs of the first ``old`` rows are known."""
+    root = rows["region"].to_numpy() ^ (rows["tree"].to_numpy(np.int64) << 58)
+    ids, found = rows["id"].to_numpy(), [np.zeros((3, 0), np.int64)]
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, VALUES)
+    for k in range(1, width + 1):
+        at = np.flatnonzero(root[k:] == root[:-k])
+        at = at[at + k >= old]
+        agree = (sketch[at] == sketch[at + k]).sum(axis=1)
+        at, agree = at[agree >= MIN_AGREEING], agree[agree >= MIN_AGREEING]
+        a, b = ids[at], ids[at + k]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), agree])[:, a != b])
+    return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b", "agree"])
+
+
+_MET = "a long, b long, agree int, tree int, region long, turned binary, id long, sketch binary"
+
+
 def _neighbours(width: int):
-    """Pairs of nodes near each other in sorted rows of (tree, region, sketch, id)."""
+    """Pairs of nodes near each other in sorted rows of (tree, region, turned, id, sketch), and the first and
+    last ``width`` rows of the partition themselves, for the pairs across its edges."""
+    edge = ["tree", "region", "turned", "id", "sketch"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        last, first = None, None
         for batch in batches:
-            if last is not None:
-                batch = pd.concat([last, batch], ignore_index=True)
-            old = 0 if last is None else len(last)
-            last = batch.tail(width)
-            root = batch["region"].to_numpy() ^ (batch["tree"].to_numpy(np.int64) << 58)
-            ids = batch["id"].to_numpy()
-            sketch = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, VALUES)
-            for k in range(1, width + 1):
-                at = np.flatnonzero(root[k:] == root[:-k])
-                at = at[at + k >= old]  # the others were seen with the batch before
-                agree = (sketch[at] == sketch[at + k]).sum(axis=1)
-                near = agree >= MIN_AGREEING
-                at, agree = at[near], agree[near]
-                a, b = ids[at], ids[at + k]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "agree": agree})
+            whole = batch if last is None else pd.concat([last, batch], ignore_index=True)
+            yield _pairs(whole, width, 0 if last is None else len(last)).reindex(columns=["a", "b", "agree", *edge])
+            if first is None or len(first) < width:
+                new = batch.head(width - (0 if first is None else len(first)))
+                first = new if first is None else pd.concat([first, new], ignore_index=True)
+            last = whole.tail(width)
+        if last is not None:
+            for rows in (first, last):
+                yield rows.reindex(columns=["a", "b", "agree", *edge])
 
     return run
 
 
+def _across_edges(width: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _pairs(rows.sort_values(["turned", "id"], ignore_index=True), width)
+
+    return run
+
+
+def _meet(rows: DataFrame, neighbours: int) -> DataFrame:
+    """``a, b, agree``: nodes that meet as neighbours in some tree. Partitions of the sorted rows are ranges, so
+    the rows at their edges (twice ``neighbours`` for each) meet once more, by region."""
+    order = ["tree", "region", "turned", "id"]
+    met = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(neighbours), _MET))
+    at = ["tree", "region"]
+    edges = met.where("a IS NULL").select(*order, "sketch").distinct()
+    shared = edges.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*at)
+    over = edges.join(shared, at, "left_semi").groupBy(*at).applyInPandas(_across_edges(neighbours), "a long, b long, agree int")
+    both = met.where("a IS NOT NULL").select("a", "b", "agree").unionByName(over)
+    return settle(both.groupBy("a", "b").agg(F.max("agree").alias("agree")))
+
+
 def _across(percent: int):
     """Links between nodes of two blocks (or of one) in different components, confirmed on full sets.
 
@@ -160,12 +193,12 @@ def _remaining(groups: DataFrame, known: DataFrame, texts: DataFrame, n: int, pe
     """Links that the neighbours left out: both ends in one large region, but in different components."""
     at = ["tree", "region"]
     rows = groups.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "n_shingles", F.posexplode("regions").alias(*at))
-    large = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where(F.col("n") > neighbours + 1)
-    placed = rows.join(large, at).join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("of", F.coalesce("component", "id"))
+    large = settle(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where(F.col("n") > neighbours + 1))
+    placed = join_spread(settle(rows), large, at).join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("of", F.coalesce("component", "id"))
     placed = settle(placed.select("id", "n_shingles", *at, "n", "weight", "of"))
     sizes = placed.groupBy(*at, "of").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), "of").alias("size"))
-    mixed = sizes.groupBy(*at).agg(F.max("size").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    rows = settle(placed.join(mixed, at))
+    mixed = settle(sizes.groupBy(*at).agg(F.max("size").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    rows = settle(join_spread(placed, mixed, at))
     # the largest component's blocks come first and meet the other ones only
     blocks = lambda nodes, weight: F.ceil(F.greatest(nodes / BLOCK_ROWS, weight / BLOCK_SHINGLES))
     rows = rows.withColumns({"mains": blocks(F.col("main.n"), F.col("main.weight")), "others": blocks(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight"))})
@@ -179,12 +212,10 @@ def _remaining(groups: DataFrame, known: DataFrame, texts: DataFrame, n: int, pe
 
 
 def _sets(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = word_hashes()
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                yield pd.DataFrame({"id": part["id"], "shingles": [shingle_set(t, n, hashes).tobytes() for t in part["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            found = [x.tobytes() for x in shingle_sets(rows["text"], n)]
+            yield pa.RecordBatch.from_arrays([rows["id"], pa.array(found, pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -216,7 +247,16 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """Full sets of the nodes in ``ids``."""
     wanted = texts.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "id", "left_semi")
-    return settle(wanted.mapInPandas(_sets(n), "id long, shingles binary").dropDuplicates())
+    return settle(wanted.mapInArrow(_sets(n), "id long, shingles binary").dropDuplicates())
+
+
+def _same_document(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between an id whose rows have different texts and the nodes of these texts."""
+    some = nodes.where("id IS NOT NULL AND n_shingles > 0")
+    key = F.struct("key_a", "key_b")
+    many = some.groupBy("id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("id")
+    named = some.join(many, "id", "left_semi").join(groups.select("key_a", "key_b", "rep"), ["key_a", "key_b"])
+    return named.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
 
 
 def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighbours: int = 8) -> DataFrame:
@@ -228,15 +268,13 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     if percent < 60:
         raise ValueError("percent must be 60 or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    nodes = settle(texts.mapInPandas(_measure(n), _NODES))
+    nodes = settle(texts.mapInArrow(_measure(n), _NODES))
     groups = settle(
         nodes.where("n_shingles > 0").groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "regions", "sketch")])
     )
     rows = groups.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "sketch", F.posexplode("regions").alias("tree", "region"))
     turned = F.expr(f"concat(substring(sketch, 1 + {ROOT} * (tree + 1)), substring(sketch, 1, {ROOT} * (tree + 1)))")
-    order = ["tree", "region", turned, "id"]
-    met = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(neighbours), "a long, b long, agree int")
-    pairs = settle(met.where("a <> b").groupBy("a", "b").agg(F.max("agree").alias("agree")))
+    pairs = _meet(rows.withColumn("turned", turned), neighbours)
 
     sets = _sets_of(texts, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), n)
     best = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
@@ -244,7 +282,7 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     known = components(first)
     of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
-    links = settle(first.unionByName(_confirm(apart, sets, percent)))
+    links = settle(first.unionByName(_confirm(apart, sets, percent)).unionByName(_same_document(nodes, groups)))
     known = components(links)
     rest = settle(_remaining(groups, known, texts, n, percent, neighbours))
     if not rest.isEmpty():
@@ -263,12 +301,13 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: the least id of each group, once however often it is
-    repeated, and all rows with a null id."""
+    repeated (of different texts the one of least hash), and all rows with a null id."""
     found = group_near_duplicates(docs, **options)
     ids = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
     stay = docs.join(ids.where("__kept"), F.col("doc_id") == F.col("__id"))
     once = stay.where("__n = 1").select(*docs.columns)
-    repeated = stay.where("__n > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    least = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    repeated = stay.where("__n > 1").withColumn("__place", F.row_number().over(least)).where("__place = 1").select(*docs.columns)
     return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
