@@ -11,7 +11,8 @@ ids are broadcast. Both models are one row for each of ``buckets`` buckets, what
 The k-th largest sum is found by counting in bins (at most 4096 at a time) on sums rounded to 1e-6;
 rows tied with it are all kept.
 
-Defined results: null and empty texts have ratio 0; equal ids share a variate (null ids do too);
+Defined results: null and empty texts have ratio 0; equal ids share a variate (null ids do too), and
+each row is drawn by itself;
 without target labels every ratio comes from the smoothing alone; an empty table gives no rows;
 added columns replace those of the same name.
 """
@@ -21,33 +22,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import lower_words, ngram_hashes, settle, without, word_hashes
+from trackloom.llm.common import hashed_words, mix, ngram_hashes, settle, slices
 
 BUCKETS = 1 << 14
 MAX_LABELS = 200_000
 
 
-def features(text: str | None, hashes, buckets: int) -> np.ndarray:
-    words = lower_words(text)
-    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return (np.concatenate([ngram_hashes(hashed, 1), ngram_hashes(hashed, 2)]) % np.uint64(buckets)).astype(np.int64)
+def features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and word pairs of all texts, and the text that each belongs to."""
+    words, firsts = hashed_words(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    pairs, inside = ngram_hashes(words, 2), text[1:] == text[:-1]
+    found = np.concatenate([mix(words), pairs[inside]]) % np.uint64(buckets)
+    return found.astype(np.int64), np.concatenate([text, text[1:][inside]])
 
 
 def _count(buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, raw, target = word_hashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
-            for text, good in zip(batch["text"], batch["good"], strict=True):
-                found = features(text, hashes, buckets)
-                np.add.at(raw, found, 1)
-                if good:
-                    np.add.at(target, found, 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for rows in slices(batches):
+            found, text = features(rows["text"], buckets)
+            raw += np.bincount(found, minlength=buckets)
+            good = rows["good"].to_numpy(zero_copy_only=False)
+            target += np.bincount(found[good[text]], minlength=buckets)
         at = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": at, "raw": raw[at], "target": target[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, raw[at], target[at])], ["bucket", "raw", "target"])
 
     return run
 
@@ -60,7 +63,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_l
     share = sample.agg(F.avg(F.col("good").cast("double"))).first()[0]
     ids = sample.where("good").select(F.col("doc_id").alias("__id")).distinct().withColumn("good", F.lit(True))
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left")
-    parts = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInPandas(_count(buckets), "bucket long, raw long, target long")
+    parts = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count(buckets), "bucket long, raw long, target long")
     rows = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     counts = np.ones((2, buckets))
     counts[:, rows["bucket"].to_numpy(np.int64)] += rows[["target", "raw"]].to_numpy(float).T
@@ -69,11 +72,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_l
 
 
 def _score(ratios: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = word_hashes()
-        for batch in batches:
-            found = [features(t, hashes, len(ratios)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_features": [len(f) for f in found], "log_weight": [float(ratios[f].sum()) for f in found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            found, text = features(rows["text"], len(ratios))
+            n, weights = np.bincount(text, minlength=len(rows)), np.bincount(text, ratios[found], len(rows))
+            names = [c for c in rows.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(rows[c] for c in names), pa.array(n), pa.array(weights)], [*names, "n_features", "log_weight"])
 
     return run
 
@@ -99,8 +103,15 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     """``doc_id``, ``n_features``, ``log_weight``, ``key`` and ``kept`` for each row of ``docs``.
 
     ``share``: of the rows to keep; by default that of the labels that make the target (quality 1, not toxic)."""
+    scored = _scored(docs, labels, share, seed, buckets, max_labels)
+    return scored.drop("text_key")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, share: float | None, seed: int, buckets: int, max_labels: int) -> DataFrame:
+    """``resample`` with ``text_key``, a hash of the text, which tells rows of one id apart."""
     ratios, good = log_ratios(docs, labels, buckets, max_labels)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_score(ratios), "doc_id long, n_features long, log_weight double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    scored = texts.mapInArrow(_score(ratios), "doc_id long, text_key long, n_features long, log_weight double")
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     keyed = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(unit)))
     keyed = settle(keyed.withColumn("__key", F.round(F.col("key") * 1e6).cast("long")))
@@ -109,7 +120,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     return keyed.withColumn("kept", F.lit(False) if least is None else F.col("__key") >= least).drop("__key")
 
 
-def keep_sample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id was drawn; rows with a null id go."""
-    drawn = resample(docs, labels, **options).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return without(docs).join(drawn, F.col("doc_id") == F.col("__id"), "left_semi")
+def keep_sample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11, buckets: int = BUCKETS, max_labels: int = MAX_LABELS) -> DataFrame:
+    """The rows of ``docs`` that were drawn, those with a null id among them."""
+    drawn = _scored(docs, labels, share, seed, buckets, max_labels).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_semi")

@@ -12,7 +12,8 @@ words and pairs, hashed to 64 bits and cut by hash ranges, with its training cou
 range adds them up and answers every chunk with the totals, in the order asked. One chunk is told
 that it owns a pair, and adds the pair to its history's sums, so each pair counts once. Backoff
 weights come from these sums by one aggregation, and join the (document, history) rows that backed
-off. A frequent word is one entry for each chunk, so no key is hot. The number of ranges grows with
+off; a common history backs off in nearly every document, so histories with a thousandth of these
+rows are broadcast (a thousand at most). A frequent word is one entry for each chunk. The number of ranges grows with
 the tokens, up to 32,768; beyond (some terabytes of text) ranges grow instead, and larger chunks
 are called for.
 
@@ -30,20 +31,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import lower_words, mix, settle, word_hashes
+from trackloom.llm.common import hashed_words, join_spread, mix, settle, slices
 
+#: Neither is a word's hash, but by a chance of 2**-64.
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 #: Counts up to which Good-Turing discounts apply.
 CUTOFF = 5
 MAX_RANGES = 1 << 15
 
-_CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, vocab binary, tokens binary"
+#: ``doc_ids`` and ``lengths``: 64-bit numbers; ``null_ids`` and ``held``: a bit for each document.
+_CHUNKS = "chunk long, doc_ids binary, null_ids binary, held binary, lengths binary, vocab binary, tokens binary"
 _ASKED = "kind int, bucket int, chunk long, keys binary, counts binary"
 _ANSWERS = "kind int, bucket int, chunk long, totals binary, owned binary, stats array<long>"
 _FOUND = (
@@ -55,35 +60,31 @@ DOC, EVENT, SUMS = 0, 1, 2
 
 
 def _chunks(chunk_tokens: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, part = word_hashes(), TaskContext.get().partitionId()
-        ids, held, parts, size, made = [], [], [], 0, 0
-
-        def chunk() -> pd.DataFrame:
-            vocab, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-            return pd.DataFrame(
-                {
-                    "chunk": [part << 20 | made],
-                    "doc_ids": [pd.array(ids, "Int64")],
-                    "held": [held],
-                    "lengths": [[len(p) for p in parts]],
-                    "vocab": [vocab.tobytes()],
-                    "tokens": [tokens.astype(np.int32).tobytes()],
-                }
-            )
-
-        for batch in batches:
-            for doc_id, out, text in batch.astype({"doc_id": "Int64"}).itertuples(index=False):
-                words = lower_words(text)
-                found = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                parts.append(np.append(found, END))
-                ids.append(doc_id)
-                held.append(bool(out))
-                size += len(words) + 1
-                if size >= chunk_tokens:
-                    yield chunk()
-                    ids, held, parts, size, made = [], [], [], 0, made + 1
-        if parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size, made, held = TaskContext.get().partitionId(), 0, 0, []
+
+        def chunk() -> pa.RecordBatch:
+            ids = pa.concat_arrays([r["doc_id"] for r, *_ in held])
+            vocab, tokens = np.unique(np.concatenate([t for _, t, _ in held]), return_inverse=True)
+            values = {
+                "chunk": part << 20 | made,
+                "doc_ids": pc.fill_null(ids, 0).to_numpy().tobytes(),
+                "null_ids": np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(),
+                "held": np.packbits(pa.concat_arrays([r["held"] for r, *_ in held]).to_numpy(zero_copy_only=False)).tobytes(),
+                "lengths": np.concatenate([n for *_, n in held]).astype(np.int64).tobytes(),
+                "vocab": vocab.tobytes(),
+                "tokens": tokens.astype(np.int32).tobytes(),
+            }
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == "chunk" else pa.binary()) for k, v in values.items()], list(values))
+
+        for rows in slices(batches):
+            words, firsts = hashed_words(rows["text"])
+            held.append((rows, np.insert(words, firsts[1:], END), np.diff(firsts) + 1))
+            size += len(held[-1][1])
+            if size >= chunk_tokens:
+                yield chunk()
+                size, made, held = 0, made + 1, []
+        if held:
             yield chunk()
 
     return run
@@ -95,10 +96,11 @@ class _Chunk:
     def __init__(self, row):
         self.vocab = np.frombuffer(row.vocab, np.uint64)
         self.tokens = np.frombuffer(row.tokens, np.int32)
-        self.lengths = np.asarray(row.lengths)
+        self.lengths = np.frombuffer(row.lengths, np.int64)
+        self.held = np.unpackbits(np.frombuffer(row.held, np.uint8), count=len(self.lengths)).astype(bool)
         self.first = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.train = ~np.asarray(row.held, bool)[self.doc]
+        self.train = ~self.held[self.doc]
         self.history = np.roll(self.tokens, 1)
         self.history[self.first] = len(self.vocab)  # stands for the beginning
         self.names = np.append(self.vocab, BEGIN)
@@ -231,8 +233,8 @@ def _score(stats: dict[int, list[int]]):
                 {
                     "kind": DOC,
                     "row": rows,
-                    "doc_id": pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], "Int64"),
-                    "held": row.held,
+                    "doc_id": pd.arrays.IntegerArray(np.frombuffer(row.doc_ids, np.int64).copy(), np.unpackbits(np.frombuffer(row.null_ids, np.uint8), count=docs).astype(bool)),
+                    "held": own.held,
                     "n_tokens": own.lengths,
                     "n_known": per_doc(count[own.tokens] > 0).astype(np.int64),
                     "base_score": per_doc(base),
@@ -242,9 +244,10 @@ def _score(stats: dict[int, list[int]]):
         )
         events, times = np.unique(own.doc[backed].astype(np.int64) * len(begun) + own.history[backed], return_counts=True)
         found.append(pd.DataFrame({"kind": EVENT, "row": rows[events // len(begun)], "history": own.names[events % len(begun)].view(np.int64), "n": times}))
+        for part in found:  # whole numbers stay so where other kinds of rows have none
+            for c in part.columns.intersection(["row", "n_tokens", "n_known", "history", "n", "seen"]):
+                part[c] = part[c].astype("Int64")
         whole = pd.concat(found, ignore_index=True)
-        for c in ("row", "n_tokens", "n_known", "history", "n", "seen"):
-            whole[c] = whole[c].astype("Int64")
         return whole[[c.split()[0] for c in _FOUND.split(", ")]]
 
     return run
@@ -254,8 +257,9 @@ def score(docs: DataFrame, held_out, chunk_tokens: int = 1_500_000, range_keys:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` for each row of ``docs``. ``held_out``: a boolean column; the other rows are learned from."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
-    chunks = settle(texts.mapInPandas(_chunks(chunk_tokens), _CHUNKS))
-    tokens = chunks.select(F.explode("lengths").alias("n")).agg(F.sum("n")).first()[0] or 0
+    chunks = settle(texts.mapInArrow(_chunks(chunk_tokens), _CHUNKS))
+    tokens = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    tokens //= 4
     bits = min(MAX_RANGES.bit_length() - 1, max(0, tokens // range_keys).bit_length())
     asked = chunks.mapInPandas(_ask(bits), _ASKED)
     answers = settle(asked.groupBy("kind", "bucket").applyInPandas(_answer, _ANSWERS))
@@ -267,8 +271,8 @@ def score(docs: DataFrame, held_out, chunk_tokens: int = 1_500_000, range_keys:
     found = settle(chunks.groupBy("chunk").cogroup(per_chunk).applyInPandas(_score(stats), _FOUND))
 
     sums = found.where(f"kind = {SUMS}").groupBy("history").agg(F.sum("mass").alias("mass"), F.sum("lower_mass").alias("lower_mass"), F.max("seen").alias("seen"))
-    weight = sums.select("history", F.log10((1 - F.col("mass") / (F.col("seen") + 1)) / (1 - F.col("lower_mass"))).alias("weight"))
-    events = found.where(f"kind = {EVENT}").select("row", "history", "n").join(weight, "history")
+    weights = settle(sums.select("history", F.log10((1 - F.col("mass") / (F.col("seen") + 1)) / (1 - F.col("lower_mass"))).alias("weight")))
+    events = join_spread(found.where(f"kind = {EVENT}").select("row", "history", "n"), weights, ["history"])
     backed = events.groupBy(F.col("row").alias("__row")).agg(F.sum(F.col("n") * F.col("weight")).alias("backed"))
     rows = found.where(f"kind = {DOC}").join(backed, F.col("row") == F.col("__row"), "left")
     return rows.select(

@@ -30,7 +30,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     shards = sharding.shuffle_into_shards(light)
-    return shards.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return shards.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
 def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.drop("text", "n_lines")
+    base = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return judged.select("doc_id", *base, "n_shouts", "n_stop_words", *[c for c in judged.columns if c.startswith("pass_")])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ overlaps the place that stays goes only behind it.
 Digests that hold a thousandth of all units or more are looked up by a broadcast (at most 1000
 rows by that definition), the rest by a shuffle, in which no key is then hot.
 
-Defined results: null and empty texts have no units; of repeated rows the first keeps its units;
+Defined results: null and empty texts have no units; of repeated rows the first of the scan keeps its units;
 null ids rank first; an empty table gives no rows; other columns are ignored by ``find_repeats``,
 and ``remove_repeats`` keeps them all.
 """
@@ -27,15 +27,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import mix, settle, word_hashes
+from trackloom.llm.common import mix, segment_hashes, settle, slices
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
+_LETTERS = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 _UNITS = "doc_id long, row long, start int, end int, word_from int, word_to int, hash_a long, hash_b long"
 
 
@@ -53,15 +54,17 @@ def cut(text: str, unit_words: int) -> Iterator[tuple[int, int, list[str]]]:
         sentence = end
 
 
-def winnow(text: str, passage_words: int, hashes) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+def winnow(text: str, passage_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Digests and places (start, end, first word, word behind) of the chosen runs of words."""
     size = passage_words // 2
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    if len(words) < passage_words:
-        return np.empty((0, 2), np.uint64), []
-    low = text.lower() if len(text.lower()) == len(text) else None
-    one = [(low[a:b] if low else text[a:b].lower()).encode("utf-8", "surrogatepass") for a, b in words]
-    hashed = np.fromiter(map(hashes.__getitem__, one), np.uint64, len(one))
+    places = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    if len(places) < passage_words:
+        return np.empty((0, 2), np.uint64), np.empty((0, 4), np.int64)
+    low = text.lower()
+    if len(low) != len(text):  # a letter that gets longer stays as it is
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashed = segment_hashes(codes, places[:, 0], places[:, 1], _LETTERS)
     n = len(hashed) - size + 1
     both = np.zeros((n, 2), np.uint64)
     for k in range(size):
@@ -69,40 +72,43 @@ def winnow(text: str, passage_words: int, hashes) -> tuple[np.ndarray, list[tupl
     both = mix(both)
     stretch = np.lib.stride_tricks.sliding_window_view(both[:, 0], passage_words - size + 1)
     at = np.unique(stretch.argmin(axis=1) + np.arange(len(stretch)))
-    return both[at], [(words[p][0], words[p + size - 1][1], p, p + size) for p in at.tolist()]
+    return both[at], np.stack([places[at, 0], places[at + size - 1, 1], at, at + size], axis=1)
 
 
 def _units(unit_words: int, passage_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = word_hashes()
-        for batch in batches:
-            for k in range(0, len(batch), 1000):
-                rows, digests, others = [], [], []
-                for doc_id, row, text in batch.iloc[k : k + 1000].itertuples(index=False):
-                    at = 0
-                    for start, end, words in cut(text or "", unit_words):
-                        rows.append((doc_id, row, start, end, at, at + len(words)))
-                        digests.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass")))
-                        at += len(words)
-                    if passage_words:
-                        others.append((doc_id, row, *winnow(text or "", passage_words, hashes)))
-                more = [(doc_id, row, *place) for doc_id, row, _, places in others for place in places]
-                out = pd.DataFrame(rows + more, columns=["doc_id", "row", "start", "end", "word_from", "word_to"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                found = np.concatenate([np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), *(h.view(np.int64) for _, _, h, _ in others)])
-                yield out.assign(hash_a=found[:, 0], hash_b=found[:, 1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            owners, found, digests, others = [], [], [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
+                at = 0
+                for start, end, words in cut(text or "", unit_words):
+                    found.append((start, end, at, at + len(words)))
+                    owners.append(k)
+                    digests.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass")))
+                    at += len(words)
+                if passage_words and text:
+                    more, places = winnow(text, passage_words)
+                    others.append((np.full(len(more), k), places, more.view(np.int64)))
+            owner = np.concatenate([np.array(owners, np.int64), *(k for k, *_ in others)])
+            place = np.concatenate([np.array(found, np.int64).reshape(-1, 4), *(p for _, p, _ in others)]).astype(np.int32)
+            key = np.concatenate([np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), *(h for *_, h in others)])
+            at = pa.array(owner)
+            columns = [batch["doc_id"].take(at), batch["row"].take(at), *(pa.array(c) for c in place.T.copy()), *(pa.array(c) for c in key.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _UNITS.split(", ")])
 
     return run
 
 
-def find_repeats(docs: DataFrame, unit_words: int = 5, min_words: int = 25, parts: int = 1000, passage_words: int = 0) -> DataFrame:
+def find_repeats(docs: DataFrame, unit_words: int = 5, min_words: int = 25, parts: int = 1000, passage_words: int = 0, row: str | None = None) -> DataFrame:
     """A row for each run of repeated units: ``doc_id``, ``row`` (of the scan), ``span_start``,
     ``span_end`` (end exclusive), ``n_words`` and ``kept_doc_id``, where its first unit stays.
 
     ``min_words``: 1 for every repeated unit. ``passage_words``: 0, or the length (2 or more) from
-    which no shared passage is missed."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    units = settle(texts.mapInPandas(_units(unit_words, passage_words), _UNITS))
+    which no shared passage is missed. ``row``: a column of longs that numbers the rows, or the
+    order of the scan."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row"), "text")
+    units = settle(texts.mapInArrow(_units(unit_words, passage_words), _UNITS))
     place = F.struct("doc_id", "row", "start", "end", "word_to")
     groups = units.groupBy("hash_a", "hash_b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     groups = settle(groups.where("n > 1"))
@@ -128,16 +134,16 @@ def find_repeats(docs: DataFrame, unit_words: int = 5, min_words: int = 25, part
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with repeated runs cut out of ``text``. Rows with equal ids lose the spans of each
-    other; rows with a null id stay as they are."""
-    spans = find_repeats(docs, **options).where("doc_id IS NOT NULL")
-    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias("__cuts"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left")
+    """``docs`` with repeated runs cut out of ``text``, each row's own ones; null ids rank first."""
+    names = docs.columns
+    docs = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+    spans = find_repeats(docs, row="__row", **options)
+    spans = spans.groupBy(F.col("row").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("span_start", "span_end"))).alias("__cuts"))
+    joined = docs.join(spans, F.col("__row") == F.col("__of"), "left")
     # What lies between the furthest end so far and the next start stays.
     left = F.expr("""
         aggregate(__cuts, named_struct('at', 0, 'kept', ''),
           (s, c) -> named_struct('at', greatest(s.at, c.span_end),
             'kept', s.kept || CASE WHEN c.span_start > s.at THEN substring(text, s.at + 1, c.span_start - s.at) ELSE '' END),
           s -> s.kept || substring(text, s.at + 1))""")
-    names = [F.when(F.col("__cuts").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*names)
+    return joined.select(*[F.when(F.col("__cuts").isNotNull(), left).otherwise(F.col(c)).alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names])

@@ -17,15 +17,18 @@ columns are ignored by ``scan``, and ``redact`` keeps them all.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm.common import slices
+
 KINDS = ("assign", "access", "hex", "novel")
 
 #: The patterns of the base kinds.
@@ -67,7 +70,10 @@ class Scanner:
 
     def novel(self, text: str, start: int, end: int, taken: list[tuple[int, int]]) -> bool:
         run = text[start:end]
-        if len(run) < 20 or run.isalpha() or run.isdigit() or any(s < end and start < e for s, e in taken):
+        if len(run) < 20 or run.isalpha() or run.isdigit():
+            return False
+        at = bisect.bisect_left(taken, (end,))  # spans taken lie apart, so only the last one before the end can reach in
+        if at and taken[at - 1][1] > start:
             return False
         return self.novelty(text, start, end) >= self.min_novelty
 
@@ -80,7 +86,12 @@ class Scanner:
             found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        taken = sorted((s, e) for s, _, e in found)
+        taken: list[tuple[int, int]] = []
+        for s, _, e in sorted(found):
+            if taken and s <= taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
             near = max(0, start - 48)
@@ -95,47 +106,50 @@ class Scanner:
         return sorted(found)
 
 
+_SCANNED = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
+
+
 def _scan(identifiers: str, min_novelty: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(identifiers, min_novelty)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for text in batch["text"]:
+            for text in batch["text"].to_pylist():
                 spans = scanner.spans(text)
                 said = [(k, f"{KINDS[k]}:{s}:{e}") for s, k, e in spans]
                 base = ",".join(x for k, x in said if k < 3)
                 counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
-                rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in said)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
+                rows.append((*counts[:3], hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in said), counts[3]))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], _SCANNED)
 
     return run
 
 
 def scan(docs: DataFrame, identifiers: str = IDENTIFIERS, min_novelty: float = 0.5) -> DataFrame:
     """``doc_id``, counts by kind, ``base_sha256`` and ``spans`` (kind:start:end, comma-joined)."""
-    kinds = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan(identifiers, min_novelty), kinds)
+    kinds = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(identifiers, min_novelty), kinds)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", identifiers: str = IDENTIFIERS, min_novelty: float = 0.5) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mask``; overlapping spans become one."""
+    """``docs`` with every secret in ``text`` replaced by ``mask``; overlapping spans become one. Other
+    columns pass as they are."""
     text_at = [c.lower() for c in docs.columns].index("text")
+    name = docs.columns[text_at]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(identifiers, min_novelty)
-        for batch in batches:
+        for batch in slices(batches, name):
             texts = []
-            for text in batch.iloc[:, text_at]:
+            for text in batch.column(text_at).to_pylist():
                 at, parts = 0, []
                 for start, _, end in scanner.spans(text):
                     if start >= at:
                         parts += [text[at:start], mask]
                     at = max(at, end)
                 texts.append("".join([*parts, text[at:]]) if parts else text)
-            out = batch.copy()
-            out.isetitem(text_at, texts)
-            yield out
+            columns = [pa.array(texts, c.type) if k == text_at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
