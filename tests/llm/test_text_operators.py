@@ -148,14 +148,17 @@ def brute_overlaps(docs, items):
         have = split(text)
         for k, item in items:
             want = split(item)
-            for at in range(-len(want), len(have)) if len(want) >= decontamination.SPAN else ():
+            for at in range(-len(want), len(have)) if want else ():
                 same = [0 <= at + j < len(have) and have[at + j] == w for j, w in enumerate(want)]
                 if sum(same) >= 0.8 * len(want) or any(sum(same[j : j + 13]) >= 11 for j in range(len(want))):
                     out.add((i, k))
     return out
 
 
-def test_overlaps_match_brute_force(spark):
+@pytest.mark.parametrize("at_once", [500_000, 200])
+def test_overlaps_match_brute_force(spark, monkeypatch, at_once):
+    """In one piece of the benchmark's seeds, and in several; the documents are shuffled in neither."""
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", at_once)
     rng = random.Random(8)
     items = [(k, words(rng, rng.randrange(6, 40), 5000)) for k in range(25)] + [(90, None), (91, "")]
     docs = [(i, words(rng, 60, 5000)) for i in range(40)]
@@ -173,6 +176,33 @@ def test_overlaps_match_brute_force(spark):
     assert decontamination.find_overlaps(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 15])
+def test_every_substitution_is_found(spark, n):
+    """Items of few tokens, and each way to change as many of them as the rule allows, or one more."""
+    from itertools import combinations
+
+    item = [f"t{k}" for k in range(n)]
+    allowed = n - next(k for k in range(n + 1) if k >= 0.8 * n)
+    docs = []
+    for many in range(allowed + 2):
+        for changed in combinations(range(n), many):
+            docs.append((len(docs), " ".join("x" if k in changed else w for k, w in enumerate(item))))
+    bench = spark.createDataFrame([(1, "?".join(item).title())], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_overlaps(frame(spark, docs), bench).collect()}
+    assert got == brute_overlaps(docs, [(1, " ".join(item))]) and got
+
+
+def test_overlaps_by_row(spark):
+    """Rows of one id, or of none, are told apart; a long text is searched to its end."""
+    item = "what is the capital city of france"
+    rows = [(None, f"so {item}, they asked"), (None, "nothing here"), (7, item.upper()), (7, "another text"), (8, "filler " * 60_000 + item)]
+    bench = spark.createDataFrame([(1, item + "?"), (2, "...")], "item_id long, text string")
+    found = decontamination.find_overlaps(frame(spark, rows), bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.agreeing) for r in found) == [("7", 1, 7), ("8", 1, 7), ("None", 1, 7)]
+    left = decontamination.remove_overlaps(frame(spark, rows), bench).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("7", "another text"), ("None", "nothing here")]
+
+
 # -- quality rules ---------------------------------------------------------------------------
 
 
