@@ -27,13 +27,15 @@ def at_most(df: DataFrame, n: int) -> bool:
 
 
 def join_spread(rows: DataFrame, other: DataFrame, on: list[str], parts: int = 1000) -> DataFrame:
-    """``rows`` joined with ``other``, which has each key once. Keys with a share of ``1 / parts`` of the rows or
-    more, ``parts`` of them at most, are broadcast; the rest is shuffled, in which no key is hot then.
+    """``rows`` joined with ``other``, which has each key once. What belongs to keys with a share of ``1 / parts``
+    of the rows or more is broadcast (``parts`` keys at most); the rest is shuffled, in which no key is hot then.
     Both are read several times, so they should be settled."""
-    least = rows.count() / parts
-    hot = F.broadcast(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select(*on))
-    near = rows.join(F.broadcast(other.join(hot, on, "left_semi")), on)
-    return near.unionByName(rows.join(hot, on, "left_anti").join(other.join(hot, on, "left_anti"), on))
+    key = F.xxhash64(*on)
+    counts = rows.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+    keys = [r["__key"] for r in counts.where(F.col("__n") >= rows.count() / parts).collect()]
+    hot = key.isin(keys) if keys else F.lit(False)
+    near = rows.where(hot).join(F.broadcast(other.where(hot)), on)
+    return near.unionByName(rows.where(~hot).join(other.where(~hot), on))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
