@@ -79,9 +79,10 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of each text begin and end, and the number of each text's first word (one more than texts)."""
-    inside = ~_BLANK[data]
+def word_places(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of each text begin and end, and the number of each text's first word (one more than texts).
+    ``blank``: for each value of ``data``, whether it is white space."""
+    inside = ~blank[data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import mix, segment_hashes, settle, slices
+from trackloom.llm.common import mix, powers, segment_hashes, settle, slices, text_bytes, word_places
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
-_WORD = re.compile(r"\S+")
-_LETTERS = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 _UNITS = "doc_id long, row long, start int, end int, word_from int, word_to int, hash_a long, hash_b long"
 
 
@@ -54,31 +53,46 @@ def cut(text: str, unit_words: int) -> Iterator[tuple[int, int, list[str]]]:
         sentence = end
 
 
-def winnow(text: str, passage_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digests and places (start, end, first word, word behind) of the chosen runs of words."""
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, what it counts for in hashes (as in lower case) and whether it is white space."""
+    low = np.arange(0x110000)
+    low[:0x20000] = [ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x20000)]
+    blank = np.zeros(0x110000, bool)
+    blank[[c for c in range(0x4000) if chr(c).isspace()]] = True
+    return mix((low + 1).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)), blank
+
+
+def winnow(texts: pa.Array, passage_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen runs of words of all texts: their text, place (start, end, first word, word behind) and digest."""
     size = passage_words // 2
-    places = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
-    if len(places) < passage_words:
-        return np.empty((0, 2), np.uint64), np.empty((0, 4), np.int64)
-    low = text.lower()
-    if len(low) != len(text):  # a letter that gets longer stays as it is
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
-    hashed = segment_hashes(codes, places[:, 0], places[:, 1], _LETTERS)
-    n = len(hashed) - size + 1
-    both = np.zeros((n, 2), np.uint64)
-    for k in range(size):
-        both = both * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + hashed[k : k + n, None]
-    both = mix(both)
-    stretch = np.lib.stride_tricks.sliding_window_view(both[:, 0], passage_words - size + 1)
-    at = np.unique(stretch.argmin(axis=1) + np.arange(len(stretch)))
-    return both[at], np.stack([places[at, 0], places[at + size - 1, 1], at, at + size], axis=1)
+    data, offsets = text_bytes(texts)
+    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    worth, blank = _letters()
+    starts, ends, firsts = word_places(codes, edges, blank)
+    if len(starts) < passage_words:
+        return np.zeros(0, np.int64), np.empty((0, 4), np.int64), np.empty((0, 2), np.int64)
+    hashed = segment_hashes(codes, starts, ends, worth)
+    up, down = powers(len(hashed))
+    n, runs = len(hashed) - size + 1, []
+    for words in (hashed, mix(hashed)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+        runs.append(mix((sums[size:] - sums[:-size]) * down[:n]))
+    text = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    begins = np.flatnonzero(text[passage_words - 1 :] == text[: len(text) - passage_words + 1])
+    stretch = np.lib.stride_tricks.sliding_window_view(runs[0], passage_words - size + 1)
+    least = [stretch[begins[k : k + 100_000]].argmin(axis=1) for k in range(0, len(begins), 100_000)]
+    at = np.unique(begins + np.concatenate([np.zeros(0, np.int64), *least]).astype(np.int64))
+    of = text[at]
+    place = np.stack([starts[at] - edges[of], ends[at + size - 1] - edges[of], at - firsts[of], at - firsts[of] + size], axis=1)
+    return of, place, np.stack([r[at] for r in runs], axis=1).view(np.int64)
 
 
 def _units(unit_words: int, passage_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            owners, found, digests, others = [], [], [], []
+            owners, found, digests = [], [], []
             for k, text in enumerate(batch["text"].to_pylist()):
                 at = 0
                 for start, end, words in cut(text or "", unit_words):
@@ -86,12 +100,11 @@ def _units(unit_words: int, passage_words: int):
                     owners.append(k)
                     digests.append(xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass")))
                     at += len(words)
-                if passage_words and text:
-                    more, places = winnow(text, passage_words)
-                    others.append((np.full(len(more), k), places, more.view(np.int64)))
-            owner = np.concatenate([np.array(owners, np.int64), *(k for k, *_ in others)])
-            place = np.concatenate([np.array(found, np.int64).reshape(-1, 4), *(p for _, p, _ in others)]).astype(np.int32)
-            key = np.concatenate([np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), *(h for *_, h in others)])
+            owner = np.array(owners, np.int64)
+            place, key = np.array(found, np.int64).reshape(-1, 4), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            if passage_words:
+                owner, place, key = (np.concatenate(x) for x in zip((owner, place, key), winnow(batch["text"], passage_words), strict=True))
+            place = place.astype(np.int32)
             at = pa.array(owner)
             columns = [batch["doc_id"].take(at), batch["row"].take(at), *(pa.array(c) for c in place.T.copy()), *(pa.array(c) for c in key.T.copy())]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _UNITS.split(", ")])
