@@ -66,3 +66,32 @@ def test_lists_by_size(spark):
 
     files = spark.createDataFrame([("camera_1", '{"frames": [{"frame": 3, "id": 4, "bbox": [1, 1, 2, 3]}]}')], "camera string, value string")
     assert [tuple(r) for r in parse_nested(files, "xywh").collect()] == [("camera_1", 3, 4, 1.0, 1.0, 3.0, 4.0, 6.0)]
+
+
+def test_catalog_and_cosine(spark):
+    import pytest
+
+    from trackloom.sources import catalog
+
+    assert catalog.case(spark, "case_6_multicamera_temporal_handoff")["cameras"] == ["camera_6", "camera_5"]
+    assert catalog.cameras(spark).count() == 10
+    with pytest.raises(KeyError):
+        catalog.case(spark, "case_7")
+    geometry.register(spark)
+    assert round(spark.sql("SELECT cosine(array(1D, 0D), array(1D, 1D)) AS c").first().c, 6) == 0.707107
+
+
+def test_tracks_close_over_a_stream(spark, tmp_path):
+    import datetime
+
+    from trackloom.streaming.tracks import closed_tracks
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(at + datetime.timedelta(seconds=s), "camera_1", k, 0.5, 10.0) for k, times in (("a", (0, 10, 100)), ("b", (5,)), ("z", (900,))) for s in times]
+    schema = "ts timestamp, camera string, track_key string, conf double, area double"
+    for n, part in enumerate((rows[:2], rows[2:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part={n}"))
+    stream = closed_tracks(spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.track_key, r.num_rows) for r in spark.table("closed").collect()) == [("a", 1), ("a", 2), ("b", 1)]

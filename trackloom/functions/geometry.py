@@ -13,6 +13,11 @@ SQL = {
         " / nullif(greatest(0, ax2 - ax1) * greatest(0, ay2 - ay1) + greatest(0, bx2 - bx1) * greatest(0, by2 - by1)"
         " - greatest(0, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0, least(ay2, by2) - greatest(ay1, by1)), 0), 0)",
     ),
+    "cosine": (
+        "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>",
+        "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+        " / (sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)) + 1e-12D)",
+    ),
     "temporal_overlap": ("a0 INT, a1 INT, b0 INT, b1 INT", "greatest(0, least(a1, b1) - greatest(a0, b0) + 1)"),
     "temporal_gap": ("a0 INT, a1 INT, b0 INT, b1 INT", "greatest(0, greatest(a0, b0) - least(a1, b1) - 1)"),
 }
@@ -63,7 +68,7 @@ def mean(value: Column) -> Column:
 
 
 def truthy(value: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("true", "1", "yes", "valid"), F.lit(False))
+    return F.coalesce(F.lower(value.cast("string")).isin("true", "1", "yes", "valid"), F.lit(False))
 
 
 def safe_name(value: Column) -> Column:
@@ -75,7 +80,7 @@ def fingerprint(value: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """``iou``, ``temporal_gap`` and ``temporal_overlap`` for SQL. They are inlined into plans."""
+    """``iou``, ``cosine``, ``temporal_gap`` and ``temporal_overlap`` for SQL. They are inlined into plans."""
     for name, (arguments, body) in SQL.items():
-        kind = "DOUBLE" if name == "iou" else "INT"
+        kind = "INT" if name.startswith("temporal") else "DOUBLE"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

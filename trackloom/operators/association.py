@@ -166,14 +166,15 @@ def number_identities(tracks: DataFrame, merges: DataFrame) -> DataFrame:
     return rooted.join(ids, "root").drop("root")
 
 
-def numbered(rows: DataFrame, key: str, number: str) -> DataFrame:
-    """Adds ``number``: 1, 2, ... in the order of the distinct values of ``key``. Rows are dealt into
+def numbered(rows: DataFrame, key, number: str) -> DataFrame:
+    """Adds ``number``: 1, 2, ... in the order of ``key``, a column or a list of them. Rows are dealt into
     ranges of the key and numbered inside each; the ranges' sizes (a row each) give the offsets."""
-    ranged = settle(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__range", F.spark_partition_id()))
+    key = key if isinstance(key, list) else [key]
+    ranged = settle(rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("__range", before.alias("__before")))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*key))
     placed = ranged.withColumn("__inside", inside).join(offsets, "__range")
     return placed.withColumn(number, (F.col("__before") + F.col("__inside")).cast("int")).drop("__range", "__inside", "__before")
 

@@ -20,6 +20,22 @@ REID_HINTS = {
     "top_unmerged_cross_similarity >= {t}": "Ada pasangan similarity tinggi yang tidak di-merge. Cek MNN dan overlap temporal sebelum menurunkan threshold.",
 }
 
+#: Colours (blue, green, red) of identities 1 to 12.
+PALETTE = (
+    (255, 255, 0),
+    (0, 255, 255),
+    (255, 0, 255),
+    (0, 180, 255),
+    (80, 255, 80),
+    (255, 120, 80),
+    (120, 80, 255),
+    (0, 255, 140),
+    (255, 200, 0),
+    (180, 255, 0),
+    (0, 128, 255),
+    (255, 0, 128),
+)
+
 EVALUATED = ("TP_pair", "FP_pair", "FN_pair", "TN_pair")
 
 
@@ -190,12 +206,25 @@ def diagnostics(identities: DataFrame, verdicts: DataFrame, totals: DataFrame) -
     counts = verdicts.where("merge_status").groupBy("merge_reason").agg(F.count(F.lit(1)).alias("n"))
     row = row.crossJoin(counts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("merge_reason", "n"))))).alias("merge_reason_counts")))
     row = row.crossJoin(identities.agg(F.countDistinct("track_key").alias("num_local_tracks"), F.countDistinct("global_id").alias("num_global_ids")))
-    return row.crossJoin(totals.select(F.col("pure_global_id_rate").alias("identity_precision")))
+    rate = F.col("pure_global_id_rate")  # stands for all three
+    return row.crossJoin(totals.select(*[rate.alias(f"identity_{n}") for n in ("precision", "recall", "f1")]))
 
 
 def overlay_labels(labelled: DataFrame) -> DataFrame:
-    """What is drawn on a box: its label (short on small boxes) and the hue of its identity."""
+    """What is drawn on a box: its label (short on small boxes), the colour of its identity, from the palette
+    or else by its hue, and the text's, black (0) on light colours and white (255) on dark ones."""
     gid = F.coalesce("global_id", "track_id")
     small = (F.col("x2") - F.col("x1") < 80) | (F.col("y2") - F.col("y1") < 100)
     label = F.when(small, F.concat(F.lit("G"), gid, F.lit("|T"), F.col("track_id"))).otherwise(F.concat(F.lit("GID:"), gid, F.lit(" | T"), F.col("track_id")))
-    return labelled.select("det_id", "camera", "frame", label.alias("label"), (gid * 67 % 180).alias("hue"))
+    hue = gid * 67 % 180
+    palette = F.array(*[F.array(*map(F.lit, c)) for c in PALETTE])
+
+    def shade(place: int, sector: int):
+        """Of a colour with saturation 230 and value 255; a hue is 1/30 of a sector."""
+        at = (hue / 30 + sector) % 6
+        mixed = F.round(255 - 230 * F.greatest(F.lit(0.0), F.least(at, 4 - at, F.lit(1.0)))).cast("int")
+        return F.when(gid.between(1, len(PALETTE)), F.get(F.get(palette, gid.cast("int") - 1), F.lit(place))).otherwise(mixed)
+
+    coloured = labelled.select("det_id", "camera", "frame", label.alias("label"), hue.alias("hue"), shade(0, 1).alias("blue"), shade(1, 3).alias("green"), shade(2, 5).alias("red"))
+    light = 0.114 * F.col("blue") + 0.587 * F.col("green") + 0.299 * F.col("red")
+    return coloured.withColumn("text_colour", F.when(light >= 150, 0).otherwise(255))

@@ -32,6 +32,9 @@ TRACKING_HINTS = {
     "avg_area_mean < 1500": "Rata-rata area kecil. Tinjau min_avg_area agar track kecil yang valid tidak ikut terbuang.",
     "raw_rows > 0 AND valid_rows = 0": "Tidak ada track valid. Filter kemungkinan terlalu ketat untuk video ini.",
 }
+#: What is said of the standard metrics.
+METRICS_NOTE = "Metrik akademik berbasis GT. MOTA sederhana memakai FN, FP, dan ID switch dari evaluasi tracking."
+NO_TRUTH_NOTE = "GT tidak tersedia; metrik akademik tracking tidak aktif."
 NO_HINT = "Tidak ada masalah besar dari ringkasan saat ini."
 
 
@@ -177,7 +180,9 @@ def standard_metrics(evaluated: DataFrame) -> DataFrame:
             "mota_simple": F.when(known, clamp01(F.col("raw_mota_simple"))),
         }
     )
-    names = "tp fp fn precision recall f1 raw_mota_simple mota_simple motp_iou id_switch_count identity_coverage_rate"
+    out = out.withColumns({c: F.when(known, F.col(c)) for c in ("fragmentation_avg", "mean_track_purity", "false_positive_rate")})
+    out = out.withColumn("note", F.when(known, METRICS_NOTE).otherwise(NO_TRUTH_NOTE))
+    names = "tp fp fn precision recall f1 raw_mota_simple mota_simple motp_iou id_switch_count fragmentation_avg mean_track_purity false_positive_rate identity_coverage_rate note"
     return out.select("scope", known.alias("score_available"), F.col("gt_rows").alias("total_gt_rows"), F.col("raw_detections").alias("total_prediction_rows"), *names.split())
 
 

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.association import numbered
+
+#: The order in which each table is shown and exported (-: the largest first).
+ORDERS = {
+    "summary": ["camera", "track_id"],
+    "coverage": ["camera", "gt_id"],
+    "identities": ["global_id", "camera", "track_key"],
+    "merged": ["global_id", "-cosine_similarity", "track_a", "track_b"],
+}
 JUDGED = ["track_key", "camera", "track_id", "num_frames", "num_crops", "avg_conf", "avg_area"]
 
 
@@ -13,6 +22,11 @@ def _with_truth(judged: DataFrame, truth: DataFrame) -> DataFrame:
     return judged.join(known, "track_key", "left")
 
 
+def in_order(rows: DataFrame, table: str) -> DataFrame:
+    """Adds ``place``: 1, 2, ... in the table's order, by which its readers and sinks may sort."""
+    return numbered(rows, [F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in ORDERS[table]], "place")
+
+
 def track_overview(judged: DataFrame, truth: DataFrame) -> DataFrame:
     """Every track, kept or not, with its dominant identity (null: never matched against truth)."""
     return _with_truth(judged, truth).select(*JUDGED, "is_valid", "status", "dominant_gt_id", "track_purity")
@@ -24,8 +38,9 @@ def local_gallery(judged: DataFrame, truth: DataFrame) -> DataFrame:
     return _with_truth(shown, truth).select(*JUDGED, "image_path", "dominant_gt_id", "track_purity")
 
 
-def case_overview(detections: DataFrame, ground_truth: DataFrame) -> DataFrame:
-    """One row on what a case holds; ``num_gt_ids`` is null without ground truth."""
+def case_overview(detections: DataFrame, ground_truth: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """One row on what a case holds; ``num_gt_ids`` is null without ground truth. ``videos`` has
+    ``camera, duration_sec``; the longest one is told if it is given."""
     seen = detections.agg(
         F.array_join(F.array_sort(F.collect_set("camera")), ", ").alias("cameras"),
         F.min("source_frame").alias("first_source_frame"),
@@ -33,6 +48,8 @@ def case_overview(detections: DataFrame, ground_truth: DataFrame) -> DataFrame:
         F.countDistinct("track_key").alias("num_tracks"),
     )
     true = ground_truth.agg(F.nullif(F.countDistinct("gt_id"), F.lit(0)).alias("num_gt_ids"), F.count(F.lit(1)).alias("gt_rows"))
+    if videos is not None:
+        seen = seen.crossJoin(videos.agg(F.round(F.max(F.when(F.col("duration_sec") > 0, F.col("duration_sec"))), 2).alias("max_duration_sec")))
     return seen.crossJoin(true)  # one row each
 
 

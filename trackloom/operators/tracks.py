@@ -24,6 +24,31 @@ class Limits:
     min_avg_area: float = 0.0
 
 
+def with_keys(detections: DataFrame) -> DataFrame:
+    """Adds ``track_key`` where there is none yet: camera, ``_T`` and the track's number."""
+    key = F.concat(F.col("camera").cast("string"), F.lit("_T"), F.col("track_id").cast("long").cast("string"))
+    return detections if "track_key" in detections.columns else detections.withColumn("track_key", key)
+
+
+def with_geometry(detections: DataFrame) -> DataFrame:
+    """Adds ``width``, ``height`` and ``area`` of the boxes."""
+    wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return detections.withColumns({"width": wide, "height": high, "area": wide * high})
+
+
+def track_crops(crops: DataFrame) -> DataFrame:
+    """What the crops behind each track's vector say of it: their number, span and means, and the best one."""
+    best = F.max_by("crop_path", F.struct(crop_quality("conf", "area").alias("q"), (-F.col("frame")).alias("f"), (-F.col("det_id")).alias("d")))
+    return crops.groupBy(*TRACK).agg(
+        F.count(F.lit(1)).alias("num_crops"),
+        F.min("frame").alias("first_frame"),
+        F.max("frame").alias("last_frame"),
+        mean(F.col("conf")).alias("avg_conf"),
+        mean(F.col("area")).alias("avg_area"),
+        best.alias("representative_crop"),
+    )
+
+
 def summarize(detections: DataFrame) -> DataFrame:
     """One row for each track, by one hash aggregation."""
     has_crop = F.coalesce(F.col("crop_path"), F.lit("")) != ""

@@ -168,7 +168,7 @@ _T = {
     "q_gt_coverage_display": "SELECT camera, gt_id, track_list, CASE WHEN detected_frames > 0 THEN 'covered' ELSE 'missed' END AS status FROM cov",
     "q_tracking_eval": "SELECT raw_detections, unique_tracks, gt_rows, gt_coverage_rate, pred_match_rate, mean_track_purity, mean_gt_iou, id_switch_count, fragmentation_avg, fragmentation_score, false_positive_rate, round(greatest(0, least(1, 0.30 * gt_coverage_rate + 0.25 * pred_match_rate + 0.20 * mean_track_purity + 0.20 * mean_gt_iou + 0.05 * fragmentation_score - 0.05 * false_positive_rate - 0.005 * id_switch_count)), 9) AS score FROM ev WHERE scope = 'all'",
     "q_fragmentation": "SELECT scope, fragmentation_avg FROM ev WHERE scope <> 'all'",
-    "q_mot_metrics": "SELECT scope, true AS score_available, gt_rows AS total_gt_rows, raw_detections AS total_prediction_rows, matched_rows AS tp, raw_detections - matched_rows AS fp, gt_rows - covered_rows AS fn, matched_rows / raw_detections AS precision, matched_rows / (matched_rows + gt_rows - covered_rows) AS recall, round(2 * pred_match_rate * (matched_rows / (matched_rows + gt_rows - covered_rows)) / (pred_match_rate + matched_rows / (matched_rows + gt_rows - covered_rows)), 9) AS f1, round(1 - (gt_rows - covered_rows + raw_detections - matched_rows + id_switch_count) / gt_rows, 9) AS raw_mota_simple, mean_gt_iou AS motp_iou, detected_gt_ids / total_gt_ids AS identity_coverage_rate FROM ev WHERE scope = 'all'",
+    "q_mot_metrics": "SELECT scope, true AS score_available, gt_rows AS total_gt_rows, raw_detections AS total_prediction_rows, matched_rows AS tp, raw_detections - matched_rows AS fp, gt_rows - covered_rows AS fn, matched_rows / raw_detections AS precision, matched_rows / (matched_rows + gt_rows - covered_rows) AS recall, round(2 * pred_match_rate * (matched_rows / (matched_rows + gt_rows - covered_rows)) / (pred_match_rate + matched_rows / (matched_rows + gt_rows - covered_rows)), 9) AS f1, round(1 - (gt_rows - covered_rows + raw_detections - matched_rows + id_switch_count) / gt_rows, 9) AS raw_mota_simple, mean_gt_iou AS motp_iou, detected_gt_ids / total_gt_ids AS identity_coverage_rate, fragmentation_avg, mean_track_purity, false_positive_rate, 'Metrik akademik berbasis GT. MOTA sederhana memakai FN, FP, dan ID switch dari evaluasi tracking.' AS note FROM ev WHERE scope = 'all'",
     "q_score_by_camera": f"{_score} WHERE scope <> 'all'",
     "q_case_score": f"{_score} WHERE scope = 'all'",
     "q_diag_tracking": _diag.replace("{{", "{").replace("}}", "}"),
@@ -193,11 +193,15 @@ _V = {
     "q_mnn": "SELECT * FROM mnn",
     "q_pair_verdict": "SELECT track_a, track_b, same_camera, temporal_gap, temporal_overlap, merge_reason FROM vd",
 }
+_PALETTE = "[" + ", ".join(str(list(c)) for c in identities.PALETTE) + "]"
+_COLOURS = f"""SELECT det_id, camera, frame, label, hue, c[1] AS blue, c[2] AS green, c[3] AS red, CAST(CASE WHEN 0.114 * c[1] + 0.587 * c[2] + 0.299 * c[3] >= 150 THEN 0 ELSE 255 END AS INT) AS text_colour FROM (
+ SELECT *, CASE WHEN g BETWEEN 1 AND 12 THEN {_PALETTE}[g] ELSE CASE hue // 30 WHEN 0 THEN [p, t, 255] WHEN 1 THEN [p, 255, q] WHEN 2 THEN [t, 255, p] WHEN 3 THEN [255, q, p] WHEN 4 THEN [255, p, t] ELSE [q, p, 255] END END AS c FROM (
+ SELECT *, 25 AS p, CAST(round(255 - 230 * f) AS INT) AS q, CAST(round(255 - 230 * (1 - f)) AS INT) AS t FROM (SELECT *, hue / 30 - hue // 30 AS f FROM (SELECT l.*, coalesce(i.global_id, d.track_id) AS g FROM ({{labels}}) l JOIN det d ON l.det_id = d.det_id LEFT JOIN ids i ON d.track_key = i.track_key))))"""
 _M = {
     "q_greedy_merge": "SELECT track_a, track_b, merge_status, merge_reason FROM fin WHERE merge_status OR merge_reason LIKE 'blocked_%'",
     "q_global_meta": "SELECT CAST(global_id AS INT) AS global_id, camera, track_key, first_frame, last_frame FROM ids",
     "q_label_rows": "SELECT det_id, det.track_key, CAST(global_id AS INT) AS global_id FROM det LEFT JOIN ids USING (track_key)",
-    "q_overlay_labels": "SELECT det_id, det.camera, frame, CASE WHEN x2 - x1 < 80 OR y2 - y1 < 100 THEN concat('G', coalesce(global_id, det.track_id), '|T', det.track_id) ELSE concat('GID:', coalesce(global_id, det.track_id), ' | T', det.track_id) END AS label, CAST(coalesce(global_id, det.track_id) * 67 % 180 AS INT) AS hue FROM det LEFT JOIN ids USING (track_key)",
+    "q_overlay_labels": _COLOURS.replace("{labels}", "SELECT det_id, det.camera, frame, CASE WHEN x2 - x1 < 80 OR y2 - y1 < 100 THEN concat('G', coalesce(global_id, det.track_id), '|T', det.track_id) ELSE concat('GID:', coalesce(global_id, det.track_id), ' | T', det.track_id) END AS label, CAST(coalesce(global_id, det.track_id) * 67 % 180 AS INT) AS hue FROM det LEFT JOIN ids USING (track_key)"),
     "q_gid_rep": "SELECT CAST(global_id AS INT) AS global_id, first(track_key ORDER BY avg_area DESC, avg_conf DESC, track_key) AS representative, concat('[\"', string_agg(track_key, '\",\"' ORDER BY camera, track_id), '\"]') AS members_json, string_agg(DISTINCT camera, ', ' ORDER BY camera) AS cameras FROM ids GROUP BY 1",
     "q_merge_evidence": "SELECT CAST(i.global_id AS INT) AS global_id, f.track_a, f.track_b, camera_a, camera_b, CASE WHEN camera_a = camera_b THEN 'intra_camera' ELSE 'cross_camera' END AS merge_type, cosine_similarity, merge_reason FROM fin f JOIN ids i ON f.track_a = i.track_key WHERE merge_status",
 }
@@ -210,7 +214,7 @@ _I = {
     "q_confusion": "SELECT 'same_gt' AS actual, tp_pair AS same_global_id, fn_pair AS different_global_id FROM ps UNION ALL SELECT 'different_gt', fp_pair, tn_pair FROM ps",
     "q_reid_score": "SELECT * REPLACE (round(reid_score, 9) AS reid_score) FROM rs",
     "q_final_score": "SELECT true AS score_available, round(0.6 * round(tracking_score, 9) + 0.4 * reid_score, 8) AS final_pipeline_score FROM sc, rs WHERE scope = 'all'",
-    "q_diag_reid": "SELECT * FROM dg",
+    "q_diag_reid": "SELECT *, identity_precision AS identity_recall, identity_precision AS identity_f1 FROM dg",
     "q_hints_reid": _hints("reid", {k.replace("{t}", "0.3"): v for k, v in identities.REID_HINTS.items()}, "SELECT * FROM dg"),
 }
 
@@ -220,7 +224,7 @@ _box = "camera, source_frame, gt_id, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS gt
 _T |= {
     "q_track_overview": f"SELECT {_JUDGED}, is_valid, CASE WHEN is_valid THEN 'valid' ELSE 'filtered' END AS status, dominant_gt_id, track_gt_purity AS track_purity FROM judged j LEFT JOIN tt ON j.track_key = tt.track_key",
     "q_local_gallery": f"SELECT {_JUDGED}, representative_crop AS image_path, dominant_gt_id, track_gt_purity AS track_purity FROM judged j JOIN rep r ON j.track_key = r.track_key LEFT JOIN tt ON j.track_key = tt.track_key WHERE is_valid AND representative_crop <> ''",
-    "q_case_overview": "SELECT string_agg(DISTINCT camera, ', ' ORDER BY camera) AS cameras, min(source_frame) AS first_source_frame, max(source_frame) AS last_source_frame, count(DISTINCT track_key) AS num_tracks, (SELECT count(DISTINCT gt_id) FROM gt) AS num_gt_ids, (SELECT count(*) FROM gt) AS gt_rows FROM det",
+    "q_case_overview": "SELECT string_agg(DISTINCT camera, ', ' ORDER BY camera) AS cameras, min(source_frame) AS first_source_frame, max(source_frame) AS last_source_frame, count(DISTINCT track_key) AS num_tracks, CAST(70 AS DOUBLE) AS max_duration_sec, (SELECT count(DISTINCT gt_id) FROM gt) AS num_gt_ids, (SELECT count(*) FROM gt) AS gt_rows FROM det",
     "q_gt_info": f"SELECT {_info('pred', 'det')}, {_info('gt', 'gt')}, (SELECT count(*) FROM m WHERE gt_id > 0) AS matched_rows",
     "q_camera_status": "SELECT c.camera, coalesce(n, 0) AS num_detections, coalesce(num_valid_tracks, 0) AS num_valid_tracks, round(tracking_score, 9) AS tracking_score, CASE WHEN n IS NULL THEN 'not_run' ELSE 'done' END AS status FROM (SELECT concat('camera_', i) AS camera FROM range(1, 6) t(i)) c LEFT JOIN (SELECT camera, count(*) AS n FROM det GROUP BY 1) d ON c.camera = d.camera LEFT JOIN sc ON c.camera = sc.scope",
     "q_score_table": "SELECT scope, round(tracking_score, 9) AS tracking_score, round(1 - (gt_rows - covered_rows + raw_detections - matched_rows + id_switch_count) / gt_rows, 9) AS raw_mota_simple, mean_gt_iou AS motp_iou FROM sc JOIN ev USING (scope) WHERE scope <> 'all'",
@@ -236,6 +240,29 @@ _I |= {
     "q_gid_truth": "SELECT DISTINCT CAST(global_id AS INT) AS global_id, track_key, camera, gt_id FROM ge0",
 }
 
+_CASES = """
+ ('case_1_normal_success', 'Case 1 - Single-Camera Normal Success', 'camera_2', 'single_camera_normal', 3, 1, 800),
+ ('case_2_crowded_fragmentation', 'Case 2 - Crowded / False Positive Sensitive', 'camera_3', 'single_camera_false_positive_sensitive', 9, 1201, 2000),
+ ('case_3_failure_limitation', 'Case 3 - Small/Distant Person Limitation', 'camera_1', 'single_camera_small_or_distant', 6, 801, 1600),
+ ('case_4_multicamera_success', 'Case 4 - Multi-Camera Same-Time Re-ID', 'camera_1, camera_3', 'multi_camera_same_time', 3, 1201, 2000),
+ ('case_5_multicamera_3_video_stress', 'Case 5 - Multi-Camera 3-Video Stress Test', 'camera_1, camera_2, camera_3', 'multi_camera_crowded_or_stress', 9, 1201, 2000),
+ ('case_6_multicamera_temporal_handoff', 'Case 6 - Multi-Camera Temporal Handoff', 'camera_6, camera_5', 'multi_camera_long_term_or_handoff', 3, 184, 1023)"""
+_T |= {
+    "q_case_catalog": f"SELECT *, 0 AS local_frame_start, 1 AS annotation_frame_start, 'xyxy' AS bbox_format, CAST(0.5 AS DOUBLE) AS gt_iou_threshold FROM (VALUES {_CASES}) v(case_id, title, cameras, scene_type, gt_identity, source_frame_start, source_frame_end)",
+    "q_order_summary": "SELECT CAST(row_number() OVER (ORDER BY camera, track_id) AS INT) AS place, track_key FROM summ",
+    "q_order_coverage": "SELECT CAST(row_number() OVER (ORDER BY camera, gt_id) AS INT) AS place, camera, gt_id FROM cov",
+    "q_track_keys": "SELECT det_id, track_key FROM det",
+    "q_box_geometry": "SELECT det_id, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area FROM det",
+    "q_track_crops": f"SELECT camera, track_id, track_key, count(*) AS num_crops, min(frame) AS first_frame, max(frame) AS last_frame, {_mean('conf')} AS avg_conf, {_mean('area')} AS avg_area, first(crop_path ORDER BY conf * ln(1 + area) DESC, frame, det_id) AS representative_crop FROM det WHERE crop_path <> '' AND det_id IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2, 3",
+    "q_truthy": "SELECT det_id, det_id % 7 < 4 AS is_true FROM det",
+    "q_run_ids": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS run_id FROM events",
+    "q_csv_rescan": "SELECT track_key, num_frames, first_frame FROM summ",
+}
+_M |= {
+    "q_order_identities": "SELECT CAST(row_number() OVER (ORDER BY global_id, camera, track_key) AS INT) AS place, CAST(global_id AS INT) AS global_id, track_key FROM ids",
+    "q_order_merged": "SELECT CAST(row_number() OVER (ORDER BY i.global_id, cosine_similarity DESC, track_a, track_b) AS INT) AS place, CAST(i.global_id AS INT) AS global_id, track_a, track_b FROM fin JOIN ids i ON fin.track_a = i.track_key WHERE merge_status",
+}
+
 ORACLE_SQL = {k: f"WITH {_BASE} {v}" for k, v in _T.items()}
 ORACLE_SQL |= {k: f"WITH {_BASE}, {_VECTORS} {v}" for k, v in _V.items()}
 ORACLE_SQL |= {k: f"WITH RECURSIVE {_BASE}, {_VECTORS}, {_MERGE} {v}" for k, v in _M.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from trackloom.functions import geometry
 from trackloom.operators import association, identities, matching, overviews, tracks
 from trackloom.plans import adapters
 from trackloom.sources import ground_truth as annotations
-from trackloom.sources.stages import settle
+from trackloom.sources import catalog
+from trackloom.sources.stages import expired, export_csv, read_csv, run_id, settle, shared_folder
 from trackloom.streaming.tracks import closed_tracks
 
 LIMITS = tracks.Limits(min_frames=30, min_crops=24)
@@ -109,7 +112,7 @@ def q_gt_coverage_display(spark, sf_dir):
 @query
 def q_tracking_eval(spark, sf_dir):
     case = Case(spark, sf_dir)
-    found = matching.evaluate(case.matched(), case.gt())
+    found = matching.evaluate(settle(case.matched()), case.gt())
     return found.select("raw_detections", "unique_tracks", "gt_rows", "gt_coverage_rate", "pred_match_rate", "mean_track_purity", "mean_gt_iou", "id_switch_count", "fragmentation_avg", "fragmentation_score", "false_positive_rate", F.round("score", 9).alias("score"))
 
 
@@ -122,12 +125,12 @@ def q_fragmentation(spark, sf_dir):
 @query
 def q_mot_metrics(spark, sf_dir):
     case = Case(spark, sf_dir)
-    found = matching.standard_metrics(matching.evaluate(case.matched(), case.gt()))
-    return found.select("scope", "score_available", "total_gt_rows", "total_prediction_rows", "tp", "fp", "fn", "precision", "recall", F.round("f1", 9).alias("f1"), F.round("raw_mota_simple", 9).alias("raw_mota_simple"), "motp_iou", "identity_coverage_rate")
+    found = matching.standard_metrics(matching.evaluate(settle(case.matched()), case.gt()))
+    return found.select("scope", "score_available", "total_gt_rows", "total_prediction_rows", "tp", "fp", "fn", "precision", "recall", F.round("f1", 9).alias("f1"), F.round("raw_mota_simple", 9).alias("raw_mota_simple"), "motp_iou", "identity_coverage_rate", "fragmentation_avg", "mean_track_purity", "false_positive_rate", "note")
 
 
 def _score(case: Case, by_camera: bool) -> DataFrame:
-    matched = case.matched()
+    matched = settle(case.matched())  # read by four branches
     found = matching.tracking_score(matching.evaluate(matched, case.gt(), by_camera), matching.coverage(matched, case.gt()), case.judged(), by_camera)
     return found.select("scope", "score_available", F.round("tracking_score", 9).alias("tracking_score"), "identity_coverage_rate", "precision", "recall", "mean_track_purity", "mixed_track_count", "num_valid_tracks")
 
@@ -143,7 +146,7 @@ def q_case_score(spark, sf_dir):
 
 
 def _tracking_diagnostics(case: Case) -> DataFrame:
-    matched, gt = case.matched(), case.gt()
+    matched, gt = settle(case.matched()), case.gt()
     return matching.diagnostics(case.det, case.valid(), case.judged(), matching.evaluate(matched, gt), matching.coverage(matched, gt))
 
 
@@ -335,11 +338,8 @@ def q_missing_cameras(spark, sf_dir):
 @query
 def q_retention(spark, sf_dir):
     """Runs beyond the five newest of each case; tracks stand for runs, first frames for their age."""
-    from pyspark.sql import Window
-
-    runs = tracks.summarize(Case(spark, sf_dir).det).select("camera", "track_key", "first_frame")
-    newest = Window.partitionBy("camera").orderBy(F.desc("first_frame"), "track_key")
-    return runs.withColumn("place", F.row_number().over(newest)).where("place > 5").select("camera", "track_key", "place")
+    runs = tracks.summarize(Case(spark, sf_dir).det).select(F.col("camera").alias("case_id"), F.col("track_key").alias("run"), F.col("first_frame").alias("modified"))
+    return expired(runs, 5).select(F.col("case_id").alias("camera"), F.col("run").alias("track_key"), "place")
 
 
 @query
@@ -397,7 +397,8 @@ def q_local_gallery(spark, sf_dir):
 @query
 def q_case_overview(spark, sf_dir):
     case = Case(spark, sf_dir)
-    return overviews.case_overview(case.det, case.gt())
+    videos = spark.createDataFrame([("camera_1", 12.345), ("camera_2", 70.0), ("camera_3", None)], "camera string, duration_sec double")
+    return overviews.case_overview(case.det, case.gt(), videos)
 
 
 @query
@@ -475,3 +476,66 @@ def q_annotation_nested(spark, sf_dir):
     frames = _annotations(Case(spark, sf_dir), F.struct(F.col("gt_id").alias("person_id"), size.alias("rect")))
     image = F.struct(F.col("source_frame").alias("frame_id"), F.col("records").alias("objects"))
     return annotations.parse_nested(frames.select("camera", F.to_json(F.struct(F.array(image).alias("frames"))).alias("value")))
+
+
+@query
+def q_case_catalog(spark, sf_dir):
+    return catalog.catalog(spark).withColumn("cameras", F.array_join("cameras", ", "))
+
+
+@query
+def q_order_summary(spark, sf_dir):
+    return overviews.in_order(tracks.summarize(Case(spark, sf_dir).det), "summary").select("place", "track_key")
+
+
+@query
+def q_order_coverage(spark, sf_dir):
+    case = Case(spark, sf_dir)
+    return overviews.in_order(matching.coverage(case.matched(), case.gt()), "coverage").select("place", "camera", "gt_id")
+
+
+@query
+def q_order_identities(spark, sf_dir):
+    return overviews.in_order(Case(spark, sf_dir).associate()[2], "identities").select("place", "global_id", "track_key")
+
+
+@query
+def q_order_merged(spark, sf_dir):
+    _, pairs, ids = Case(spark, sf_dir).associate()
+    return overviews.in_order(identities.merge_evidence(pairs, ids), "merged").select("place", "global_id", "track_a", "track_b")
+
+
+@query
+def q_track_keys(spark, sf_dir):
+    return tracks.with_keys(Case(spark, sf_dir).det.drop("track_key")).select("det_id", "track_key")
+
+
+@query
+def q_box_geometry(spark, sf_dir):
+    return tracks.with_geometry(Case(spark, sf_dir).det).select("det_id", "width", "height", "area")
+
+
+@query
+def q_track_crops(spark, sf_dir):
+    """Crops that have a vector of their own: the vector's number is the detection's."""
+    known = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("det_id"))
+    return tracks.track_crops(Case(spark, sf_dir).det.where("crop_path <> ''").join(known, "det_id", "left_semi"))
+
+
+@query
+def q_truthy(spark, sf_dir):
+    said = F.get(F.array(*map(F.lit, ("true", "YES", "1", "Valid", "no", "0", None))), (F.col("det_id") % 7).cast("int"))
+    return Case(spark, sf_dir).det.select("det_id", geometry.truthy(said).alias("is_true"))
+
+
+@query
+def q_run_ids(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", run_id("ts").alias("run_id"))
+
+
+@query
+def q_csv_rescan(spark, sf_dir):
+    """A summary written as CSV and read again, beside a file that isn't there."""
+    kinds, root = "track_key string, num_frames long, first_frame int", f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    export_csv(tracks.summarize(Case(spark, sf_dir).det), root, ["track_key", "num_frames", "first_frame"])
+    return read_csv(spark, root, kinds).unionByName(read_csv(spark, f"{root}-none", kinds))

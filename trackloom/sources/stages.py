@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -43,6 +44,25 @@ def read_run(spark: SparkSession, root: str, run_id: str, stage: str) -> DataFra
     return spark.read.parquet(f"{root}/run_id={run_id}/stage={stage}")
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header, by the schema given; without rows where there is nothing at ``path``."""
+    try:
+        return spark.read.schema(schema).option("header", True).csv(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def run_id(when) -> Column:
+    """The name of a run started at a time: yyyymmdd_hhmmss."""
+    return F.date_format(when, "yyyyMMdd_HHmmss")
+
+
+def expired(runs: DataFrame, keep: int = 3) -> DataFrame:
+    """Of ``case_id, run, modified``: the runs beyond the ``keep`` newest of each case, with their ``place``."""
+    newest = Window.partitionBy("case_id").orderBy(F.desc("modified"), "run")
+    return runs.withColumn("place", F.row_number().over(newest)).where(F.col("place") > keep)
+
+
 def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, limit: int | None = None) -> None:
     """CSV of the wanted columns that exist; nested values become JSON."""
     names = [c for c in columns or df.columns if c in df.columns]
