@@ -101,3 +101,25 @@ def test_blocks_by_shingles_match_brute_force(spark, monkeypatch):
     rows.append((900, " ".join(f"z{k}" for k in range(20_000)), None))
     got = group_near_duplicates(spark.createDataFrame(rows, SCHEMA), n=4, neighbours=1).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 80)
+
+
+def test_neighbours_meet_across_partitions(spark):
+    """The pairs of a sorted region don't depend on where partitions begin."""
+    from trackloom.llm import near_duplicates
+
+    rng = random.Random(6)
+    rows = [(k, bytes(rng.randrange(256) if rng.random() < 0.2 else 7 for _ in range(64)), k // 40, 5) for k in range(120)]
+    table = spark.createDataFrame([(i, bytearray(s), tree, region, bytearray(s)) for i, s, tree, region in rows], "id long, sketch binary, tree int, region long, turned binary")
+    found, old = [], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for parts in (1, 5, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(sorted(map(tuple, near_duplicates._meet(table, 8).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = set()
+    for tree in range(3):
+        ordered = sorted((s, i) for i, s, t, _ in rows if t == tree)
+        for k, (s, i) in enumerate(ordered):
+            want |= {(min(i, j), max(i, j)) for z, j in ordered[k + 1 : k + 9] if sum(x == y for x, y in zip(s, z, strict=True)) >= near_duplicates.MIN_AGREEING}
+    assert found[0] == found[1] == found[2] and {(a, b) for a, b, _ in found[0]} == want and len(want) > 100

@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,13 +93,15 @@ def _measure(n: int):
 
 
 def _pairs(rows: pd.DataFrame, width: int, old: int = 0) -> pd.DataFrame:
-    """Nodes within ``width`` rows of each other in one region whose sketches agree; pairs of the first ``old`` rows are known."""
+    """Nodes within ``width`` rows of each other in one region whose sketches agree; pairs of the first ``old`` rows
+    are known, and so are those of one ``part`` if there is such a column."""
+    part = rows["part"].to_numpy() if "part" in rows else np.arange(len(rows))
     root = rows["region"].to_numpy() ^ (rows["tree"].to_numpy(np.int64) << 58)
     ids, found = rows["id"].to_numpy(), [np.zeros((3, 0), np.int64)]
     sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, VALUES)
     for k in range(1, width + 1):
         at = np.flatnonzero(root[k:] == root[:-k])
-        at = at[at + k >= old]
+        at = at[(at + k >= old) & (part[at] != part[at + k])]
         agree = (sketch[at] == sketch[at + k]).sum(axis=1)
         at, agree = at[agree >= MIN_AGREEING], agree[agree >= MIN_AGREEING]
         a, b = ids[at], ids[at + k]
@@ -106,7 +109,7 @@ def _pairs(rows: pd.DataFrame, width: int, old: int = 0) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b", "agree"])
 
 
-_MET = "a long, b long, agree int, tree int, region long, turned binary, id long, sketch binary"
+_MET = "a long, b long, agree int, tree int, region long, turned binary, id long, sketch binary, part int"
 
 
 def _neighbours(width: int):
@@ -118,14 +121,14 @@ def _neighbours(width: int):
         last, first = None, None
         for batch in batches:
             whole = batch if last is None else pd.concat([last, batch], ignore_index=True)
-            yield _pairs(whole, width, 0 if last is None else len(last)).reindex(columns=["a", "b", "agree", *edge])
+            yield _pairs(whole, width, 0 if last is None else len(last)).reindex(columns=["a", "b", "agree", *edge, "part"])
             if first is None or len(first) < width:
                 new = batch.head(width - (0 if first is None else len(first)))
                 first = new if first is None else pd.concat([first, new], ignore_index=True)
             last = whole.tail(width)
         if last is not None:
             for rows in (first, last):
-                yield rows.reindex(columns=["a", "b", "agree", *edge])
+                yield rows.reindex(columns=["a", "b", "agree", *edge]).assign(part=TaskContext.get().partitionId())
 
     return run
 
@@ -143,7 +146,7 @@ def _meet(rows: DataFrame, neighbours: int) -> DataFrame:
     order = ["tree", "region", "turned", "id"]
     met = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_neighbours(neighbours), _MET))
     at = ["tree", "region"]
-    edges = met.where("a IS NULL").select(*order, "sketch").distinct()
+    edges = met.where("a IS NULL").select(*order, "sketch", "part").distinct()
     shared = edges.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*at)
     over = edges.join(shared, at, "left_semi").groupBy(*at).applyInPandas(_across_edges(neighbours), "a long, b long, agree int")
     both = met.where("a IS NOT NULL").select("a", "b", "agree").unionByName(over)
