@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontamination, importance, language_model, near_duplicates, packing, quality_rules, repeats, secrets, sharding, token_counts
+from trackloom.llm import decontamination, importance, language_model, near_duplicates, packing, quality_rules, repeats, secrets, sharding, statements, token_counts
 from trackloom.llm.common import table
 
 
@@ -118,5 +118,8 @@ FROM q
 """.replace("{stop}", _STOP)
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": statements.DECONTAMINATION,
     "op5_quality_rules": QUALITY_SQL.replace("{docs}", "documents"),
+    "op7_near_duplicates": statements.NEAR_DUPLICATES,
+    "op10_language_model": statements.LANGUAGE_MODEL,
 }
