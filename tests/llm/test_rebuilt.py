@@ -1,0 +1,120 @@
+"""op3 and op6 over whole tables, rebuilt in plain Python from their definitions."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import duckdb
+import pyarrow as pa
+import pytest
+import xxhash
+import zstandard
+
+from trackloom.llm import importance, secrets
+from trackloom.llm.registry import op3_importance, op6_secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+def read(sql):
+    return duckdb.sql(sql.replace("$", SF)).fetchall()
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_importance_rebuilt(spark):
+    docs = dict(read("SELECT doc_id, text FROM '$/documents.parquet'"))
+    labels = read("SELECT doc_id, quality, toxic FROM '$/labels.parquet'")
+    good = {i for i, quality, toxic in labels if quality == 1 and toxic == 0}
+    split = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t in docs.items()}
+    terms = {i: [*((w,) for w in ws), *zip(ws, ws[1:], strict=False)] for i, ws in split.items()}
+    # only the bucket of a single term is the operator's: of a text of that term, its last feature
+    distinct = list({t for ts in terms.values() for t in ts})
+    found, of = importance.features(pa.array([b" ".join(t).decode() for t in distinct]), importance.BUCKETS)
+    bucket = {distinct[k]: b for b, k in zip(found.tolist(), of.tolist(), strict=True)}
+    raw, target = Counter(), Counter()
+    for i, ts in terms.items():
+        raw.update(bucket[t] for t in ts)
+        target.update(bucket[t] for t in ts if i in good)
+    sums = [sum(c.values()) + importance.BUCKETS for c in (target, raw)]
+    want = {}
+    for i, ts in terms.items():
+        weight = sum(math.log((target[bucket[t]] + 1) / sums[0]) - math.log((raw[bucket[t]] + 1) / sums[1]) for t in ts)
+        seeded = xxhash.xxh64_intdigest((11).to_bytes(4, "little"), 42)
+        unit = ((xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seeded) >> 12) + 0.5) / (1 << 52)
+        want[i] = (len(ts), weight, weight - math.log(-math.log(unit)))
+    k = round(len(good) / len(labels) * len(docs))
+    kept = set(sorted(want, key=lambda i: -want[i][2])[:k])
+    got = op3_importance(spark, SF).collect()
+    assert len(got) == len(docs) and {r.doc_id for r in got if r.kept} == kept
+    for r in got:
+        assert r.n_features == want[r.doc_id][0]
+        assert (r.log_weight, r.key) == pytest.approx(want[r.doc_id][1:], rel=1e-9, abs=1e-9)
+
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        out += [(m.start(), "assign", m.end())] if len(m[1]) >= 8 else []
+    for kind, pattern, least in (("access", "AKIA[A-Z0-9]+", 16), ("hex", "[0-9a-f]+", 32)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[1])))
+
+
+def novel_spans(text, taken):
+    """Values of 20 characters or more after a sensitive word of their line, by the bytes they add."""
+    primed = zstandard.ZstdCompressionDict(secrets.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda s: len(zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False).compress(s.encode()))
+
+    def novel(s, e):
+        run, before, after = text[s:e], text[max(0, s - 128) : s], text[e : e + 64]
+        if e - s < 20 or run.isalpha() or run.isdigit() or any(a < e and s < b for a, b in taken):
+            return False
+        return size(before + run + after) - size(before + after) >= 0.5 * (e - s)
+
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        line = text[max(0, m.start() - 48) : m.start()].split("\n")[-1]
+        word = re.search("key|token|secret|passw|credential|auth|private|bearer|signature|pwd", line + m[0], re.I | re.A)
+        if not word:
+            continue
+        from_ = m.start() - len(line) + word.end()
+        values = [(m.start() + v.start(), m.start() + v.end()) for v in re.finditer(r"[^=]+(?:=+$)?", m[0])]
+        some = [v for v in values if from_ <= v[0] and novel(*v)]
+        if not some and from_ <= m.start() and novel(*m.span()):
+            some = [m.span()]
+        out += [(s, "novel", e) for s, e in some]
+    return out
+
+
+def planted(rng):
+    """A line of a config file or of code, with something that looks like a secret or only nearly so."""
+    name = rng.choice(["password", "AUTH", "private_key", "api_key", "client_token", "credential", "colour", "Bearer", "sha"])
+    letters = rng.choice(["abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "xy"])
+    value = "".join(rng.choice(letters) for _ in range(rng.choice([6, 8, 19, 20, 31, 32, 40, 64])))
+    value = rng.choice(["", "", "AKIA", "id=", "\u00e9"]) + value + rng.choice(["", "", "=", "=="])
+    return name + rng.choice(["=", ": ", ' = "', " ", "\n", "?x=1&y="]) + value + rng.choice(["", '"', ";", " # token"])
+
+
+def test_secrets_rebuilt(spark, tmp_path):
+    rng, docs = random.Random(21), {}
+    for i, text in read("SELECT doc_id, coalesce(text, '') FROM '$/documents.parquet' ORDER BY doc_id"):
+        at = rng.randrange(len(text) + 1)
+        docs[i] = text[:at] + "\n".join(["", *(planted(rng) for _ in range(rng.randrange(5))), ""]) + text[at:]
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    said = lambda spans: ",".join(f"{kind}:{s}:{e}" for s, kind, e in spans)
+    got = op6_secrets(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        base = base_spans(docs[r.doc_id])
+        new = novel_spans(docs[r.doc_id], [(s, e) for s, _, e in base])
+        kinds = Counter(kind for _, kind, _ in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert r.base_sha256 == hashlib.sha256(said(base).encode()).hexdigest()
+        assert r.spans == said(sorted([*base, *new], key=lambda s: (s[0], secrets.KINDS.index(s[1]), s[2])))
+    found = Counter(s.split(":")[0] for r in got for s in r.spans.split(",") if s)
+    assert all(found[kind] >= 10 for kind in secrets.KINDS), found
