@@ -72,8 +72,8 @@ class Engine:
         found = self._put("identity_eval", identities.evaluate_identities(ids, matched))
         totals = identities.identity_totals(found)
         self._put("identity_summary", identities.summarize_identities(ids, found))
-        detail = self._put("pair_eval", identities.pairwise_detail(ids, truth, pairs))
-        self._put("pair_summary", identities.pairwise_summary(detail, ids, truth))
+        self._put("pair_eval", identities.pairwise_detail(ids, truth, pairs))
+        self._put("pair_summary", identities.pairwise_summary(ids, truth))
         reid = self._put("reid_score", identities.reid_score(ids, pairs, totals, matched))
         self._put("final_score", identities.final_score(self.table("scores"), reid))
         row = self._put("reid_diagnostics", identities.diagnostics(ids, pairs, totals))

@@ -123,11 +123,24 @@ def pairwise_detail(identities: DataFrame, truth: DataFrame, verdicts: DataFrame
     )
 
 
-def pairwise_summary(detail: DataFrame, identities: DataFrame, truth: DataFrame, min_purity: float = 0.8) -> DataFrame:
-    """One row; the ratios are null where no two tracks should have been one."""
+def _pair_counts(tracks: DataFrame) -> DataFrame:
+    """How many pairs of tracks are of each kind, from the sizes of groups: no pair becomes a row."""
+    cells = tracks.groupBy("global_id", "dominant_gt_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda name: F.coalesce(F.expr("sum(n * (n - 1) div 2)"), F.lit(0)).alias(name)
+    within = lambda key: cells.groupBy(key).agg(F.sum("n").alias("n"))
+    row = cells.where("global_id IS NOT NULL").agg(pairs("tp_pair"))
+    for name, groups in (("same_gt", within("dominant_gt_id")), ("same_id", within("global_id").where("global_id IS NOT NULL")), ("all", cells.agg(F.sum("n").alias("n")))):
+        row = row.crossJoin(groups.agg(pairs(f"{name}_pair")))  # rows of one row each
+    fp, fn = F.col("same_id_pair") - F.col("tp_pair"), F.col("same_gt_pair") - F.col("tp_pair")
+    return row.select("tp_pair", fp.alias("fp_pair"), fn.alias("fn_pair"), (F.col("all_pair") - F.col("same_gt_pair") - fp).alias("tn_pair"))
+
+
+def pairwise_summary(identities: DataFrame, truth: DataFrame, min_purity: float = 0.8) -> DataFrame:
+    """One row over all pairs of tracks, as ``pairwise_detail`` judges them; the ratios are null where no two
+    tracks should have been one."""
     tracks = identities.select("track_key", "global_id").join(truth, "track_key").where((F.col("dominant_gt_id") > 0) & (F.col("track_gt_purity") >= min_purity))
     per_id = tracks.groupBy("global_id").agg(F.countDistinct("dominant_gt_id").alias("n"))
-    row = detail.agg(*[F.count(F.when(F.col("pair_eval_type") == k, 1)).alias(k.lower()) for k in EVALUATED])
+    row = _pair_counts(tracks)
     row = row.crossJoin(tracks.agg(F.countDistinct("track_key").alias("num_eval_tracks"), F.countDistinct("dominant_gt_id").alias("expected_global_ids"), F.countDistinct("global_id").alias("num_global_ids")))
     row = row.crossJoin(per_id.agg(F.count(F.when(F.col("n") > 1, 1)).alias("mixed_gid_count"), F.avg((F.col("n") <= 1).cast("double")).alias("mean_global_id_purity")))
     tp, fp, fn = F.col("tp_pair"), F.col("fp_pair"), F.col("fn_pair")

@@ -265,8 +265,7 @@ def q_merge_evidence(spark, sf_dir):
 def _pairwise(case: Case):
     _, pairs, ids, matched, _ = _gids(case)
     truth = matching.track_truth(matched)
-    detail = identities.pairwise_detail(ids, truth, pairs)
-    return detail, identities.pairwise_summary(detail, ids, truth)
+    return identities.pairwise_detail(ids, truth, pairs), identities.pairwise_summary(ids, truth)
 
 
 @query
