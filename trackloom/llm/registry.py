@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontamination, importance, language_model, near_duplicates, packing, quality_rules, repeats, secrets, sharding, statements, token_counts
+from trackloom.llm import alignment, chat_format, decontamination, importance, language_model, near_duplicates, packing, prefix_trie, quality_rules, repeats, secrets, sharding, statements, token_counts
 from trackloom.llm.common import table
 
 
@@ -69,6 +69,21 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"), held_out)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(own)
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_packing,
         op10_language_model,
+        op11_chat_format,
+        op12_alignment,
+        op13_prefix_trie,
     )
 }
 
@@ -122,4 +140,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": QUALITY_SQL.replace("{docs}", "documents"),
     "op7_near_duplicates": statements.NEAR_DUPLICATES,
     "op10_language_model": statements.LANGUAGE_MODEL,
+    "op11_chat_format": statements.CHAT_FORMAT,
+    "op13_prefix_trie": statements.PREFIX_TRIE,
 }

@@ -71,3 +71,33 @@ y AS (SELECT id, count(*) AS n_tokens, count(c) AS n_known, sum(base) AS base_sc
 SELECT doc_id, held AS held_out, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_known AS BIGINT) AS n_known, CAST(n AS BIGINT) AS train_tokens, base_score, score
 FROM d JOIN y ON y.id = d.id CROSS JOIN nv
 """
+
+#: Digests of formatted conversations; lengths from what escaping adds.
+CHAT_FORMAT = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+l AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), '')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]')) AS said,
+  length(role) + length(role) - length(replace(role, chr(92), '')) + length(role) - length(replace(role, chr(10), '')) + len(regexp_extract_all(role, '</?s>|\[/?INST\]')) AS named FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(said + CASE WHEN role = 'assistant' THEN 7 ELSE 14 + named END) AS BIGINT) AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+#: The trie, with whole prefixes as keys.
+PREFIX_TRIE = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, '')))) AS i,
+  {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (SELECT c.conv_id, t.i, t.x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i <= c.h UNION ALL SELECT c.conv_id, t.i, t.x FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+w AS (SELECT c.conv_id, coalesce(list(b.x ORDER BY b.i) FILTER (b.i IS NOT NULL), []) AS path FROM c LEFT JOIN b ON c.conv_id = b.conv_id GROUP BY 1),
+p AS (SELECT conv_id, d, list_slice(path, 1, d) AS node, d = len(path) AS ends FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM w)),
+n AS (SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT list_slice(node, 1, depth - 1) AS node, depth - 1 AS depth, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1, 2),
+s AS (SELECT n.*, coalesce(k.n, 0) AS n_children, (n_convs - 1) * CASE WHEN n.depth > 0 THEN len(regexp_extract_all(n.node[n.depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM n LEFT JOIN k ON n.node = k.node AND n.depth = k.depth),
+u AS (SELECT list_slice(node, 1, up) AS node, up AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS up FROM s) GROUP BY 1, 2)
+SELECT s.conv_id, s.depth, m.conv_id AS parent_conv_id, s.n_convs, s.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+FROM s JOIN u ON s.node = u.node AND s.depth = u.depth LEFT JOIN s m ON m.depth = s.depth - 1 AND m.node = list_slice(s.node, 1, s.depth - 1)
+"""
