@@ -77,7 +77,7 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
