@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from trackloom.operators import association
@@ -33,3 +34,85 @@ def test_numbers_over_ranges(spark, n):
     rows = spark.createDataFrame([(x,) for x in names], "root string").repartition(7)
     got = association.numbered(rows, "root", "global_id").collect()
     assert sorted((r.global_id, r.root) for r in got) == list(enumerate(names, 1))
+
+
+def fold(pairs, rules):
+    """The decisions taken one by one: ``{(a, b): merged}`` and each track's cluster by its least track."""
+
+    def clash(p, q):
+        shared = min(p[2], q[2]) - max(p[1], q[1]) + 1
+        return p[0] == q[0] and (shared > rules.max_overlap or -shared > rules.max_gap)
+
+    group, said = {}, {}
+    for a, b, _, p, q in pairs:
+        group.setdefault(a, {a: p}), group.setdefault(b, {b: q})
+    for a, b, _, _, _ in sorted(pairs, key=lambda x: (-x[2], x[0], x[1])):
+        left, right = group[a], group[b]
+        said[a, b] = left is right or not any(clash(p, q) for p in left.values() for q in right.values())
+        if said[a, b] and left is not right:
+            left.update(right)
+            for t in right:
+                group[t] = left
+    return said, {t: min(g) for t, g in group.items()}
+
+
+def random_graphs(n, rng):
+    pairs = []
+    for g in range(n):
+        size, frames = rng.randrange(2, 9), rng.choice([6, 30, 100])
+        spans = []
+        for k in range(size):
+            first = rng.randrange(frames)
+            spans.append((f"g{g:04}_{k}", (rng.choice("xyz"), first, first + rng.randrange(12))))
+        for i in range(size):
+            for j in range(i + 1, size):
+                if rng.random() < 0.6:
+                    pairs.append((spans[i][0], spans[j][0], rng.choice([0.5, 0.6, 0.6, 0.7, rng.random()]), spans[i][1], spans[j][1]))
+    # one long component, whose candidates wait for each other
+    chain = [(f"h{k:03}", ("x", 20 * k, 20 * k + 9)) for k in range(30)]
+    return pairs + [(a, b, 0.9 - 0.001 * k, p, q) for k, ((a, p), (b, q)) in enumerate(zip(chain, chain[1:], strict=False))]
+
+
+@pytest.mark.parametrize("max_gap, max_overlap", [(10, 0), (60, 3)])
+def test_rounds_decide_as_one_by_one(spark, max_gap, max_overlap):
+    rules = association.Rules(max_gap=max_gap, max_overlap=max_overlap)
+    pairs = random_graphs(1500, random.Random(max_gap))
+    schema = "track_a string, track_b string, cosine_similarity double, camera_a string, first_frame_a int, last_frame_a int, camera_b string, first_frame_b int, last_frame_b int, merge_reason string"
+    rows = [(a, b, s, *p, *q, "cross_camera_mnn") for a, b, s, p, q in pairs]
+    got = association.merge(spark.createDataFrame(rows, schema), rules).collect()
+    said, roots = fold(pairs, rules)
+    assert {(r.track_a, r.track_b): r.merged for r in got} == said and len(got) == len(pairs)
+    assert all(r.root_a == roots[r.track_a] and r.root_b == roots[r.track_b] for r in got)
+
+
+def vectors(n, spread, seed):
+    """``n`` unit vectors around a few directions; a small ``spread`` keeps them close."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 16))
+    v = centres[rng.integers(0, 12, n)] / 4 + spread * rng.normal(size=(n, 16))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).tolist()
+
+
+@pytest.mark.parametrize("spread, floor", [(0.02, 0.9), (1.0, 0.5), (0.1, -0.2)])
+def test_candidates_above_a_floor(spark, spread, floor):
+    made = vectors(400, spread, 1)
+    rows = [(f"t{k:03}", "c", 0, 1, v) for k, v in enumerate(made)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {(r.track_a, r.track_b): r.cosine_similarity for r in association.similar_pairs(df, floor, 20).collect()}
+    want = {(r.track_a, r.track_b): r.cosine_similarity for r in association.similar_pairs(df, block_rows=150).collect()}
+    assert len(want) == 400 * 399 // 2 and got == {k: s for k, s in want.items() if s >= floor}
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_far_blocks_are_not_multiplied(spark, n):
+    rows = [(f"t{k:05}", "c", 0, 1, v) for k, v in enumerate(vectors(n, 0.02, 2))]
+    placed, _ = association.placed_vectors(spark.createDataFrame(rows, VECTORS), n // 20)
+    sizes = {r.block: r["count"] for r in placed.groupBy("block").count().collect()}
+    met = sum(sizes[r.i] * sizes[r.j] for r in association.near_blocks(placed, 0.9).collect())
+    print(f"{n} vectors in {len(sizes)} blocks: {2 * met / n**2:.2f} of all pairs multiplied")
+    assert met < 0.2 * n * n / 2
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], VECTORS)
+    assert association.similar_pairs(none, 0.5).count() == association.similar_pairs(none).count() == 0

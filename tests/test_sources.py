@@ -95,3 +95,36 @@ def test_tracks_close_over_a_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("closed").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.track_key, r.num_rows) for r in spark.table("closed").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_the_load_counts_what_it_keeps(spark, tmp_path):
+    """Case 6: 176 and 252 boxes, all within its frames, of 140 and 180 frames; two more lie outside."""
+    from trackloom.sources import catalog
+
+    case = catalog.case(spark, "case_6_multicamera_temporal_handoff")
+    for camera, rows, first in (("camera_5", 176, 501), ("camera_6", 252, 369)):
+        frames: dict = {}
+        for k in range(rows):
+            frames.setdefault(str(first + k * 274 // rows), []).append({"id": 10 + k, "BboxP": [k, 0, k + 5, 9]})
+        frames["2000"] = [{"id": 14, "BboxP": [0, 0, 1, 1]}]
+        (tmp_path / f"{camera}_2023-12-01.json").write_text(json.dumps(frames))
+    (tmp_path / "camera_50_2023.json").write_text(json.dumps({"600": [{"id": 1, "BboxP": [0, 0, 1, 1]}]}))
+    load = ground_truth.load_case(ground_truth.read(spark, str(tmp_path)), case)
+    assert load.rows.count() == 428
+    six, five = load.counters()
+    assert (six["camera"], six["rows_before"], six["rows_after"], six["first_after"], six["last_before"], six["error"]) == ("camera_6", 253, 252, 369, 2000, None)
+    assert (five["camera"], five["rows_before"], five["rows_after"], five["first_after"], five["error"]) == ("camera_5", 177, 176, 501, None)
+    other = ground_truth.load_case(ground_truth.read(spark, str(tmp_path)), case | {"cameras": ["camera_50", "camera_7"], "source_frame_start": 1, "source_frame_end": 2})
+    assert other.rows.count() == 0
+    assert [r["error"] for r in other.counters()] == ["nothing within the frames", "no annotation"]
+
+
+def test_a_wrong_schema_is_no_missing_file(spark, tmp_path):
+    import pytest
+    from pyspark.errors import ParseException
+
+    from trackloom.sources.stages import read_csv
+
+    assert read_csv(spark, str(tmp_path / "none"), "a int").count() == 0
+    with pytest.raises(ParseException):
+        read_csv(spark, str(tmp_path / "none"), "a no_such_type")

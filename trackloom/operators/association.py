@@ -7,15 +7,16 @@ result a function of the rows alone.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geometry import gap, overlap
-from trackloom.operators.graph import components
 from trackloom.sources.stages import settle
 
 
@@ -32,44 +33,116 @@ class Rules:
     mutual: bool = True
 
 
+SIDE = {"track": "track_key", "camera": "camera", "first_frame": "first_frame", "last_frame": "last_frame"}
+_PAIRS = pa.schema([(f"{n}_{x}", pa.int32() if n.endswith("frame") else pa.string()) for x in "ab" for n in SIDE] + [("cosine_similarity", pa.float64())])
+_PAIRS_SQL = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'double' if f.type == pa.float64() else 'string'}" for f in _PAIRS)
+#: Vectors that angles are measured to, and those they are chosen from; the rows of a block, at least and at most.
+PIVOTS, SAMPLE, LEAST_ROWS, MOST_ROWS = 32, 512, 256, 2000
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+
+
 def _multiply(floor: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left, right = (rows[rows["block"] == b] for b in key)
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=["track_a", "track_b", "cosine_similarity"], dtype=object)
-        a, b = (np.stack(side["vector"].to_numpy()).astype(float) for side in (left, right))
-        similar = np.round(a @ b.T, 6)
-        x, y = left["track_key"].to_numpy(), right["track_key"].to_numpy()
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        block = rows["block"].to_numpy()
+        left, right = (np.flatnonzero(block == k.as_py()) for k in key)
+        vectors = _matrix(rows["vector"].chunk(0))
+        similar = np.round(vectors[left] @ vectors[right].T, 6)
+        names = pc.rank(rows["track_key"], tiebreaker="min").to_numpy()
         wanted = similar >= floor
-        at, to = np.nonzero(wanted & (x[:, None] < y[None, :]) if i == j else wanted)
-        first = x[at] < y[to]
-        return pd.DataFrame({"track_a": np.where(first, x[at], y[to]), "track_b": np.where(first, y[to], x[at]), "cosine_similarity": similar[at, to]})
+        if key[0] == key[1]:
+            wanted &= names[left][:, None] < names[right][None, :]
+        at, to = np.nonzero(wanted)
+        x, y = left[at], right[to]
+        first = names[x] < names[y]
+        a, b = pa.array(np.where(first, x, y)), pa.array(np.where(first, y, x))
+        sides = [rows[c].take(side).cast(_PAIRS.field(f"{n}_a").type) for side in (a, b) for n, c in SIDE.items()]
+        return pa.Table.from_arrays([*sides, pa.array(similar[at, to])], schema=_PAIRS)
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, floor: float = -1.0, block_rows: int = 2000) -> DataFrame:
-    """Every pair of tracks with at least ``floor`` similarity, as blocks of a matrix product.
+def _angles(pivots: np.ndarray):
+    """Adds the angle of each vector to each pivot, and the nearest pivot."""
+
+    def run(batches):
+        for batch in batches:
+            angles = np.arccos(np.clip(_matrix(batch["vector"]) @ pivots.T, -1, 1)) if len(batch) else np.zeros((0, len(pivots)))
+            nearest = angles.argmin(axis=1) if len(batch) else np.zeros(0, int)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(pivots), pa.int32()), pa.array(angles.ravel()))
+            own = angles[np.arange(len(batch)), nearest]
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(nearest, pa.int32()), pa.array(own)], [*batch.schema.names, "angles", "nearest", "angle"])
 
-    Tracks fall into blocks by a hash of their key; a task multiplies two blocks i <= j, each two of
-    them once, and what it emits is bounded by the floor. All pairs is what the operator is for: the product is quadratic in the
-    tracks of a case, and the floor (a merge threshold) keeps its output small."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    keyed = vectors.select("track_key", "vector", F.pmod(F.xxhash64("track_key"), F.lit(blocks)).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    met = keyed.select("track_key", "vector", "block", other)
-    met = met.select("track_key", "vector", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return met.groupBy("i", "j").applyInPandas(_multiply(floor), "track_a string, track_b string, cosine_similarity double")
+    return run
+
+
+def _spread(vectors: np.ndarray) -> np.ndarray:
+    """``PIVOTS`` of the vectors, each the farthest from those before it."""
+    chosen, nearest = [0], np.full(len(vectors), -1.0)
+    while len(chosen) < min(PIVOTS, len(vectors)):
+        nearest = np.maximum(nearest, vectors @ vectors[chosen[-1]])
+        chosen.append(int(nearest.argmin()))
+    return vectors[chosen]
+
+
+def near_blocks(placed: DataFrame, floor: float) -> DataFrame:
+    """Pairs ``i <= j`` of blocks that may hold vectors with a similarity of ``floor`` or more.
+
+    Angles obey the triangle inequality: if all of one block lie nearer to a pivot than all of another by
+    more than the floor's angle, no two of them are that similar. Blocks meet in bins of their angles to
+    the first pivot, and are then held against each other by all pivots."""
+    reach = math.acos(max(-1.0, min(1.0, floor - 1e-6))) + 1e-9
+    k = F.posexplode("angles").alias("pivot", "x")
+    spans = placed.select("block", k).groupBy("block", "pivot").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    spans = settle(spans.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pivot", "low", "high"))), lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high"))).alias("spans")))
+    low, high = F.col("spans")[0]["low"], F.col("spans")[0]["high"]
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / reach).cast("int"), F.floor(b / reach).cast("int"))).alias("bin")
+    left = spans.select(F.col("block").alias("i"), F.col("spans").alias("of_i"), bins(low, high))
+    right = spans.select(F.col("block").alias("j"), F.col("spans").alias("of_j"), bins(F.greatest(low - reach, F.lit(0.0)), high + reach))
+    apart = F.exists(F.zip_with("of_i", "of_j", lambda p, q: F.greatest(p["low"] - q["high"], q["low"] - p["high"])), lambda d: d > reach)
+    return left.join(right, "bin").where((F.col("i") <= F.col("j")) & ~apart).select("i", "j").distinct()
+
+
+def placed_vectors(vectors: DataFrame, block_rows: int | None = None, apart: bool = True) -> tuple[DataFrame, int]:
+    """Tracks with vectors in blocks of about as many rows or fewer: ranges of (nearest pivot, angle to it, key), cut
+    where the nearest pivot changes if they are to be kept ``apart``. Also the number of ranges."""
+    kept = vectors.select(*SIDE.values(), F.col("vector").cast("array<double>").alias("vector"))
+    n = kept.count()
+    rows = block_rows or max(LEAST_ROWS, min(MOST_ROWS, n // 8))
+    # chosen from the vectors of least hash, as many at every size; any choice gives the same pairs
+    sample = [r[0] for r in kept.orderBy(F.xxhash64("track_key"), "track_key").select("vector").limit(SAMPLE).collect()]
+    blocks = max(1, -(-n // rows))
+    schema = ", ".join(f"{c} {t}" for c, t in kept.dtypes) + ", angles array<double>, nearest int, angle double"
+    measured = kept.mapInArrow(_angles(_spread(np.array(sample, float))), schema) if sample else kept.select("*", F.array(F.lit(0.0)).alias("angles"), F.lit(0).alias("nearest"), F.lit(0.0).alias("angle"))
+    dealt = measured.repartitionByRange(blocks, "nearest", "angle", "track_key")
+    dealt = dealt.withColumn("block", F.spark_partition_id() * PIVOTS + F.col("nearest") if apart else F.spark_partition_id())
+    return settle(dealt.drop("nearest", "angle")), blocks
+
+
+def similar_pairs(vectors: DataFrame, floor: float = -1.0, block_rows: int | None = None) -> DataFrame:
+    """Every pair of tracks with at least ``floor`` similarity, with both sides' cameras and spans.
+
+    Blocks of near vectors are multiplied, each two of them once, unless their angles to the pivots rule
+    the floor out (``near_blocks``); what a task emits is bounded by the floor. Without a floor all pairs are
+    asked for, so the work is quadratic in the tracks of a case."""
+    placed, blocks = placed_vectors(vectors, block_rows, floor > -1)
+    if floor <= -1:
+        other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+        met = placed.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    else:
+        near = settle(near_blocks(placed, floor))
+        sides = near.select("i", "j", F.col("i").alias("block")).unionByName(near.where("i < j").select("i", "j", F.col("j").alias("block")))
+        met = placed.join(sides, "block")
+    return met.select("i", "j", "block", *SIDE.values(), "vector").groupBy("i", "j").applyInArrow(_multiply(floor), _PAIRS_SQL)
 
 
 def pair_table(vectors: DataFrame, floor: float = -1.0) -> DataFrame:
-    """``similar_pairs`` with both tracks' cameras and spans, their gap and their overlap."""
-    side = lambda x: vectors.select(*[F.col(c).alias(f"{n}_{x}") for c, n in (("track_key", "track"), ("camera", "camera"), ("first_frame", "first_frame"), ("last_frame", "last_frame"))])
-    pairs = similar_pairs(vectors, floor).join(side("a"), "track_a").join(side("b"), "track_b")
+    """``similar_pairs`` with their gap and their overlap."""
     spans = [F.col(c) for c in ("first_frame_a", "last_frame_a", "first_frame_b", "last_frame_b")]
-    return pairs.select(
+    return similar_pairs(vectors, floor).select(
         *("track_a camera_a first_frame_a last_frame_a track_b camera_b first_frame_b last_frame_b".split()),
         (F.col("camera_a") == F.col("camera_b")).alias("same_camera"),
         gap(*spans).alias("temporal_gap"),
@@ -106,45 +179,60 @@ def classify(pairs: DataFrame, rules: Rules) -> DataFrame:
 CANDIDATES = ("intra_fragment_recovery", "cross_camera_mnn", "cross_camera_threshold")
 
 
-def _merge(rules: Rules):
-    """Candidates of one component, most similar first: a merge that would put two tracks of one
-    camera together that overlap or lie too far apart is blocked."""
-
-    def clash(p, q) -> bool:
-        if p[0] != q[0]:
-            return False
-        shared = min(p[2], q[2]) - max(p[1], q[1]) + 1
-        return shared > rules.max_overlap or -shared > rules.max_gap
-
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        member: dict[str, list] = {}
-        for x in pairs.itertuples():
-            member.setdefault(x.track_a, [(x.track_a, (x.camera_a, x.first_frame_a, x.last_frame_a))])
-            member.setdefault(x.track_b, [(x.track_b, (x.camera_b, x.first_frame_b, x.last_frame_b))])
-        merged = []
-        for x in pairs.sort_values(["cosine_similarity", "track_a", "track_b"], ascending=[False, True, True]).itertuples():
-            a, b = member[x.track_a], member[x.track_b]
-            blocked = a is not b and any(clash(p, q) for _, p in a for _, q in b)
-            merged.append((x.track_a, x.track_b, not blocked))
-            if a is not b and not blocked:
-                a += b
-                for name, _ in b:
-                    member[name] = a
-        roots = {name: min(n for n, _ in group) for name, group in member.items()}
-        return pd.DataFrame([(a, b, ok, roots[a], roots[b]) for a, b, ok in merged], columns=["track_a", "track_b", "merged", "root_a", "root_b"])
+def _clashing(open_pairs: DataFrame, members: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs of clusters that can't be one: two of their tracks are of one camera, and overlap or lie too far apart."""
+    side = lambda x: members.select(F.col("root").alias(f"root_{x}"), "camera", F.col("first_frame").alias(f"f_{x}"), F.col("last_frame").alias(f"l_{x}"))
+    met = open_pairs.where("fresh AND root_a <> root_b").select("root_a", "root_b").distinct().join(side("a"), "root_a").join(side("b"), ["root_b", "camera"])
+    shared = F.least("l_a", "l_b") - F.greatest("f_a", "f_b") + 1
+    return met.where((shared > rules.max_overlap) | (-shared > rules.max_gap)).select("root_a", "root_b").distinct()
 
-    return run
 
+def _moved(rows: DataFrame, moves: DataFrame, *roots: str) -> DataFrame:
+    """``rows`` by what their clusters are now; ``{root}_to`` is null for those that haven't changed."""
+    changed = moves.select("from", "to").unionByName(moves.select(F.col("to").alias("from"), "to"))
+    for root in roots:
+        to = changed.select(F.col("from").alias(root), F.col("to").alias(f"{root}_to"))
+        rows = rows.join(to, root, "left").withColumn(root, F.coalesce(f"{root}_to", root))
+    return rows
 
-def merge(classified: DataFrame, rules: Rules) -> DataFrame:
-    """Merge decisions for the candidates: ``track_a, track_b, merged, root_a, root_b``.
 
-    Merges reach along candidates only and tests look only inside two clusters, so the components
-    of the candidate graph are independent: each is one group, folded in order."""
+def merge(classified: DataFrame, rules: Rules) -> DataFrame:
+    """Merge decisions for the candidates: ``track_a, track_b, merged, root_a, root_b``, as if they were taken one
+    by one, most similar first, each merge blocked that would put two tracks of one camera together that overlap
+    or lie too far apart.
+
+    A round decides many at once, each as it would be in order. Two clusters that clash never become one, so
+    their candidates are blocked whenever that shows. A candidate that is the first one left at both of its
+    clusters merges: neither cluster changes before its turn. Candidates inside one cluster are merges too,
+    as only earlier ones can have joined it. Clusters are told by their least track. The number of
+    rounds follows the longest chain of candidates that wait for each other, not the size of components."""
+    order = F.struct((-F.col("cosine_similarity")).alias("s"), "track_a", "track_b", "root_a", "root_b")
     wanted = classified.where(F.col("merge_reason").isin(*CANDIDATES))
-    known = components(wanted.select("track_a", "track_b"))
-    grouped = wanted.join(known, F.col("track_a") == F.col("node")).groupBy("component")
-    return grouped.applyInPandas(_merge(rules), "track_a string, track_b string, merged boolean, root_a string, root_b string")
+    ends = [wanted.select(F.col(f"track_{x}").alias("track"), F.col(f"camera_{x}").alias("camera"), F.col(f"first_frame_{x}").alias("first_frame"), F.col(f"last_frame_{x}").alias("last_frame"), F.col(f"track_{x}").alias("root")) for x in "ab"]
+    members = settle(ends[0].unionByName(ends[1]).distinct())
+    waiting = wanted.select("track_a", "track_b", "cosine_similarity", F.col("track_a").alias("root_a"), F.col("track_b").alias("root_b"), F.lit(True).alias("fresh"))
+    decided = []
+    while True:
+        clash = _clashing(waiting, members, rules).withColumn("clash", F.lit(True))
+        verdict = F.when(F.col("root_a") == F.col("root_b"), True).when(F.col("clash"), False)
+        judged = settle(waiting.join(clash, ["root_a", "root_b"], "left").select(*waiting.columns, verdict.alias("merged")))
+        decided.append(judged.where("merged IS NOT NULL").select("track_a", "track_b", "merged"))
+        left = judged.where("merged IS NULL").select("track_a", "track_b", "cosine_similarity", "root_a", "root_b")
+        at = left.select(F.explode(F.array("root_a", "root_b")).alias("root"), order.alias("key"))
+        first = at.groupBy("root").agg(F.min("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        moves = settle(first.select("key.track_a", "key.track_b", F.greatest("key.root_a", "key.root_b").alias("from"), F.least("key.root_a", "key.root_b").alias("to")))
+        if moves.isEmpty():
+            break
+        decided.append(moves.select("track_a", "track_b", F.lit(True).alias("merged")))
+        members = settle(_moved(members, moves, "root").select(*members.columns))
+        rest = left.join(moves.select("track_a", "track_b"), ["track_a", "track_b"], "left_anti")
+        moved = F.col("root_a_to").isNotNull() | F.col("root_b_to").isNotNull()
+        waiting = _moved(rest, moves, "root_a", "root_b").select("track_a", "track_b", "cosine_similarity", "root_a", "root_b", moved.alias("fresh"))
+    done = decided[0]
+    for part in decided[1:]:
+        done = done.unionByName(part)
+    root = lambda x: members.select(F.col("track").alias(f"track_{x}"), F.col("root").alias(f"root_{x}"))
+    return done.join(root("a"), "track_a").join(root("b"), "track_b").select("track_a", "track_b", "merged", "root_a", "root_b")
 
 
 def verdicts(classified: DataFrame, merges: DataFrame) -> DataFrame:

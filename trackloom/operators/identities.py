@@ -36,6 +36,12 @@ PALETTE = (
     (255, 0, 128),
 )
 
+#: What is said of the pairwise evaluation.
+NO_TRACK_TRUTH = "GT track-level data tidak tersedia; pairwise Re-ID evaluation tidak aktif."
+NO_PAIR = "Tidak ada pasangan track valid untuk pairwise Re-ID evaluation."
+NO_POSITIVE_PAIR = "No positive association pair available; Re-ID association is not required for this case."
+SOME_POSITIVE_PAIR = "Pairwise association evaluation tersedia karena ada minimal satu positive GT pair."
+
 EVALUATED = ("TP_pair", "FP_pair", "FN_pair", "TN_pair")
 
 
@@ -137,17 +143,23 @@ def _pair_counts(tracks: DataFrame) -> DataFrame:
 
 def pairwise_summary(identities: DataFrame, truth: DataFrame, min_purity: float = 0.8) -> DataFrame:
     """One row over all pairs of tracks, as ``pairwise_detail`` judges them; the ratios are null where no two
-    tracks should have been one."""
+    tracks should have been one. Three cases have a row of their own: without tracks or their truth nothing is
+    available; without a pair to judge purity and the later counts are null; without two tracks that should
+    have been one the ratios are."""
+    there = identities.agg((F.count(F.lit(1)) > 0).alias("some_ids")).crossJoin(truth.agg((F.count(F.lit(1)) > 0).alias("some_truth")))  # one row each
     tracks = identities.select("track_key", "global_id").join(truth, "track_key").where((F.col("dominant_gt_id") > 0) & (F.col("track_gt_purity") >= min_purity))
     per_id = tracks.groupBy("global_id").agg(F.countDistinct("dominant_gt_id").alias("n"))
     row = _pair_counts(tracks)
     row = row.crossJoin(tracks.agg(F.countDistinct("track_key").alias("num_eval_tracks"), F.countDistinct("dominant_gt_id").alias("expected_global_ids"), F.countDistinct("global_id").alias("num_global_ids")))
     row = row.crossJoin(per_id.agg(F.count(F.when(F.col("n") > 1, 1)).alias("mixed_gid_count"), F.avg((F.col("n") <= 1).cast("double")).alias("mean_global_id_purity")))
+    row = row.crossJoin(there).withColumn("some_ids", F.col("some_ids") & F.col("some_truth"))
     tp, fp, fn = F.col("tp_pair"), F.col("fp_pair"), F.col("fn_pair")
-    known = tp + fn > 0
+    known, judged = tp + fn > 0, tp + fp + fn + F.col("tn_pair") > 0
+    if_judged = lambda c: F.when(judged, c)
+    note = F.when(~F.col("some_ids"), NO_TRACK_TRUTH).when(~judged, NO_PAIR).when(known, SOME_POSITIVE_PAIR).otherwise(NO_POSITIVE_PAIR)
     precision, recall = tp / F.greatest(F.lit(1), tp + fp), tp / F.greatest(F.lit(1), tp + fn)
     return row.select(
-        (tp + fp + fn + F.col("tn_pair") > 0).alias("score_available"),
+        F.col("some_ids").alias("score_available"),
         known.alias("association_eval_available"),
         "num_eval_tracks",
         (tp + fn).alias("positive_pair_count"),
@@ -159,12 +171,10 @@ def pairwise_summary(identities: DataFrame, truth: DataFrame, min_purity: float
         F.when(known, 2 * precision * recall / F.greatest(F.lit(1e-9), precision + recall)).alias("pairwise_f1"),
         F.when(known, fp / F.greatest(F.lit(1), tp + fp)).alias("false_merge_rate"),
         F.when(known, fn / F.greatest(F.lit(1), tp + fn)).alias("false_split_rate"),
-        "mean_global_id_purity",
-        "mixed_gid_count",
-        "expected_global_ids",
-        "num_global_ids",
-        F.greatest(F.lit(0), F.col("num_eval_tracks") - F.col("expected_global_ids")).alias("reduction_required"),
-        F.greatest(F.lit(0), F.col("num_eval_tracks") - F.col("num_global_ids")).alias("reduction_achieved"),
+        *[if_judged(F.col(c)).alias(c) for c in ("mean_global_id_purity", "mixed_gid_count", "expected_global_ids", "num_global_ids")],
+        if_judged(F.greatest(F.lit(0), F.col("num_eval_tracks") - F.col("expected_global_ids"))).alias("reduction_required"),
+        if_judged(F.greatest(F.lit(0), F.col("num_eval_tracks") - F.col("num_global_ids"))).alias("reduction_achieved"),
+        note.alias("note"),
     )
 
 

@@ -1,11 +1,13 @@
 """Detections against ground truth: box matching, coverage, switches, metrics and scores.
 
-``scope`` columns: metrics don't add up over cameras, so each is computed for the scope asked for,
-the whole case or every camera, by the same aggregations.
+``scope`` columns: metrics don't add up over cameras, so each is computed for the whole case (``all``, which
+no camera is called) and for every camera, by grouping sets of one aggregation.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +44,64 @@ def to_source_frames(detections: DataFrame, source_start: int, local_start: int
     return detections.withColumn("source_frame", F.lit(source_start) + F.col("frame") - local_start)
 
 
+#: Cells are so many mean sides wide; boxes of up to ``SIDES`` cells lie on the finest grid, larger ones on grids ``COARSER`` times as wide.
+MEAN_SIDES, SIDES, COARSER = 2, 4, 8
+
+
+def _in_cells(boxes: DataFrame, width: float, deepest: int) -> DataFrame:
+    """A row for each cell that a box lies in, on its own grid (``level``) and all coarser ones (``at``)."""
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    level = F.greatest(F.lit(0), F.ceil(F.log(side / (width * SIDES)) / math.log(COARSER))).cast("int")
+    on = boxes.withColumn("level", F.least(level, F.lit(deepest))).withColumn("at", F.explode(F.sequence("level", F.lit(deepest))))
+    for axis in "xy":
+        low, high = (F.floor(F.col(f"{axis}{k}") / _width(width)) for k in (1, 2))
+        on = on.withColumn(f"cell_{axis}", F.explode(F.sequence(low, high)))
+    return on
+
+
+def _width(width: float) -> Column:
+    return F.lit(width) * F.pow(F.lit(float(COARSER)), F.col("at"))
+
+
+def _meetings(detections: DataFrame, ground_truth: DataFrame) -> DataFrame:
+    """Boxes of the same camera and frame that share an area, each two once: ``det_id``, the detection's corners,
+    and ``gt_ord, gt_id`` and the corners (``g_``) of the other one.
+
+    Boxes meet in cells of a grid, so a crowded frame isn't all against all, nor one task's. Of the cells
+    that two boxes share, the one with the lower corner of what they share counts. Boxes far larger than the
+    mean lie on coarser grids, so none is in more than a few cells."""
+    corners = ["x1", "y1", "x2", "y2"]
+    on = ["camera", "source_frame"]
+    whole = lambda df, *ids: df.select(*on, *ids, *[F.col(c).cast("double").alias(c) for c in corners]).where("x2 > x1 AND y2 > y1 AND x2 - x1 < 1e12 AND y2 - y1 < 1e12 AND abs(x1) < 1e12 AND abs(y1) < 1e12")
+    found, true = whole(detections, "det_id"), whole(ground_truth, "gt_ord", "gt_id")
+    sides = found.select(*corners).unionByName(true.select(*corners)).select(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("side"))
+    mean_side, most = sides.agg(F.avg("side"), F.max("side")).first()
+    width = MEAN_SIDES * (mean_side or 1.0)
+    deepest = max(0, math.ceil(math.log((most or 1.0) / (width * SIDES)) / math.log(COARSER)))
+    left = _in_cells(found, width, deepest)
+    right = _in_cells(true, width, deepest).select(*on, "at", "cell_x", "cell_y", "gt_ord", "gt_id", F.col("level").alias("g_level"), *[F.col(c).alias(f"g_{c}") for c in corners])
+    met = left.join(right, [*on, "at", "cell_x", "cell_y"])
+    corner = lambda axis: F.floor(F.greatest(f"{axis}1", f"g_{axis}1") / _width(width))
+    once = (F.col("at") == F.greatest("level", "g_level")) & (F.col("cell_x") == corner("x")) & (F.col("cell_y") == corner("y"))
+    return met.where(once)
+
+
 def match(detections: DataFrame, ground_truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Each detection with its best box of the same camera and frame: ``gt_id`` (-1: none),
-    ``gt_iou`` and ``is_matched``. Of equal boxes the first (``gt_ord``) wins.
-
-    The boxes of a frame are gathered before the join, so detections move once, on (camera,
-    source_frame), and a detection stays one row."""
-    boxes = ground_truth.groupBy("camera", "source_frame").agg(F.collect_list(F.struct("gt_ord", "gt_id", "x1", "y1", "x2", "y2")).alias("boxes"))
-    joined = detections.join(boxes, ["camera", "source_frame"], "left")
-    best = F.expr(f"array_max(transform(boxes, b -> named_struct('iou', {iou('', 'b.')}, 'first', -b.gt_ord, 'gt_id', b.gt_id)))")
-    found = joined.withColumn("best", best).withColumn("is_matched", F.coalesce(F.col("best.iou") >= threshold, F.lit(False)))
-    return found.withColumns(
-        {
-            "gt_id": F.when(F.col("is_matched"), F.col("best.gt_id")).otherwise(-1),
-            "gt_iou": F.when(F.col("is_matched"), F.col("best.iou")).otherwise(0.0),
-        }
-    ).drop("boxes", "best")
+    ``gt_iou`` and ``is_matched``. Of equal boxes the first (``gt_ord``) wins. ``threshold`` is above 0.
+
+    What is read more than once should be settled."""
+    if threshold <= 0:
+        raise ValueError("boxes that share nothing can't match")
+    pairs = _meetings(detections, ground_truth).withColumn("iou", F.expr(iou("", "g_")))
+    best = F.max(F.struct("iou", (-F.col("gt_ord")).alias("first"), "gt_id")).alias("best")
+    found = pairs.where(F.col("iou") >= threshold).groupBy("det_id").agg(best)
+    return detections.join(found, "det_id", "left").select(
+        *[F.col(f"`{c}`") for c in detections.columns],
+        F.coalesce("best.gt_id", F.lit(-1)).alias("gt_id"),
+        F.coalesce("best.iou", F.lit(0.0)).alias("gt_iou"),
+        F.col("best").isNotNull().alias("is_matched"),
+    )
 
 
 def _true(matched: DataFrame) -> DataFrame:
@@ -113,19 +157,21 @@ def id_switches(matched: DataFrame) -> DataFrame:
     return least.withColumn("before", before).groupBy("camera", "gt_id").agg(F.sum((F.col("before") != F.col("track_key")).cast("long")).alias("switches")).na.fill(0)
 
 
-def _scoped(df: DataFrame, by_camera: bool) -> DataFrame:
-    return df.withColumn("scope", F.col("camera") if by_camera else F.lit("all"))
+def _by_scope(df: DataFrame, *sums: Column) -> DataFrame:
+    """``sums`` for the whole case and for each camera, from one pass over ``df``."""
+    sets = df.groupingSets([[F.col("camera")], []], F.col("camera")).agg(F.grouping("camera").alias("__whole"), *sums)
+    return sets.select(F.when(F.col("__whole") == 1, "all").otherwise(F.col("camera")).alias("scope"), *sets.columns[2:])
 
 
 def _clean(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
-def evaluate(matched: DataFrame, ground_truth: DataFrame, by_camera: bool = False) -> DataFrame:
-    """The operational metrics and score, one row for each scope."""
-    scoped = _scoped(matched, by_camera)
+def evaluate(matched: DataFrame, ground_truth: DataFrame) -> DataFrame:
+    """The operational metrics and score, one row for each scope. ``matched`` should be settled."""
     real = F.col("gt_id") > 0
-    rows = scoped.groupBy("scope").agg(
+    rows = _by_scope(
+        matched,
         F.count(F.lit(1)).alias("raw_detections"),
         F.countDistinct("track_key").alias("unique_tracks"),
         F.count(F.when(real, 1)).alias("matched_rows"),
@@ -133,13 +179,14 @@ def evaluate(matched: DataFrame, ground_truth: DataFrame, by_camera: bool = Fals
         F.countDistinct(F.when(real, F.col("gt_id"))).alias("detected_gt_ids"),
         _clean(mean(F.when(real, F.col("gt_iou")))).alias("mean_gt_iou"),
     )
-    truth = _scoped(ground_truth, by_camera).groupBy("scope").agg(F.count(F.lit(1)).alias("gt_rows"), F.countDistinct("gt_id").alias("total_gt_ids"))
-    tracks = _scoped(track_truth(matched), by_camera).groupBy("scope").agg(
+    truth = _by_scope(ground_truth, F.count(F.lit(1)).alias("gt_rows"), F.countDistinct("gt_id").alias("total_gt_ids"))
+    tracks = _by_scope(
+        track_truth(matched),
         _clean(mean(F.when(F.col("matched_frames") > 0, F.col("track_gt_purity")))).alias("mean_track_purity"),
         F.count(F.when(F.col("track_gt_purity") < 1, 1)).alias("mixed_track_count"),
     )
-    pieces = _true(scoped).groupBy("scope", "camera", "gt_id").agg(F.countDistinct("track_key").alias("n")).groupBy("scope").agg(mean(F.col("n")).alias("fragmentation_avg"))
-    switches = _scoped(id_switches(matched), by_camera).groupBy("scope").agg(F.sum("switches").alias("id_switch_count"))
+    pieces = _by_scope(_true(matched).groupBy("camera", "gt_id").agg(F.countDistinct("track_key").alias("n")), mean(F.col("n")).alias("fragmentation_avg"))
+    switches = _by_scope(id_switches(matched), F.sum("switches").alias("id_switch_count"))
     whole = rows
     for part in (truth, tracks, pieces, switches):
         whole = whole.join(part, "scope", "left")
@@ -186,10 +233,10 @@ def standard_metrics(evaluated: DataFrame) -> DataFrame:
     return out.select("scope", known.alias("score_available"), F.col("gt_rows").alias("total_gt_rows"), F.col("raw_detections").alias("total_prediction_rows"), *names.split())
 
 
-def tracking_score(evaluated: DataFrame, covered: DataFrame, judged: DataFrame, by_camera: bool = False) -> DataFrame:
-    """The weighted tracking score and its inputs; unavailable where there is no ground truth."""
-    seen = _scoped(covered, by_camera).groupBy("scope").agg(F.count(F.lit(1)).alias("ids"), F.count(F.when(F.col("detected_frames") > 0, 1)).alias("found"))
-    valid = _scoped(judged.where("is_valid"), by_camera).groupBy("scope").agg(F.countDistinct("track_key").alias("num_valid_tracks"))
+def tracking_score(evaluated: DataFrame, covered: DataFrame, judged: DataFrame) -> DataFrame:
+    """The weighted tracking score and its inputs for each scope; unavailable where there is no ground truth."""
+    seen = _by_scope(covered, F.count(F.lit(1)).alias("ids"), F.count(F.when(F.col("detected_frames") > 0, 1)).alias("found"))
+    valid = _by_scope(judged.where("is_valid"), F.countDistinct("track_key").alias("num_valid_tracks"))
     whole = evaluated.join(seen, "scope", "left").join(valid, "scope", "left").na.fill(0)
     inputs = {
         "identity_coverage_rate": F.col("found") / F.greatest(F.lit(1), F.col("ids")),

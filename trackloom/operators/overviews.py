@@ -85,7 +85,7 @@ def score_table(scores: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def score_rollup(scores: DataFrame) -> DataFrame:
     """Mean and least score over the cameras that have one (metrics themselves don't average)."""
-    return scores.where("score_available").agg(
+    return scores.where("score_available AND scope <> 'all'").agg(
         F.avg("tracking_score").alias("mean_tracking_score"), F.min("tracking_score").alias("min_tracking_score"), F.count(F.lit(1)).alias("num_cameras_scored")
     )
 

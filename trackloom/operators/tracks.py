@@ -36,19 +36,6 @@ def with_geometry(detections: DataFrame) -> DataFrame:
     return detections.withColumns({"width": wide, "height": high, "area": wide * high})
 
 
-def track_crops(crops: DataFrame) -> DataFrame:
-    """What the crops behind each track's vector say of it: their number, span and means, and the best one."""
-    best = F.max_by("crop_path", F.struct(crop_quality("conf", "area").alias("q"), (-F.col("frame")).alias("f"), (-F.col("det_id")).alias("d")))
-    return crops.groupBy(*TRACK).agg(
-        F.count(F.lit(1)).alias("num_crops"),
-        F.min("frame").alias("first_frame"),
-        F.max("frame").alias("last_frame"),
-        mean(F.col("conf")).alias("avg_conf"),
-        mean(F.col("area")).alias("avg_area"),
-        best.alias("representative_crop"),
-    )
-
-
 def summarize(detections: DataFrame) -> DataFrame:
     """One row for each track, by one hash aggregation."""
     has_crop = F.coalesce(F.col("crop_path"), F.lit("")) != ""
@@ -126,9 +113,23 @@ def spread_crops(detections: DataFrame, most: int = 48) -> DataFrame:
 
 
 def track_vectors(crops: DataFrame) -> DataFrame:
-    """Mean of each track's crop vectors, scaled to length 1 (``vector``, array of doubles)."""
-    parts = crops.select("track_key", F.posexplode("vector").alias("place", "x"))
-    means = parts.groupBy("track_key", "place").agg((F.sum(F.col("x").cast("decimal(28,12)")).cast("double") / F.count("x")).alias("x"))
-    listed = means.groupBy("track_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("mean"))
+    """Mean of each track's crop vectors, scaled to length 1 (``vector``, array of doubles), and ``num_crops``.
+
+    Crops that come with ``det_id, frame, conf, area, crop_path`` also give the track's span, means and its
+    ``representative_crop``, of the highest quality. All is one hash aggregation: places of the vectors are summed
+    up apart, as exact decimals, so one row for a track and partition is shuffled. Vectors are of one length;
+    another one is an error. Null vectors don't count."""
+    known = crops.where("vector IS NOT NULL")
+    one = known.select(F.size("vector").alias("n")).first()
+    places = range(one["n"] if one else 0)
+    same = F.when(F.size("vector") == len(places), F.col("vector")).otherwise(F.raise_error(F.lit("vectors differ in length")))
+    sums = [F.sum(F.get("whole", F.lit(k)).cast("decimal(18,12)")).cast("double").alias(f"__{k}") for k in places]
+    more, names = [], []
+    if {"det_id", "frame", "conf", "area", "crop_path"} <= set(crops.columns):
+        best = F.max_by("crop_path", F.struct(crop_quality("conf", "area").alias("q"), (-F.col("frame")).alias("f"), (-F.col("det_id")).alias("d")))
+        more = [F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), mean(F.col("conf")).alias("avg_conf"), mean(F.col("area")).alias("avg_area"), best.alias("representative_crop")]
+        names = ["first_frame", "last_frame", "avg_conf", "avg_area", "representative_crop"]
+    summed = known.withColumn("whole", same).groupBy("track_key").agg(F.count(F.lit(1)).alias("num_crops"), *more, *sums)
+    listed = summed.select("track_key", "num_crops", *names, F.array(*[F.col(f"__{k}") / F.col("num_crops") for k in places]).cast("array<double>").alias("mean"))
     length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x)) + 1e-12
-    return listed.select("track_key", F.transform("mean", lambda x: x / length).alias("vector"))
+    return listed.withColumn("vector", F.transform("mean", lambda x: x / length)).drop("mean")

@@ -35,6 +35,13 @@ FROM {embeddings} AS v
 CROSS JOIN (SELECT 2 * count(DISTINCT user_id) AS n FROM {detections} AS y) AS one_row
 JOIN (SELECT DISTINCT track_id, track_key FROM {detections} AS x) AS d ON d.track_id = v.vec_id % one_row.n"""
 
+#: A vector for every crop.
+CROPS = """
+SELECT d.*, v.embedding AS vector FROM {detections} AS d
+CROSS JOIN (SELECT count(*) AS n FROM {embeddings} AS x) AS one_row
+JOIN {embeddings} AS v ON v.vec_id = d.det_id % one_row.n
+WHERE d.crop_path <> ''"""
+
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DETECTIONS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -11,9 +11,9 @@ from trackloom.functions import geometry
 from trackloom.operators import association, identities, matching, overviews, tracks
 from trackloom.plans import adapters
 from trackloom.sources import ground_truth as annotations
-from trackloom.sources import catalog
+from trackloom.sources import catalog, runs
 from trackloom.sources.stages import expired, export_csv, read_csv, run_id, settle, shared_folder
-from trackloom.streaming.tracks import closed_tracks
+from trackloom.streaming.tracks import closed_tracks, closed_tracks_by_frame
 
 LIMITS = tracks.Limits(min_frames=30, min_crops=24)
 RULES = association.Rules(cross_threshold=0.30, intra_threshold=0.25, max_gap=60, max_overlap=0)
@@ -29,7 +29,7 @@ class Case:
     """The inputs and intermediate tables of one scale, made when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
         self.det = matching.to_source_frames(adapters.detections(spark, sf_dir), adapters.SOURCE_START)
 
     def gt(self, gt_id: str = adapters.BY_BOX) -> DataFrame:
@@ -42,16 +42,21 @@ class Case:
         return tracks.keep_valid(self.det, self.judged())
 
     def matched(self, gt_id: str = adapters.BY_BOX) -> DataFrame:
-        return matching.match(self.det, self.gt(gt_id))
+        """A settled stage, as most of its readers read it several times."""
+        if gt_id not in self.made:
+            self.made[gt_id] = settle(matching.match(self.det, self.gt(gt_id)))
+        return self.made[gt_id]
 
     def vectors(self) -> DataFrame:
-        means = tracks.track_vectors(adapters.crop_vectors(self.spark, self.sf_dir))
+        means = tracks.track_vectors(adapters.crop_vectors(self.spark, self.sf_dir)).drop("num_crops")
         return tracks.full_span(means.join(self.det.select(*tracks.TRACK).distinct(), "track_key"), self.det)
 
-    def associate(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Tracks with vectors, all pairs with verdicts, and identities; each a settled stage."""
+    def associate(self, all_pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Tracks with vectors, pairs with verdicts, and identities; each a settled stage. Without ``all_pairs``
+        pairs less similar than both thresholds, which nothing can come of, aren't made."""
         vectors = settle(self.vectors())
-        classified = settle(association.classify(association.pair_table(vectors), RULES))
+        floor = -1.0 if all_pairs else min(RULES.cross_threshold, RULES.intra_threshold)
+        classified = settle(association.classify(association.pair_table(vectors, floor), RULES))
         merges = settle(association.merge(classified, RULES))
         return vectors, association.verdicts(classified, merges), settle(association.number_identities(vectors.drop("vector"), merges))
 
@@ -78,12 +83,14 @@ def q_source_frame(spark, sf_dir):
 
 @query
 def q_gt_match(spark, sf_dir):
-    return Case(spark, sf_dir).matched().where("is_matched").select("det_id", "gt_id", F.round("gt_iou", 9).alias("gt_iou"))
+    case = Case(spark, sf_dir)
+    return matching.match(case.det, case.gt()).where("is_matched").select("det_id", "gt_id", F.round("gt_iou", 9).alias("gt_iou"))
 
 
 @query
 def q_match_all(spark, sf_dir):
-    return Case(spark, sf_dir).matched().select("det_id", "camera", "source_frame", "gt_id", F.round("gt_iou", 9).alias("gt_iou"), "is_matched")
+    case = Case(spark, sf_dir)
+    return matching.match(case.det, case.gt()).select("det_id", "camera", "source_frame", "gt_id", F.round("gt_iou", 9).alias("gt_iou"), "is_matched")
 
 
 @query
@@ -112,41 +119,42 @@ def q_gt_coverage_display(spark, sf_dir):
 @query
 def q_tracking_eval(spark, sf_dir):
     case = Case(spark, sf_dir)
-    found = matching.evaluate(settle(case.matched()), case.gt())
+    found = matching.evaluate(case.matched(), case.gt()).where("scope = 'all'")
     return found.select("raw_detections", "unique_tracks", "gt_rows", "gt_coverage_rate", "pred_match_rate", "mean_track_purity", "mean_gt_iou", "id_switch_count", "fragmentation_avg", "fragmentation_score", "false_positive_rate", F.round("score", 9).alias("score"))
 
 
 @query
 def q_fragmentation(spark, sf_dir):
     case = Case(spark, sf_dir)
-    return matching.evaluate(case.matched(), case.gt(), by_camera=True).select("scope", "fragmentation_avg")
+    return matching.evaluate(case.matched(), case.gt()).where("scope <> 'all'").select("scope", "fragmentation_avg")
 
 
 @query
 def q_mot_metrics(spark, sf_dir):
     case = Case(spark, sf_dir)
-    found = matching.standard_metrics(matching.evaluate(settle(case.matched()), case.gt()))
+    found = matching.standard_metrics(matching.evaluate(case.matched(), case.gt())).where("scope = 'all'")
     return found.select("scope", "score_available", "total_gt_rows", "total_prediction_rows", "tp", "fp", "fn", "precision", "recall", F.round("f1", 9).alias("f1"), F.round("raw_mota_simple", 9).alias("raw_mota_simple"), "motp_iou", "identity_coverage_rate", "fragmentation_avg", "mean_track_purity", "false_positive_rate", "note")
 
 
-def _score(case: Case, by_camera: bool) -> DataFrame:
-    matched = settle(case.matched())  # read by four branches
-    found = matching.tracking_score(matching.evaluate(matched, case.gt(), by_camera), matching.coverage(matched, case.gt()), case.judged(), by_camera)
+def _score(case: Case) -> DataFrame:
+    """Scores of the case and of each camera."""
+    matched = case.matched()
+    found = matching.tracking_score(matching.evaluate(matched, case.gt()), matching.coverage(matched, case.gt()), case.judged())
     return found.select("scope", "score_available", F.round("tracking_score", 9).alias("tracking_score"), "identity_coverage_rate", "precision", "recall", "mean_track_purity", "mixed_track_count", "num_valid_tracks")
 
 
 @query
 def q_score_by_camera(spark, sf_dir):
-    return _score(Case(spark, sf_dir), True)
+    return _score(Case(spark, sf_dir)).where("scope <> 'all'")
 
 
 @query
 def q_case_score(spark, sf_dir):
-    return _score(Case(spark, sf_dir), False)
+    return _score(Case(spark, sf_dir)).where("scope = 'all'")
 
 
 def _tracking_diagnostics(case: Case) -> DataFrame:
-    matched, gt = settle(case.matched()), case.gt()
+    matched, gt = case.matched(), case.gt()
     return matching.diagnostics(case.det, case.valid(), case.judged(), matching.evaluate(matched, gt), matching.coverage(matched, gt))
 
 
@@ -227,9 +235,9 @@ def q_overlay_labels(spark, sf_dir):
     return identities.overlay_labels(association.label_rows(case.det, case.associate()[2]))
 
 
-def _gids(case: Case):
-    vectors, pairs, ids = case.associate()
-    matched = settle(case.matched(adapters.BY_USER))
+def _gids(case: Case, all_pairs: bool = False):
+    vectors, pairs, ids = case.associate(all_pairs)
+    matched = case.matched(adapters.BY_USER)
     return vectors, pairs, ids, matched, identities.evaluate_identities(ids, matched)
 
 
@@ -262,25 +270,25 @@ def q_merge_evidence(spark, sf_dir):
     return identities.merge_evidence(pairs, ids)
 
 
-def _pairwise(case: Case):
-    _, pairs, ids, matched, _ = _gids(case)
-    truth = matching.track_truth(matched)
-    return identities.pairwise_detail(ids, truth, pairs), identities.pairwise_summary(ids, truth)
+def _pairwise(case: Case) -> DataFrame:
+    _, _, ids, matched, _ = _gids(case)
+    return identities.pairwise_summary(ids, matching.track_truth(matched))
 
 
 @query
 def q_pairwise_detail(spark, sf_dir):
-    return _pairwise(Case(spark, sf_dir))[0].select("track_a", "track_b", "dominant_gt_id_a", "dominant_gt_id_b", "same_gt", "same_global_id", "pair_eval_type", "merge_status", "reject_reason")
+    _, pairs, ids, matched, _ = _gids(Case(spark, sf_dir), all_pairs=True)
+    return identities.pairwise_detail(ids, matching.track_truth(matched), pairs).select("track_a", "track_b", "dominant_gt_id_a", "dominant_gt_id_b", "same_gt", "same_global_id", "pair_eval_type", "merge_status", "reject_reason")
 
 
 @query
 def q_pairwise_summary(spark, sf_dir):
-    return _pairwise(Case(spark, sf_dir))[1]
+    return _pairwise(Case(spark, sf_dir))
 
 
 @query
 def q_confusion(spark, sf_dir):
-    return identities.confusion(_pairwise(Case(spark, sf_dir))[1])
+    return identities.confusion(_pairwise(Case(spark, sf_dir)))
 
 
 def _reid(case: Case) -> DataFrame:
@@ -296,12 +304,12 @@ def q_reid_score(spark, sf_dir):
 @query
 def q_final_score(spark, sf_dir):
     case = Case(spark, sf_dir)
-    found = identities.final_score(_score(case, False), _reid(case))
+    found = identities.final_score(_score(case), _reid(case))
     return found.select("score_available", F.round("final_pipeline_score", 8).alias("final_pipeline_score"))
 
 
 def _reid_diagnostics(case: Case) -> DataFrame:
-    _, pairs, ids, _, found = _gids(case)
+    _, pairs, ids, _, found = _gids(case, all_pairs=True)
     return identities.diagnostics(ids, pairs, identities.identity_totals(found))
 
 
@@ -318,9 +326,7 @@ def q_hints_reid(spark, sf_dir):
 
 @query
 def q_camera_union(spark, sf_dir):
-    det = Case(spark, sf_dir).det
-    cameras = [det.where(F.col("camera") == f"camera_{k}").select("camera", "track_key", "det_id") for k in (1, 2, 3)]
-    return cameras[0].unionByName(cameras[1]).unionByName(cameras[2])
+    return catalog.union_cameras(Case(spark, sf_dir).det, catalog.camera_names()).select("camera", "track_key", "det_id")
 
 
 @query
@@ -330,7 +336,7 @@ def q_distinct_gt(spark, sf_dir):
 
 @query
 def q_missing_cameras(spark, sf_dir):
-    wanted = spark.range(1, 6).select(F.concat(F.lit("camera_"), "id").alias("camera"))
+    wanted = catalog.cameras(spark).select("camera").distinct()
     return wanted.join(Case(spark, sf_dir).gt(), "camera", "left_anti")
 
 
@@ -409,21 +415,21 @@ def q_gt_info(spark, sf_dir):
 @query
 def q_camera_status(spark, sf_dir):
     case = Case(spark, sf_dir)
-    cameras = spark.range(1, 6).select(F.concat(F.lit("camera_"), "id").alias("camera"))
-    return overviews.camera_status(cameras, case.det, case.judged(), _score(case, True))
+    cameras = catalog.cameras(spark).select("camera").distinct()
+    return overviews.camera_status(cameras, case.det, case.judged(), _score(case))
 
 
 @query
 def q_score_table(spark, sf_dir):
     case = Case(spark, sf_dir)
-    metrics = matching.standard_metrics(matching.evaluate(case.matched(), case.gt(), by_camera=True))
-    found = overviews.score_table(_score(case, True), metrics)
+    metrics = matching.standard_metrics(matching.evaluate(case.matched(), case.gt()))
+    found = overviews.score_table(_score(case), metrics).where("scope <> 'all'")
     return found.select("scope", "tracking_score", F.round("raw_mota_simple", 9).alias("raw_mota_simple"), "motp_iou")
 
 
 @query
 def q_score_rollup(spark, sf_dir):
-    found = overviews.score_rollup(_score(Case(spark, sf_dir), True))
+    found = overviews.score_rollup(_score(Case(spark, sf_dir)))
     return found.withColumn("mean_tracking_score", F.round("mean_tracking_score", 7))
 
 
@@ -479,7 +485,60 @@ def q_annotation_nested(spark, sf_dir):
 
 @query
 def q_case_catalog(spark, sf_dir):
-    return catalog.catalog(spark).withColumn("cameras", F.array_join("cameras", ", "))
+    """The catalog with the detections and true boxes that lie in each case's cameras and frames."""
+    case = Case(spark, sf_dir)
+    found = catalog.contents(spark, case.det, case.gt())
+    return found.withColumn("cameras", F.array_join("cameras", ", "))
+
+
+@query
+def q_annotation_locate(spark, sf_dir):
+    """Annotations of a camera written as several files, of which the first by name is read."""
+    block = F.lpad(F.floor(F.col("source_frame") / 100).cast("string"), 4, "0").alias("block")
+    record = F.struct(F.col("gt_id").alias("id"), F.array("x1", "y1", "x2", "y2").alias("BboxP"))
+    frames = Case(spark, sf_dir).gt().groupBy("camera", block, "source_frame").agg(F.collect_list(record).alias("records"))
+    texts = frames.groupBy("camera", "block").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("source_frame").cast("string"), "records")))).alias("value"))
+    root = f"{shared_folder(spark)}/annotations-{uuid.uuid4().hex}"
+    texts.select(F.concat("camera", F.lit("_"), "block").alias("file"), "value").repartition("file").write.partitionBy("file").text(root)
+    return annotations.read(spark, root)
+
+
+#: A case of its own for the test tables.
+OWN_CASE = {"cameras": ["camera_1", "camera_2", "camera_9"], "source_frame_start": 200, "source_frame_end": 500, "annotation_frame_start": 0}
+
+
+@query
+def q_gt_load(spark, sf_dir):
+    """What the load of a case's ground truth counts for each camera, from one pass."""
+    load = annotations.load_case(q_annotation_rows(spark, sf_dir), OWN_CASE)
+    settle(load.rows)
+    fields = ", ".join(f"{n} {'long' if n.startswith('rows') else 'int'}" for n in annotations.COUNTED)
+    return spark.createDataFrame([tuple(r.values()) for r in load.counters()], f"camera string, {fields}, error string")
+
+
+@query
+def q_sink_order(spark, sf_dir):
+    """Summaries written in order as two runs, one of them again, and read from the first by file and row."""
+    summary, root = tracks.summarize(Case(spark, sf_dir).det), f"{shared_folder(spark)}/ordered-{uuid.uuid4().hex}"
+    for run, rows in (("a", summary.limit(0)), ("b", summary), ("a", summary), ("c", summary.limit(0))):
+        runs.write_ordered(rows, root, overviews.ORDERS["summary"], run, files=5)
+    return runs.read_ordered(spark, root, "a").select("place", "camera", "track_id", "num_frames")
+
+
+@query
+def q_stream_tracks(spark, sf_dir):
+    """Tracks closed by a stream of detections as three videos, by frames; those still open at its end aren't told."""
+    det = Case(spark, sf_dir).det.select("det_id", F.floor(F.col("frame") / 240).alias("video"), "camera", "track_id", (F.col("frame") % 240).alias("frame"), "conf", "area", "crop_path")
+    root, name = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    det.write.parquet(f"{root}/in")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = closed_tracks_by_frame(spark.readStream.schema(det.schema).parquet(f"{root}/in"), buffer=12, late=20)
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/at").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{root}/out")
 
 
 @query
@@ -516,9 +575,10 @@ def q_box_geometry(spark, sf_dir):
 
 @query
 def q_track_crops(spark, sf_dir):
-    """Crops that have a vector of their own: the vector's number is the detection's."""
-    known = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("det_id"))
-    return tracks.track_crops(Case(spark, sf_dir).det.where("crop_path <> ''").join(known, "det_id", "left_semi"))
+    """What all crops say of their tracks, with the vector's first place."""
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    crops = spark.sql(adapters.CROPS, detections=Case(spark, sf_dir).det, embeddings=embeddings)
+    return tracks.track_vectors(crops).withColumn("first_place", F.round(F.get("vector", F.lit(0)), 6)).drop("vector")
 
 
 @query

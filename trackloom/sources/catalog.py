@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,23 @@ def case(spark: SparkSession, case_id: str) -> dict:
 def cameras(spark: SparkSession) -> DataFrame:
     """A row for each case and camera."""
     return catalog(spark).select("case_id", F.explode("cameras").alias("camera"), "source_frame_start", "source_frame_end")
+
+
+def camera_names() -> list[str]:
+    """All cameras that cases have, in order."""
+    return sorted({name for c in CASES for name in c[2].split()})
+
+
+def union_cameras(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of each camera named, one after the other; a camera without rows adds none."""
+    parts = [rows.where(F.col("camera") == name) for name in names]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, rows.limit(0))
+
+
+def contents(spark: SparkSession, detections: DataFrame, ground_truth: DataFrame) -> DataFrame:
+    """The catalog with the number of detections, tracks, true boxes and true identities in each case's cameras and frames."""
+    places = F.broadcast(cameras(spark))  # a row for each case and camera
+    inside = F.col("source_frame").between(F.col("source_frame_start"), F.col("source_frame_end"))
+    seen = detections.join(places, "camera").where(inside).groupBy("case_id").agg(F.count(F.lit(1)).alias("num_detections"), F.countDistinct("track_key").alias("num_tracks"))
+    true = ground_truth.join(places, "camera").where(inside).groupBy("case_id").agg(F.count(F.lit(1)).alias("num_boxes"), F.countDistinct("gt_id").alias("num_gt_ids"))
+    return catalog(spark).join(seen, "case_id", "left").join(true, "case_id", "left").na.fill(0, ["num_detections", "num_tracks", "num_boxes", "num_gt_ids"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Names under which a box and an identity may be found, first one first.
@@ -97,9 +97,55 @@ def parse_any(files: DataFrame, list_format: str = "xyxy") -> DataFrame:
     return plain.unionByName(parse_nested(other, list_format))
 
 
+def locate(spark: SparkSession, path: str) -> DataFrame:
+    """Annotation files under ``path``: ``camera`` (the part ``camera_<number>`` of the file's name, or else of its
+    folder's, exactly, so that camera_1 isn't camera_10) and ``value``. Of several files for a camera the first by
+    name is taken."""
+    name = F.col("_metadata.file_path")
+    found = F.coalesce(*[F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in (r"(camera_\d+)(?!\d)[^/]*$", r"(camera_\d+)(?!\d)[^/]*/[^/]*$")], F.lit(""))
+    files = spark.read.text(path, wholetext=True).select(found.alias("camera"), name.alias("name"), "value")
+    return files.where("camera <> ''").groupBy("camera").agg(F.min_by("value", "name").alias("value"))
+
+
 def read(spark: SparkSession, path: str, first_frame: int | None = None, last_frame: int | None = None, annotation_start: int = 1) -> DataFrame:
-    """All annotation files under ``path``. The camera is the part ``camera_<number>`` of a file's
-    name; frames counted from 0 are moved by one; both limits are inclusive."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(camera_\d+)", 1).alias("camera"), "value")
-    gt = parse_any(files).withColumn("source_frame", F.col("source_frame") + (1 if annotation_start == 0 else 0))
+    """All annotation files under ``path``, one for each camera; frames counted from 0 are moved by one; both
+    limits are inclusive."""
+    gt = parse_any(locate(spark, path)).withColumn("source_frame", F.col("source_frame") + (1 if annotation_start == 0 else 0))
     return gt.where(F.lit(True) if first_frame is None else F.col("source_frame").between(first_frame, last_frame))
+
+
+#: What is counted for each camera while a case's ground truth is loaded.
+COUNTED = ("rows_before", "rows_after", "first_before", "last_before", "first_after", "last_after")
+
+
+class Load:
+    """Ground truth of a case and what its load has counted; the counts are there once an action has read ``rows``."""
+
+    def __init__(self, rows: DataFrame, cameras: list[str], seen: Observation):
+        self.rows, self.cameras, self._seen = rows, cameras, seen
+
+    def counters(self) -> list[dict]:
+        """A record for each camera of the case, with ``error`` where it gave nothing."""
+        found = self._seen.get
+        out = []
+        for k, camera in enumerate(self.cameras):
+            row = {"camera": camera} | {name: found[f"{name}_{k}"] for name in COUNTED}
+            row["error"] = "no annotation" if not row["rows_before"] else "nothing within the frames" if not row["rows_after"] else None
+            out.append(row)
+        return out
+
+
+def load_case(annotations: DataFrame, case: dict) -> Load:
+    """Rows of the case's cameras and frames from parsed annotations, with counts before and after the range of
+    frames from the same pass. ``case``: a row of the catalog."""
+    cameras, seen = list(case["cameras"]), Observation()
+    low, high = case["source_frame_start"], case["source_frame_end"]
+    moved = annotations.withColumn("source_frame", F.col("source_frame") + (1 if case["annotation_frame_start"] == 0 else 0))
+    counts, inside = [], F.col("source_frame").between(low, high)
+    for k, camera in enumerate(cameras):
+        before = F.col("camera") == camera
+        for name, test in (("before", before), ("after", before & inside)):
+            frame = F.when(test, F.col("source_frame"))
+            counts += [F.count(frame).alias(f"rows_{name}_{k}"), F.min(frame).alias(f"first_{name}_{k}"), F.max(frame).alias(f"last_{name}_{k}")]
+    observed = moved.observe(seen, *counts)
+    return Load(observed.where(F.col("camera").isin(*cameras) & inside), cameras, seen)

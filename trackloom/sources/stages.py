@@ -30,25 +30,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_key(*parts: str):
-    """A stage table's name from what it was made of: 16 hex digits of the SHA-256 of the parts."""
-    return F.substring(F.sha2(F.concat_ws("\u0001", *[F.lit(p) for p in parts]), 256), 1, 16)
-
-
-def write_run(df: DataFrame, root: str, run_id: str, stage: str) -> None:
-    """One stage of one run, as Parquet under ``run_id=/stage=``; writing again replaces it."""
-    df.write.mode("overwrite").parquet(f"{root}/run_id={run_id}/stage={stage}")
-
-
-def read_run(spark: SparkSession, root: str, run_id: str, stage: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/run_id={run_id}/stage={stage}")
-
-
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV with a header, by the schema given; without rows where there is nothing at ``path``."""
     try:
         return spark.read.schema(schema).option("header", True).csv(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
