@@ -5,7 +5,9 @@ neighbouring pair is, so the last token of every prefix is determined. A state h
 and the count at the places where a token may yet begin; a transition finds the one token that ends
 at the byte read and agrees with the last token before it. Two tokens agree if no merge joins what
 stands at their border while both are made, which is read off the merges that make them. Many
-pre-tokens step side by side, each byte of all at once; those of more than ``SHORT`` bytes go alone.
+pre-tokens step side by side, each byte of all at once; those of more than ``SHORT`` bytes, whose
+states would take much memory, go through the library, all of a batch's in one call. Tokens are found by
+rolling hashes and held against the bytes.
 What pairs say is kept in a table of fixed size and read again when it has been replaced.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from trackloom.llm.common import Known, mix, powers, segment_hashes
+from trackloom.llm.common import Known, mix
 
 #: Bytes of the longest pre-tokens that step side by side, and how many of them at once.
 SHORT, SIDE_BY_SIDE = 64, 20_000
@@ -21,6 +23,16 @@ SHORT, SIDE_BY_SIDE = 64, 20_000
 SYMBOLS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base from the 0th to the ``n``-th, and of its inverse."""
+    wide = np.ones((2, n + 1), np.uint64)
+    wide[:, 1:] = np.array([[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
+    return tuple(np.cumprod(wide, axis=1, dtype=np.uint64))
+
+
 def byte_letters() -> list[str]:
     """The printable stand-ins of byte-level vocabularies: a byte's own Latin-1 character where it
     can be printed, else the next one from U+0100 on."""
@@ -31,8 +43,9 @@ def byte_letters() -> list[str]:
 class BytePairs:
     """The transducer over the bytes of pre-tokens: their tokens, many pre-tokens side by side."""
 
-    def __init__(self, spec: dict):
-        model = spec["model"]
+    def __init__(self, spec: dict, library):
+        """``library``: the tokenizer of the same file, for long pre-tokens."""
+        model, self.library = spec["model"], library
         letters, ending = byte_letters(), model.get("end_of_word_suffix") or ""
         made = {c: k for k, c in enumerate([*letters, *(c + ending for c in letters if ending)])}
         self.first_merged, self.ending, parts = len(made), bool(ending), []
@@ -50,17 +63,14 @@ class BytePairs:
         tokens = [self._symbols([hidden[c] for c in t.removesuffix(ending)], bool(ending) and t.endswith(ending)) for t in made]
         self.sizes = np.array([len(t) for t in tokens])
         ends = np.cumsum(self.sizes)
-        hashes = segment_hashes(np.concatenate(tokens), ends - self.sizes, ends, SYMBOLS)
+        self.begins, self.symbols = ends - self.sizes, np.concatenate(tokens)
+        place = np.arange(len(self.symbols)) - np.repeat(self.begins, self.sizes)
+        hashes = mix(np.add.reduceat(SYMBOLS[self.symbols] * powers(int(self.sizes.max()))[0][place], self.begins))
         self.by_hash = np.argsort(hashes)
         self.hashes = hashes[self.by_hash]
         self.buckets = np.searchsorted(self.hashes, np.arange((1 << 20) + 1, dtype=np.uint64) << np.uint64(44))
         self.buckets[-1] = len(hashes)
         self.longest, self.agreeing = int(self.sizes.max()), Known()
-        self.numbers = {t.tobytes(): k for k, t in enumerate(tokens)}
-        found: dict[bytes, set[int]] = {}
-        for t in tokens:
-            found.setdefault(t[-2:].tobytes(), set()).add(len(t))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in found.items()}
 
     @staticmethod
     def _symbols(read, ends: bool) -> np.ndarray:
@@ -118,20 +128,24 @@ class BytePairs:
     def encode(self, texts: list[bytes], with_ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The number of tokens of each pre-token, and the ids of all in a row."""
         sizes = np.array([len(t) for t in texts])
-        counts, order = np.zeros(len(texts), np.int64), np.argsort(-sizes, kind="stable")
-        long, found = int((sizes > SHORT).sum()), []
-        groups = [order[k : k + 1] for k in range(long)] + [order[k : k + SIDE_BY_SIDE] for k in range(long, len(order), SIDE_BY_SIDE)]
-        for k, rows in enumerate(groups):
+        counts, order, found = np.zeros(len(texts), np.int64), np.argsort(-sizes, kind="stable"), []
+        long, rest = order[: int((sizes > SHORT).sum())], order[int((sizes > SHORT).sum()) :]
+        whole = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([texts[r].decode() for r in long.tolist()], add_special_tokens=False)] if len(long) else []
+        counts[long] = [len(ids) for ids in whole]
+        for k in range(0, len(rest), SIDE_BY_SIDE):
+            rows = rest[k : k + SIDE_BY_SIDE]
             width = sizes[rows]
             symbols = np.frombuffer(b"".join(texts[r] for r in rows.tolist()), np.uint8).astype(np.uint16)
             symbols[np.cumsum(width) - 1] += 256 * self.ending
-            last, count = self._one(symbols) if k < long else self._side_by_side(symbols, width)
+            last, count = self._side_by_side(symbols, width)
             counts[rows] = count[width, np.arange(len(rows))]
             if with_ids:
                 found += self._back(last, count, width, rows)
         if not with_ids:
             return counts, np.zeros(0, np.uint32)
         before, ids = np.cumsum(counts) - counts, np.zeros(counts.sum(), np.uint32)
+        for row, own in zip(long.tolist(), whole, strict=True):
+            ids[before[row] : before[row] + len(own)] = own
         for rows, places, tokens in found:
             ids[before[rows] + places] = self.ids[tokens]
         return counts, ids
@@ -152,6 +166,8 @@ class BytePairs:
         up, down = powers(width)
         sums = np.zeros((width + 1, n), np.uint64)
         sums[places + 1, columns] = SYMBOLS[symbols] * up[places]
+        grid = np.zeros((width, n), np.uint16)
+        grid[places, columns] = symbols
         sums = np.cumsum(sums, axis=0, dtype=np.uint64)
         last, counts = np.full((width + 1, n), -1), np.zeros((width + 1, n), np.int64)
         for end in range(1, width + 1):
@@ -160,6 +176,8 @@ class BytePairs:
                 start = end - size
                 token = self.token(mix((sums[end, left] - sums[start, left]) * down[start]))
                 at = np.flatnonzero(token >= 0)
+                spelled = self.symbols[np.minimum(self.begins[token[at]][:, None] + np.arange(size), len(self.symbols) - 1)] if len(at) else None
+                at = at[(self.sizes[token[at]] == size) & (grid[start:end, left[at]].T == spelled).all(axis=1)] if len(at) else at
                 if start and len(at):
                     at = at[self.agree(last[start, left[at]], token[at])]
                 if len(at):
@@ -168,17 +186,3 @@ class BytePairs:
                     if not len(left):
                         break
         return last, counts
-
-    def _one(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for one long pre-token, whose substrings are looked up by the lengths that tokens of their end have."""
-        text = symbols.tobytes()
-        last, counts = [-1], [0]
-        for end in range(1, len(symbols) + 1):
-            ends_with = text[2 * max(0, end - 2) : 2 * end]
-            for size in [*self.lengths.get(ends_with, ()), 1]:
-                token = self.numbers.get(text[2 * (end - size) : 2 * end]) if size <= end else None
-                if token is not None and (size == end or self.agree(np.array([last[end - size]]), np.array([token]))[0]):
-                    break
-            last.append(token)
-            counts.append(counts[end - size] + 1)
-        return np.array(last)[:, None], np.array(counts)[:, None]

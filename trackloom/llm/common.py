@@ -45,11 +45,6 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """UTF-8 words of a text, A-Z lower-cased. Bytes split at exactly the ASCII white space."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 #: Bytes of text that are worked on at once, whatever the number of rows in an Arrow batch.
 SLICE_BYTES = 4_000_000
 
@@ -92,20 +87,6 @@ def word_places(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLAN
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-class Memo(dict):
-    """A dictionary that computes missing values and starts afresh when it holds ``size`` of them."""
-
-    def __init__(self, make, size: int = 300_000):
-        super().__init__()
-        self.make, self.size = make, size
-
-    def __missing__(self, key):
-        if len(self) >= self.size:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -113,10 +94,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
-
-
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the ``n``-grams of hashed words, in order."""
     m = len(words) - n + 1
@@ -128,66 +105,75 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-#: What bytes count for in hashes of words; in the second one A-Z count as a-z.
-PLAIN = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-LOWER = PLAIN.copy()
-LOWER[65:91] = PLAIN[97:123]
-BASE = 0x9E3779B97F4A7C15
-_WINDOW = 1 << 20
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The powers of the base from the 0th to the ``n``-th at least, and of its inverse."""
-    if not _powers or len(_powers[0]) <= n:
-        wide = np.ones((2, max(n, _WINDOW) + 1), np.uint64)
-        wide[:, 1:] = np.array([[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
-        _powers[:] = np.cumprod(wide, axis=1, dtype=np.uint64)
-    return _powers
-
-
-def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, worth: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[start:end]``, segments in order and apart: differences of running sums of
-    ``worth[value] * base**place``, divided by the power of the place. Sums run over windows."""
-    out, first = np.empty(len(starts), np.uint64), 0
-    while first < len(starts):
-        a = starts[first]
-        last = int(np.searchsorted(starts, a + _WINDOW))
-        n = int(ends[last - 1] - a)
-        up, down = powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(worth[data[a : a + n]] * up[:n], out=sums[1:])
-        at = starts[first:last] - a
-        out[first:last] = (sums[ends[first:last] - a] - sums[at]) * down[at]
-        first = last
-    return mix(out)
+#: Bytes in lower case (A-Z as a-z).
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Segments of more bytes are hashed one by one.
+_LONG = 256
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def segment_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each ``data[start:end]``.
+
+    Eight bytes of all segments are taken at a time and mixed into two chains by different bijections, so
+    no choice of one block undoes another in both; long segments are hashed by XXH3."""
+    size = data.dtype.itemsize
+    raw = np.concatenate([data.view(np.uint8), np.zeros(8, np.uint8)])
+    begin, length = starts.astype(np.int64) * size, (ends - starts).astype(np.int64) * size
+    blocks = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    one = mix(length.astype(np.uint64) + _FIRST)
+    two = mix(one + _SECOND)
+    live = np.flatnonzero((length > 0) & (length <= _LONG))
+    at, left = begin[live], length[live]
+    while len(live):
+        block = blocks[at] & _MASKS[np.minimum(left, 8)]
+        one[live] = mix((one[live] ^ block) * _FIRST)
+        two[live] = mix((two[live] + block) ^ _SECOND) * _FIRST
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(length > _LONG).tolist():
+        whole = xxhash.xxh3_128_intdigest(raw[begin[k] : begin[k] + length[k]])
+        one[k], two[k] = whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
+    return mix(one + (two >> np.uint64(1))), two
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ``data[start:end]``."""
+    return segment_digests(data, starts, ends)[0]
 
 
 def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in a row (A-Z as a-z), and each text's first one (one more than texts)."""
     data, offsets = text_bytes(texts)
     starts, ends, firsts = word_places(data, offsets)
-    return segment_hashes(data, starts, ends, LOWER if lower else PLAIN), firsts
+    return segment_hashes(LOWER[data] if lower else data, starts, ends), firsts
 
 
 class Known:
-    """Numbers of hashed strings, in a table of ``1 << bits`` places where a newer string replaces an older one."""
+    """Numbers of hashed strings, in a table of ``1 << bits`` places where a newer string replaces an older one.
+    A string is told by 128 bits, or by 64 where those are the whole of it."""
 
     def __init__(self, bits: int = 20):
-        self.mask, self.keys, self.values = np.uint64((1 << bits) - 1), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.mask, self.keys, self.values = np.uint64((1 << bits) - 1), np.zeros((2, 1 << bits), np.uint64), np.zeros(1 << bits, np.int32)
         self.clear()
 
     def clear(self) -> None:
         self.keys[:] = 0
-        self.keys[0] = 1  # no hash has place 0 and is 1
+        self.keys[0, 0] = 1  # no hash has place 0 and is 1
 
-    def look_up(self, hashes: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """A number for each hash; ``make`` gives those of the places where an unknown one stands first."""
+    def look_up(self, hashes: np.ndarray, make: Callable[[np.ndarray], np.ndarray], checks: np.ndarray | None = None) -> np.ndarray:
+        """A number for each hash with its second one; ``make`` gives those of the places where an unknown one stands first."""
+        checks = hashes if checks is None else checks
         at = hashes & self.mask
-        found, missing = self.values[at], np.flatnonzero(self.keys[at] != hashes)
+        found, missing = self.values[at], np.flatnonzero((self.keys[0, at] != hashes) | (self.keys[1, at] != checks))
         if len(missing):
-            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            made = make(missing[first])
-            found[missing] = made[which]
-            self.keys[new & self.mask], self.values[new & self.mask] = new, made
+            order = missing[np.lexsort((missing, checks[missing], hashes[missing]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+            first = order[new]
+            made = make(first)
+            found[order] = made[np.cumsum(new) - 1]
+            self.keys[0, at[first]], self.keys[1, at[first]], self.values[at[first]] = hashes[first], checks[first], made
         return found

@@ -266,10 +266,10 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``.
 
     ``docs`` needs ``doc_id`` (long) and ``text``. Linked are documents with
-    ``100 * |intersection| >= percent * |union|``, for 60 <= percent (below, root regions are
-    missed too often)."""
-    if percent < 60:
-        raise ValueError("percent must be 60 or more")
+    ``100 * |intersection| >= percent * |union|``, for 80 <= percent, which trees and sketches are made for
+    (below, too many links would be missed)."""
+    if percent < 80:
+        raise ValueError("percent must be 80 or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     nodes = settle(texts.mapInArrow(_measure(n), _NODES))
     groups = settle(
@@ -292,7 +292,9 @@ def group_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, neighb
         known = components(links.unionByName(rest))
 
     merged = groups.join(known, F.col("rep") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "rep").alias("root"))
-    placed = nodes.join(merged, ["key_a", "key_b"], "left")
+    # copies, of which a key may have a third of all, are spread
+    some = join_spread(nodes.where("n_shingles > 0"), settle(merged), ["key_a", "key_b"])
+    placed = some.unionByName(nodes.where("n_shingles = 0").withColumn("root", F.lit(None).cast("long")))
     own = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("root"))
     return placed.select(
         F.col("id").alias("doc_id"),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.byte_pairs import BytePairs
-from trackloom.llm.common import PLAIN, Known, mix, segment_hashes, settle, slices, text_bytes, word_places
+from trackloom.llm.common import Known, segment_digests, settle, slices, text_bytes, word_places
 from trackloom.llm.sharding import ranked
 
 #: Pieces that one number range of a length holds on average.
@@ -54,8 +54,8 @@ def _plain_letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, low
 
 
-#: What bytes of words that aren't plain count for in hashes, apart from plain ones.
-_WHOLE = mix(PLAIN)
+#: Tells words that go through the library from plain runs of the same letters.
+_WHOLE = np.uint64(0x5851F42D4C957F2D)
 
 
 class WordIds:
@@ -63,7 +63,7 @@ class WordIds:
 
     In words of Latin letters and plain marks, runs of either are pre-tokens, whose tokens the
     transducer of ``byte_pairs`` finds; other words go through the library, a batch's new ones in one
-    text, where each id belongs to the word that its offset lies in. Either are looked up by 64-bit
+    text, where each id belongs to the word that its offset lies in. Either are looked up by 128-bit
     hashes first; what is kept is a pool of ids and each unit's place in it."""
 
     MAX_IDS, MAX_UNITS = 8_000_000, 2_000_000
@@ -71,9 +71,9 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as file:
-            self.pairs = BytePairs(json.load(file))
         self.library, self.known = Tokenizer.from_file(path), Known(20)
+        with open(path, encoding="utf-8") as file:
+            self.pairs = BytePairs(json.load(file), self.library)
         self._restart()
 
     def _restart(self) -> None:
@@ -120,8 +120,9 @@ class WordIds:
         for kind, find, text in ((plain, self.pairs.encode, low), (~plain, self._by_library, data)):
             a, b, held = starts[kind], ends[kind], text.tobytes()
             spelled = lambda at: [held[s:e] for s, e in zip(a[at].tolist(), b[at].tolist(), strict=True)]  # noqa: B023, E731
-            hashes = segment_hashes(text, a, b, PLAIN if kind is plain else _WHOLE)
-            number[kind] = self.known.look_up(hashes, lambda at: self._add(*find(spelled(at))))  # noqa: B023
+            hashes, checks = segment_digests(text, a, b)
+            checks = checks if kind is plain else checks ^ _WHOLE
+            number[kind] = self.known.look_up(hashes, lambda at: self._add(*find(spelled(at))), checks)  # noqa: B023
         sizes = self.edges[number + 1] - self.edges[number]
         before = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.arange(before[-1]) + np.repeat(self.edges[number] - before[:-1], sizes)]

@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import mix, powers, segment_hashes, settle, slices, text_bytes, word_places
+from trackloom.llm.byte_pairs import powers
+from trackloom.llm.common import mix, segment_digests, settle, slices, text_bytes, word_places
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _UNITS = "doc_id long, row long, start int, end int, word_from int, word_to int, hash_a long, hash_b long"
@@ -55,12 +56,12 @@ def cut(text: str, unit_words: int) -> Iterator[tuple[int, int, list[str]]]:
 
 @lru_cache(maxsize=1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point, what it counts for in hashes (as in lower case) and whether it is white space."""
-    low = np.arange(0x110000)
+    """For each code point, its lower case and whether it is white space."""
+    low = np.arange(0x110000, dtype=np.uint32)
     low[:0x20000] = [ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x20000)]
     blank = np.zeros(0x110000, bool)
     blank[[c for c in range(0x4000) if chr(c).isspace()]] = True
-    return mix((low + 1).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)), blank
+    return low, blank
 
 
 def winnow(texts: pa.Array, passage_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,14 +70,14 @@ def winnow(texts: pa.Array, passage_words: int) -> tuple[np.ndarray, np.ndarray,
     data, offsets = text_bytes(texts)
     codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     edges = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    worth, blank = _letters()
+    low, blank = _letters()
     starts, ends, firsts = word_places(codes, edges, blank)
     if len(starts) < passage_words:
         return np.zeros(0, np.int64), np.empty((0, 4), np.int64), np.empty((0, 2), np.int64)
-    hashed = segment_hashes(codes, starts, ends, worth)
-    up, down = powers(len(hashed))
-    n, runs = len(hashed) - size + 1, []
-    for words in (hashed, mix(hashed)):
+    digests = segment_digests(low[codes], starts, ends)
+    up, down = powers(len(starts))
+    n, runs = len(starts) - size + 1, []
+    for words in digests:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
         runs.append(mix((sums[size:] - sums[:-size]) * down[:n]))
     text = np.repeat(np.arange(len(texts)), np.diff(firsts))

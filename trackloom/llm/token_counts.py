@@ -12,7 +12,7 @@ difference of that number between its two ends.
 
 The second transducer reads the bytes of a pre-token and counts its tokens (see ``byte_pairs``). A
 batch's new pre-tokens step through it side by side; their emissions are kept in a table of fixed
-size under 64-bit hashes and compiled again when they have been replaced.
+size under 128-bit hashes and compiled again when they have been replaced.
 
 Special strings in a text are one token each, as the library takes them by default.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.byte_pairs import BytePairs
-from trackloom.llm.common import Known, mix, segment_hashes, slices, text_bytes
+from trackloom.llm.common import Known, segment_digests, slices, text_bytes
 
 CHUNK = 512
 
@@ -130,10 +130,9 @@ class Counter:
             spec = json.load(file)
         self.library = Tokenizer.from_file(path)
         self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.transducer, self.emitted = BytePairs(spec), Known(21)
+        self.transducer, self.emitted = BytePairs(spec, self.library), Known(21)
         self.classes = np.full(0x110000, 255, np.uint8)
         self.classes[0xD800] = C_END
-        self.worth = mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def _class_of(self, code: int) -> int:
         """A character's class, by how the library's own pre-tokenizer takes it."""
@@ -195,7 +194,8 @@ class Counter:
         a, b = starts[some], ends[some]
         spelled = lambda at: [codes[s:e].tobytes().decode("utf-32-le").encode() for s, e in zip(a[at].tolist(), b[at].tolist(), strict=True)]
         counts = np.zeros(len(starts), np.int64)
-        counts[some] = self.emitted.look_up(segment_hashes(codes, a, b, self.worth), lambda at: self.transducer.count(spelled(at)))
+        hashes, checks = segment_digests(codes, a, b)
+        counts[some] = self.emitted.look_up(hashes, lambda at: self.transducer.count(spelled(at)), checks)
         return counts
 
 
