@@ -1,11 +1,18 @@
 """Secret scan: fixed patterns, and strings that a dictionary-primed compressor finds novel.
 
 The patterns find assignments to telling names, access key ids and long hexadecimal runs. Beyond
-them, a candidate is a run of 20 or more key characters with letters and digits that follows a
-sensitive word within 48 characters of the same line. ``=`` belongs to a run as padding at its end;
-within it, it ends a name, so every value of ``private_key=VALUE`` is a candidate whose sensitive
-word may stand in the run before it (the whole run is tried if no value is a secret). Its novelty is the number of bytes by which
-it lengthens the zstandard frame of its surroundings (128 characters before, 64 after) under a
+them, candidates are
+
+* runs of 16 or more key characters with letters and digits that have a sensitive word within 48
+  characters before them, on the same line or the one before, or behind them on the same line. ``=``
+  belongs to a run as padding at its end; within it, it ends a name, so every value of
+  ``private_key=VALUE`` is a candidate whose sensitive word may stand in the run before it (the whole
+  run is tried if no value is a secret);
+* runs whose own beginning tells what they are (``ghp_``, ``xoxb-``, a web hook's path), and passwords in
+  addresses (``//name:password@host``), of 8 or more characters;
+* the body of a private key's block, as one.
+
+A candidate's novelty is the number of bytes by which it lengthens the zstandard frame of its surroundings (128 characters before, 64 after) under a
 dictionary of common identifiers: text that repeats its surroundings or is built from known names
 costs little, random keys cost what their alphabet demands. From ``min_novelty`` bytes per
 character on it is reported.
@@ -39,7 +46,13 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Words that make their surroundings sensitive.
 SENSITIVE = re.compile(r"key|token|secret|passw|credential|auth|private|bearer|signature|pwd", re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Beginnings of tokens that services give out; passwords in addresses; blocks of private keys.
+TELLING = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|sk_(?:live|test)_|rk_live_|npm_|pypi-|AIza|SG\.|hooks\.slack\.com/services/)([A-Za-z0-9+/_.=-]{8,})")
+ADDRESS = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{8,128})@")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{16,}?)\s*-----END")
+#: Characters of the shortest value in a run.
+SHORTEST = 16
 VALUE = re.compile(r"[^=]+(?:=+\Z)?")
 
 #: Identifiers that source code is full of; callers may pass their own.
@@ -70,7 +83,7 @@ class Scanner:
 
     def novel(self, text: str, start: int, end: int, taken: list[tuple[int, int]]) -> bool:
         run = text[start:end]
-        if len(run) < 20 or run.isalpha() or run.isdigit():
+        if run.isalpha() or run.isdigit():
             return False
         at = bisect.bisect_left(taken, (end,))  # spans taken lie apart, so only the last one before the end can reach in
         if at and taken[at - 1][1] > start:
@@ -92,15 +105,24 @@ class Scanner:
                 taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
             else:
                 taken.append((s, e))
+        own = [m.span(1) for pattern, sign in ((TELLING, None), (ADDRESS, "://"), (BLOCK, "PRIVATE KEY-----")) if sign is None or sign in text for m in pattern.finditer(text)]
+        told = [(s, 3, e) for s, e in sorted(own) if self.novel(text, s, e, taken)]
+        for s, _, e in told:
+            bisect.insort(taken, (s, e))
+        found += told
         for m in CANDIDATE.finditer(text):
             start, end = m.span()
             near = max(0, start - 48)
-            word = SENSITIVE.search(text, max(near, text.rfind("\n", near, start) + 1), end)
-            if not word:
+            line = text.rfind("\n", near, start)
+            word = SENSITIVE.search(text, max(near, text.rfind("\n", near, max(line, near)) + 1), end)
+            behind = text.find("\n", end, end + 48)
+            after = SENSITIVE.search(text, end, behind if behind >= 0 else end + 48)
+            if not word and not after:
                 continue
-            values = [(start + v.start(), start + v.end()) for v in VALUE.finditer(m.group())]
-            novel = [(s, 3, e) for s, e in values if word.end() <= s and self.novel(text, s, e, taken)]
-            if not novel and values != [(start, end)] and word.end() <= start and self.novel(text, start, end, taken):
+            told_before = lambda at: bool(after) or word.end() <= at  # noqa: B023, E731
+            values = [(start + v.start(), start + v.end()) for v in VALUE.finditer(m.group()) if v.end() - v.start() >= SHORTEST]
+            novel = [(s, 3, e) for s, e in values if told_before(s) and self.novel(text, s, e, taken)]
+            if not novel and values != [(start, end)] and told_before(start) and self.novel(text, start, end, taken):
                 novel = [(start, 3, end)]
             found += novel
         return sorted(found)
