@@ -179,3 +179,13 @@ def test_pipeline_against_plain_python(spark):
             want.add((i, piece, start, len(part) // 4, zlib.crc32(part)))
     got = corpus_pipeline.run(spark, folder).collect()
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_quality_stage_keeps_the_callers_columns(spark):
+    good = " ".join(f"the word{k} of it" for k in range(30))
+    rows = [(1, good, 99, False, "x", 7.5), (2, None, 1, True, None, 0.0), (None, good, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept boolean, label string, pass_stop_words double")
+    kept = corpus_pipeline.quality(spark, docs, "")
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect()), key=str) == sorted((rows[0], rows[2]), key=str)
+    masked = corpus_pipeline.mask_secrets(spark, docs, "")
+    assert masked.columns == docs.columns and masked.count() == 3
