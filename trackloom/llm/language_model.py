@@ -46,6 +46,8 @@ BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 #: Counts up to which Good-Turing discounts apply.
 CUTOFF = 5
 MAX_RANGES = 1 << 15
+#: Documents after which a chunk ends whatever its tokens; rows are numbered by ``ROW_BITS`` bits within one.
+MOST_DOCS, ROW_BITS = 1 << 20, 21
 
 #: ``doc_ids`` and ``lengths``: 64-bit numbers; ``null_ids`` and ``held``: a bit for each document.
 _CHUNKS = "chunk long, doc_ids binary, null_ids binary, held binary, lengths binary, vocab binary, tokens binary"
@@ -61,7 +63,7 @@ DOC, EVENT, SUMS = 0, 1, 2
 
 def _chunks(chunk_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size, made, held = TaskContext.get().partitionId(), 0, 0, []
+        part, size, docs, made, held = TaskContext.get().partitionId(), 0, 0, 0, []
 
         def chunk() -> pa.RecordBatch:
             ids = pa.concat_arrays([r["doc_id"] for r, *_ in held])
@@ -80,10 +82,10 @@ def _chunks(chunk_tokens: int):
         for rows in slices(batches):
             words, firsts = hashed_words(rows["text"])
             held.append((rows, np.insert(words, firsts[1:], END), np.diff(firsts) + 1))
-            size += len(held[-1][1])
-            if size >= chunk_tokens:
+            size, docs = size + len(held[-1][1]), docs + len(rows)
+            if size >= chunk_tokens or docs >= MOST_DOCS:
                 yield chunk()
-                size, made, held = 0, made + 1, []
+                size, docs, made, held = 0, 0, made + 1, []
         if held:
             yield chunk()
 
@@ -226,7 +228,7 @@ def _score(stats: dict[int, list[int]]):
         logs = np.log10(np.where(of_pair > 0, discounted(of_pair, pair_d) / (begun[own.history] + 1), alone[own.tokens]))
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[own.tokens]
         docs = len(own.lengths)
-        rows = (row.chunk << 21) + np.arange(docs)
+        rows = (row.chunk << ROW_BITS) + np.arange(docs)
         per_doc = lambda x: np.bincount(own.doc, x, docs)
         found.append(
             pd.DataFrame(
