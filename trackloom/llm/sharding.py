@@ -100,11 +100,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, blo
     spark = docs.sparkSession
     docs = without(docs, "shard", "slot")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    # Maps and variants can't be hashed as they are; their JSON can.
-    hashed = [
-        F.to_json(F.col(f"`{c}`")) if t.startswith("map") else F.col(f"`{c}`").cast("string") if t == "variant" else F.col(f"`{c}`")
-        for c, t in docs.dtypes
-    ]
+    # Maps and variants can't be hashed as they are, nor what holds them; their JSON can.
+    hashed = [F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
     keyed = docs.select(*names, F.xxhash64(F.lit(seed), *hashed).alias("__key"))
     keyed = keyed.withColumn("__block", F.pmod("__key", F.lit(blocks)).cast("int"))
     found = {r["__block"]: r["n"] for r in keyed.groupBy("__block").agg(F.count(F.lit(1)).alias("n")).collect()}
