@@ -17,7 +17,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, SF)
