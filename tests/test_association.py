@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from trackloom.operators import association
+from trackloom.operators import association, blocks
 
 VECTORS = "track_key string, camera string, first_frame int, last_frame int, vector array<double>"
 
@@ -116,3 +116,52 @@ def test_far_blocks_are_not_multiplied(spark, n):
 def test_no_vectors(spark):
     none = spark.createDataFrame([], VECTORS)
     assert association.similar_pairs(none, 0.5).count() == association.similar_pairs(none).count() == 0
+
+
+def small_case(n, seed):
+    rng = np.random.default_rng(seed)
+    starts = rng.integers(0, 80, n)
+    copies = [v if k % 7 else v0 for k, (v, v0) in enumerate(zip(vectors(n, 0.3, seed), [vectors(1, 0.3, seed)[0]] * n, strict=True))]
+    return [(f"t{k:04}", f"c{k % 3}", int(s), int(s + rng.integers(3, 20)), v) for k, (s, v) in enumerate(zip(starts, copies, strict=True))]
+
+
+@pytest.mark.parametrize("at_least", [20, 10**6])
+def test_association_without_a_row_for_each_pair(spark, at_least):
+    """The same clusters and verdicts as over all pairs, with candidates in bands and with all at once."""
+    rules = association.Rules(cross_threshold=0.3, intra_threshold=0.25, max_gap=60)
+    df = spark.createDataFrame(small_case(90, 3), VECTORS)
+    classified = association.classify(association.pair_table(df), rules)
+    merges = association.merge(classified, rules)
+    want = {(r.track_a, r.track_b): (r.merge_status, r.merge_reason) for r in association.verdicts(classified, merges).collect()}
+    found = association.associate(df, rules, each=0, at_least=at_least)
+    cuts = association._bands(df, rules, 0, at_least)
+    assert len(cuts) == 1 if at_least == 10**6 else len(cuts) > 1
+    got = {(r.track_a, r.track_b): (r.merge_status, r.merge_reason) for r in association.candidate_verdicts(found, rules).collect()}
+    assert got == {k: v for k, v in want.items() if v[0] or v[1].startswith("blocked_")} and {v[0] for v in got.values()} == {True, False}
+    assert {(r.track_a, r.track_b): (r.merge_status, r.merge_reason) for r in found.merged.collect()} == {k: v for k, v in got.items() if v[0]}
+    every = association.every_verdict(association.with_partner(found.tracks, found.mutual), rules).collect()
+    assert len(every) == 90 * 89 // 2 and {(r.track_a, r.track_b): (r.merge_status, r.merge_reason) for r in every} == want
+
+
+def test_partners_and_top_pairs_of_equal_ones(spark):
+    rows = small_case(300, 4)
+    df, rank = spark.createDataFrame(rows, VECTORS), {r[0]: r for r in rows}
+    placed = blocks.in_blocks(df)
+    pairs = {(r.track_a, r.track_b): r.cosine_similarity for r in association.similar_pairs(df).collect()}
+    top = sorted(pairs, key=lambda p: (-pairs[p], p))[:20]
+    assert [(r.track_a, r.track_b) for r in blocks.top_pairs(placed, 20).collect()] == top
+    both = [(a, b, s) for p, s in pairs.items() for a, b in (p, p[::-1]) if rank[a][1] != rank[b][1]]
+    first = {a: min((-s, b) for x, b, s in both if x == a) for a in rank}
+    assert {r.src: (-r.cosine_similarity, r.dst) for r in blocks.best_partners(placed).collect()} == first
+    barred = spark.createDataFrame([(a, b) for a, (_, b) in first.items()], "track_key string, skip string")
+    second = {a: min((-s, b) for x, b, s in both if x == a and b != first[a][1]) for a in rank}
+    assert {r.src: (-r.cosine_similarity, r.dst) for r in blocks.best_partners(placed.join(barred, "track_key"), skip="skip").collect()} == second
+
+
+def test_what_leaves_a_block_is_no_row_for_each_pair(spark):
+    """A row for a track and block at most, where every pair was one; the candidates aren't shuffled."""
+    df = spark.createDataFrame(small_case(600, 5), VECTORS)
+    placed = blocks.in_blocks(df)
+    met = blocks.meetings(placed)
+    assert met.count() <= 600 * (placed.select("block").distinct().count() + 1)
+    assert blocks.best_partners(placed).count() <= 600
