@@ -165,3 +165,45 @@ def test_what_leaves_a_block_is_no_row_for_each_pair(spark):
     met = blocks.meetings(placed)
     assert met.count() <= 600 * (placed.select("block").distinct().count() + 1)
     assert blocks.best_partners(placed).count() <= 600
+
+
+def test_second_partners(spark):
+    rows = small_case(300, 6)
+    df, of = spark.createDataFrame(rows, VECTORS), {r[0]: r for r in rows}
+    pairs = {(r.track_a, r.track_b): r.cosine_similarity for r in association.similar_pairs(df).collect()}
+    seen = {a: [] for a in of}
+    for p, s in pairs.items():
+        for a, b in (p, p[::-1]):
+            if of[a][1] != of[b][1]:
+                seen[a].append((-s, b))
+    want = {a: (x[0][1], -x[0][0], -x[1][0]) for a, x in ((a, sorted(x)) for a, x in seen.items())}
+    assert {r.src: (r.dst, r.cosine_similarity, r.next_similarity) for r in blocks.best_partners(blocks.in_blocks(df), following=True).collect()} == want
+
+
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_the_last_candidates_are_taken_in_turn(spark, few):
+    """Any number of them gives the same clusters; a chain of candidates is no chain of rounds any more."""
+    rules, settled = association.Rules(max_gap=60, max_overlap=3), []
+    pairs = random_graphs(200, random.Random(7))
+    wanted = spark.createDataFrame([(a, b, s, a, b) for a, b, s, _, _ in pairs], "track_a string, track_b string, cosine_similarity double, root_a string, root_b string")
+    spans = {t: p for a, b, _, p, q in pairs for t, p in ((a, p), (b, q))}
+    members = spark.createDataFrame([(t, *p, t) for t, p in spans.items()], "track string, camera string, first_frame int, last_frame int, root string")
+    before, association.settle = association.settle, lambda df: settled.append(1) or before(df)
+    try:
+        got = {r.track: r.root for r in association.decide(wanted, members, rules, few).collect()}
+    finally:
+        association.settle = before
+    assert got == fold(pairs, rules)[1]
+    assert len(settled) <= 3 if few == 10**6 else len(settled) > 6
+
+
+def test_full_clusters_are_left_out_of_further_bands(spark):
+    """A cluster of two halves of the time takes no third track; one with room before, behind or inside may."""
+    rules = association.Rules(max_gap=60)
+    rows = [("a", 0, 300, "a"), ("b", 330, 700, "a"), ("c", 0, 300, "c"), ("d", 100, 140, "d"), ("e", 150, 170, "d"), ("f", 0, 100, "f"), ("g", 150, 400, "f")]
+    members = spark.createDataFrame([(t, "x", f, l, r) for t, f, l, r in rows], "track string, camera string, first_frame int, last_frame int, root string")
+    placed = members.selectExpr("track AS track_key", "camera", "first_frame", "last_frame", "array(1.0D) AS vector", "0 AS block")
+    left = association._open(association.blocks_of(placed, members), members, rules)
+    assert {r.track_key for r in left.collect()} == set("abcdefg")  # holes of 29 and 49 frames, and tracks of 21
+    long = members.where("track NOT IN ('d', 'e')")
+    assert {r.track_key for r in association._open(association.blocks_of(placed, long), long, rules).collect()} == {"c"}
