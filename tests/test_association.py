@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
 from trackloom.operators import association, blocks
+from trackloom.operators.tracks import track_vectors
 
 VECTORS = "track_key string, camera string, first_frame int, last_frame int, vector array<double>"
 
@@ -207,3 +209,13 @@ def test_full_clusters_are_left_out_of_further_bands(spark):
     assert {r.track_key for r in left.collect()} == set("abcdefg")  # holes of 29 and 49 frames, and tracks of 21
     long = members.where("track NOT IN ('d', 'e')")
     assert {r.track_key for r in association._open(association.blocks_of(placed, long), long, rules).collect()} == {"c"}
+
+
+def test_a_vector_is_summed_up_once_for_its_length(spark):
+    crops = spark.createDataFrame([("t1", [3.0, 0.0]), ("t1", [3.0, 8.0]), ("t2", [0.0, 2.0])], "track_key string, vector array<double>")
+    found = track_vectors(crops)
+    got = {r.track_key: r.vector for r in found.collect()}
+    assert got == {"t1": pytest.approx([0.6, 0.8]), "t2": pytest.approx([0.0, 1.0])}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    within = re.findall(r"lambdafunction\(\(lambda \S+ / (.*?), lambda", plan)  # what each place is divided by
+    assert within and not any("aggregate(" in x for x in within)
