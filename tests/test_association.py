@@ -169,6 +169,27 @@ def test_what_leaves_a_block_is_no_row_for_each_pair(spark):
     assert blocks.best_partners(placed).count() <= 600
 
 
+@pytest.mark.parametrize("n, tall, wide, least", [(1, 64, 512, 256), (70, 64, 512, 256), (70, 3, 7, 256), (150, 4, 9, 20), (150, 64, 512, 20)])
+def test_every_pair_leaves_its_task_in_tiles(spark, monkeypatch, n, tall, wide, least):
+    """Tasks send few rows for many pairs, and each pair comes once, in the order of its keys, with both sides' columns."""
+    for name, value in (("TALL", tall), ("WIDE", wide), ("LEAST_ROWS", least)):
+        monkeypatch.setattr(blocks, name, value)
+    rows = [(*r, None if k % 5 else f"p{k}") for k, r in enumerate(small_case(n, 8))]
+    df = spark.createDataFrame(rows, VECTORS + ", more string").repartition(3)
+    parts = max(1, -(-n // max(least, -(-n // blocks.BLOCKS))))
+    met = parts * (parts + 1) // 2
+    # blocks are of about the same size: twice the tiles of even ones are room enough
+    assert blocks.tiles(df, blocks.SIDE).count() <= 2 * met * -(-n // (parts * tall)) * -(-n // (parts * wide)) + 2 * met
+    got = association.pair_table(df, more=["more"]).collect()
+    of = {r[0]: r for r in rows}
+    assert len(got) == n * (n - 1) // 2 == len({(r.track_a, r.track_b) for r in got})
+    for r in got:
+        a, b = of[r.track_a], of[r.track_b]
+        assert r.track_a < r.track_b
+        assert (r.camera_a, r.first_frame_a, r.last_frame_a, r.more_a) == (*a[1:4], a[5]) and (r.camera_b, r.first_frame_b, r.last_frame_b, r.more_b) == (*b[1:4], b[5])
+        assert r.same_camera == (a[1] == b[1]) and r.cosine_similarity == pytest.approx(sum(x * y for x, y in zip(a[4], b[4], strict=True)), abs=1e-6)
+
+
 def test_second_partners(spark):
     rows = small_case(300, 6)
     df, of = spark.createDataFrame(rows, VECTORS), {r[0]: r for r in rows}
