@@ -190,6 +190,19 @@ def test_every_pair_leaves_its_task_in_tiles(spark, monkeypatch, n, tall, wide,
         assert r.same_camera == (a[1] == b[1]) and r.cosine_similarity == pytest.approx(sum(x * y for x, y in zip(a[4], b[4], strict=True)), abs=1e-6)
 
 
+def test_tracks_of_a_tile_lie_near_in_time(spark, monkeypatch):
+    """Of two blocks, whose keys tell the order of each pair, tracks come by camera and time."""
+    for name, value in (("TALL", 4), ("WIDE", 9), ("LEAST_ROWS", 20)):
+        monkeypatch.setattr(blocks, name, value)
+    made = blocks.tiles(spark.createDataFrame(small_case(150, 8), VECTORS), blocks.SIDE).collect()
+    across = [t for t in made if t.ahead == 4]  # within a block it is a multiple of 9
+    assert len(across) > len(made) / 2
+    for side in [x for t in across for x in (t.p, t.q)]:
+        spans = [(r.camera, r.first_frame, r.last_frame) for r in side]
+        assert spans == sorted(spans)
+    assert all(max(r.track for r in t.p) < min(r.track for r in t.q) for t in across)
+
+
 def test_second_partners(spark):
     rows = small_case(300, 6)
     df, of = spark.createDataFrame(rows, VECTORS), {r[0]: r for r in rows}
